@@ -73,7 +73,7 @@ def mix_sources(
     percent: int = 150,
     most: int = 2,
     seed: int = 17,
-    rows_a_range: int = 20_000,
+    rows_a_range: int = 4_000,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken.
 

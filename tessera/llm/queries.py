@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.mixing import mix_sources
 from tessera.llm.secret_scan import scan_secrets
+from tessera.llm.token_files import read_token_files, write_token_files
+from tessera.plans.scratch import new_path
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer file; it is the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +34,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    shards = write_token_files(_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2)
+    return read_token_files(spark, path, shards)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +47,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_token_files": op7_token_files,
     "op9_mix_sources": op9_mix_sources,
 }
 
