@@ -4,11 +4,14 @@ A model file gives pieces and scores. A text's code points, with spaces turned i
 and one mark put in front, are cut before every run of marks: no piece of the model holds a mark
 after another character, which is checked when the model is read, so no best path crosses a cut.
 Distinct segments of equal length advance together: at each position the hashes of all substrings
-that end there are looked up among the sorted hashes of the pieces, the best score and its length
-are kept for every segment at once, and the paths are read back together. A character that no
-piece covers becomes its UTF-8 bytes, so that decoding gives every text back.
+that end there are looked up among the sorted hashes of the pieces, the best step's length and
+piece are kept for every segment at once, and the paths are read back together. A character that
+no piece covers becomes its UTF-8 bytes, so that decoding gives every text back.
 
-Of paths with the same score the one with the longer last piece wins, at every position.
+For a unigram model the best path has the greatest sum of scores, and of equal ones the longer last
+piece. A BPE model's scores are merge priorities, not weights of a path: a path is right when no
+two neighbours would have been merged otherwise. There the Viterbi step allows a piece only after
+a piece with which it keeps, which leaves one path at every position, the one that merging gives.
 """
 
 from __future__ import annotations
@@ -46,6 +49,14 @@ class PieceModel:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        from sentencepiece import sentencepiece_model_pb2
+
+        spec = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            spec.ParseFromString(f.read())
+        self.merges = spec.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE
+        if spec.normalizer_spec.name != "identity" or not spec.normalizer_spec.add_dummy_prefix or spec.normalizer_spec.remove_extra_whitespaces:
+            raise ValueError("only models that keep texts as they are can give every text back")
         n = sp.get_piece_size()
         pieces, scores = [sp.id_to_piece(i) for i in range(n)], np.array([sp.get_score(i) for i in range(n)])
         self.byte_id = np.full(256, -1, np.int64)
@@ -70,6 +81,10 @@ class PieceModel:
         if (np.diff(self.keys) == 0).any():
             raise ValueError("two pieces share a hash")
         self.lengths = sorted({len(pieces[i]) for i in usual}, reverse=True)
+        self.points = {i: np.array([ord(c) for c in pieces[i]], np.uint32) for i in usual}
+        self.piece_len = np.array([len(self.points.get(i, ())) for i in range(n)])
+        self.power = [np.uint64(pow(int(_BASE), i, 1 << 64)) for i in range(2 * self.longest + 1)]
+        self.pairs, self.keeps = np.zeros(0, np.uint64), np.zeros(0, bool)
         text = [b"" for _ in range(n)]
         for i in usual:
             text[i] = pieces[i].replace(mark, " ").encode()
@@ -99,9 +114,7 @@ class PieceModel:
         run = np.zeros((width + 1, rows), np.uint64)
         for j in range(width):
             run[j + 1] = run[j] * _BASE + points[:, j]
-        power = [np.uint64(1)]
-        for _ in range(self.longest):
-            power.append(power[-1] * _BASE)
+        power = self.power
         best = np.full((width + 1, rows), _NONE)
         best[0] = 0
         step = np.zeros((width + 1, rows), np.int32)
@@ -114,8 +127,14 @@ class PieceModel:
                 hit = self.keys[at] == h
                 if l == 1:
                     alone = hit
-                score = np.where(hit, best[j - l] + self.scores[at], _NONE)
-                better = score > best[j]
+                if self.merges:
+                    better = hit & (step[j] == 0)
+                    some = np.flatnonzero(better)
+                    better[some] = self._keeps(piece[j - l, some] if l < j else None, self.ids[at[some]])
+                    score = np.where(better, 0.0, _NONE)
+                else:
+                    score = np.where(hit, best[j - l] + self.scores[at], _NONE)
+                    better = score > best[j]
                 best[j][better], step[j][better], piece[j][better] = score[better], l, self.ids[at[better]]
             score = best[j - 1] + self.unknown
             better = (score > best[j]) & ~alone  # a character that is a piece is never spelled
@@ -133,6 +152,71 @@ class PieceModel:
         flipped = np.repeat(np.arange(rows) * 2 * width + count - 1, count) - back  # each row from its last entry to its first
         return out.ravel()[flipped], count
 
+    def _keeps(self, before: np.ndarray | None, after: np.ndarray) -> np.ndarray:
+        """Whether merging the text of two pieces gives these two pieces; ``None``: the piece alone."""
+        if not len(after):
+            return np.zeros(0, bool)
+        left = np.full(len(after), self.first_new, np.int64) if before is None else np.minimum(before, self.first_new).astype(np.int64)
+        pair = (left.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
+        at = np.minimum(np.searchsorted(self.pairs, pair), max(0, len(self.pairs) - 1))
+        new = np.unique(pair[self.pairs[at] != pair] if len(self.pairs) else pair)
+        if len(new):
+            if len(self.pairs) + len(new) > 8 * self.most:
+                self.pairs, self.keeps, new = np.zeros(0, np.uint64), np.zeros(0, bool), np.unique(pair)
+            known = self._merged((new >> np.uint64(32)).astype(np.int64), (new & np.uint64(0xFFFFFFFF)).astype(np.int64))
+            where = np.searchsorted(self.pairs, new)
+            self.pairs, self.keeps = np.insert(self.pairs, where, new), np.insert(self.keeps, where, known)
+            at = np.searchsorted(self.pairs, pair)
+        return self.keeps[at]
+
+    def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merge the characters of each pair, the best-scored neighbours first, and compare.
+
+        A left side that is no piece (the start, or a character spelled in bytes) never merges.
+        """
+        out = np.zeros(len(left), bool)
+        a = np.where(left < self.first_new, self.piece_len[np.minimum(left, self.first_new - 1)], 0)
+        width = a + self.piece_len[right]
+        for w in np.unique(width):
+            for rows in np.array_split(np.flatnonzero(width == w), max(1, int((width == w).sum()) * int(w) // 400_000)):
+                points = np.zeros((len(rows), w), np.uint64)
+                for i, r in enumerate(rows):
+                    text = self.points[int(right[r])]
+                    points[i, w - len(text) :] = text
+                    if a[r]:
+                        points[i, : a[r]] = self.points[int(left[r])]
+                out[rows] = self._ends(points, a[rows])
+        return out
+
+    def _ends(self, points: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Whether merging each row leaves one piece on either side of its cut (one in all if it is 0)."""
+        rows, width = points.shape
+        run = np.zeros((rows, width + 1), np.uint64)
+        for j in range(width):
+            run[:, j + 1] = run[:, j] * _BASE + points[:, j]
+        power = np.array(self.power[: width + 1], np.uint64)
+        edges = np.tile(np.arange(width + 1), (rows, 1))  # token edges; unused places repeat the last one
+        count = np.full(rows, width)
+        live = np.arange(rows)
+        while len(live):
+            e = edges[live]
+            m = int(count[live].max())
+            if m < 2:
+                break
+            s, t = e[:, : m - 1], e[:, 2 : m + 1]
+            real = np.arange(m - 1)[None, :] < (count[live] - 1)[:, None]
+            h = mix64((run[live[:, None], t] - run[live[:, None], s] * power[t - s]) ^ ((t - s).astype(np.uint64) << np.uint64(40)))
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            score = np.where(real & (self.keys[at] == h), self.scores[at], -np.inf)
+            pick = score.argmax(axis=1)
+            go = score[np.arange(len(live)), pick] > -np.inf
+            live, pick = live[go], pick[go]
+            e = edges[live]
+            moved = np.arange(width)[None, :] + (np.arange(width)[None, :] > pick[:, None])
+            edges[live] = np.concatenate([np.take_along_axis(e, moved, axis=1), e[:, -1:]], axis=1)
+            count[live] -= 1
+        return np.where(cut > 0, (count == 2) & (edges[:, 1] == cut), count == 1)
+
     def _spell(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code points that stand for themselves become byte ids."""
         if not (ids >= self.first_new).any():

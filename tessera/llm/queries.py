@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.mixing import mix_sources
+from tessera.llm.piece_codec import encode_pieces
 from tessera.llm.secret_scan import scan_secrets
 from tessera.llm.token_files import read_token_files, write_token_files
 from tessera.plans.scratch import new_path
@@ -30,6 +31,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
 
 
+def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -46,6 +51,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_piece_codec": op3_piece_codec,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_token_files": op7_token_files,
     "op9_mix_sources": op9_mix_sources,
