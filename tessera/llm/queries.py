@@ -12,6 +12,7 @@ from tessera.llm.mixing import mix_sources
 from tessera.llm.piece_codec import encode_pieces
 from tessera.llm.secret_scan import scan_secrets
 from tessera.llm.token_files import read_token_files, write_token_files
+from tessera.llm.toxicity import fit_severity, score_severity
 from tessera.plans.scratch import new_path
 
 
@@ -31,6 +32,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_severity(docs, fit_severity(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -51,6 +57,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_toxicity": op2_toxicity,
     "op3_piece_codec": op3_piece_codec,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_token_files": op7_token_files,

@@ -69,12 +69,12 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[p
         at = to
 
 
-def word_edges(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_edges(buf: np.ndarray, offs: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and per document the number of its first word."""
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    inside = ~SEPARATOR[buf]
+    inside = ~separator[buf]
     first = np.empty(n, bool)
     first[0] = True
     np.logical_not(inside[:-1], out=first[1:])
