@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.exact_dedup import exact_duplicates
+from tessera.llm.html_text import extract_pages, fit_page_weights
 from tessera.llm.mixing import mix_sources
 from tessera.llm.piece_codec import encode_pieces
 from tessera.llm.secret_scan import scan_secrets
@@ -51,6 +52,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, shards)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return extract_pages(pages, fit_page_weights(pages))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_piece_codec": op3_piece_codec,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_token_files": op7_token_files,
+    "op8_html_text": op8_html_text,
     "op9_mix_sources": op9_mix_sources,
 }
 
