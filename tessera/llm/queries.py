@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.embedding_dedup import near_duplicate_vectors
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.html_text import extract_pages, fit_page_weights
 from tessera.llm.mixing import mix_sources
@@ -61,6 +62,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": op7_token_files,
     "op8_html_text": op8_html_text,
     "op9_mix_sources": op9_mix_sources,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 OP4_SQL = """
