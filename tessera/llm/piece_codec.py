@@ -45,7 +45,7 @@ class PieceModel:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 2_500_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -78,6 +78,8 @@ class PieceModel:
         keys = np.array([self._key(np.array([ord(c) for c in pieces[i]], np.uint32)) for i in usual], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids, self.scores = keys[order], np.array(usual)[order], scores[usual][order]
+        self.marks = np.zeros(1 << 21, bool)  # leading hash bits of pieces: most substrings stop here
+        self.marks[self.keys >> np.uint64(43)] = True
         if (np.diff(self.keys) == 0).any():
             raise ValueError("two pieces share a hash")
         self.lengths = sorted({len(pieces[i]) for i in usual}, reverse=True)
@@ -121,21 +123,24 @@ class PieceModel:
         piece = np.zeros((width + 1, rows), np.int32)
         for j in range(1, width + 1):
             alone = np.zeros(rows, bool)
+            open_ = np.arange(rows)  # segments that may still get a step to this position
             for l in (x for x in self.lengths if x <= j):
-                h = mix64((run[j] - run[j - l] * power[l]) ^ np.uint64(l << 40))
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                hit = self.keys[at] == h
+                r, at = self._look_up((run[j, open_] - run[j - l, open_] * power[l]) ^ np.uint64(l << 40))
+                r = open_[r]
                 if l == 1:
-                    alone = hit
+                    alone[r] = True
                 if self.merges:
-                    better = hit & (step[j] == 0)
-                    some = np.flatnonzero(better)
-                    better[some] = self._keeps(piece[j - l, some] if l < j else None, self.ids[at[some]])
-                    score = np.where(better, 0.0, _NONE)
+                    ok = self._keeps(piece[j - l, r] if l < j else None, self.ids[at])
+                    r, at = r[ok], at[ok]
+                    best[j, r] = 0
                 else:
-                    score = np.where(hit, best[j - l] + self.scores[at], _NONE)
-                    better = score > best[j]
-                best[j][better], step[j][better], piece[j][better] = score[better], l, self.ids[at[better]]
+                    score = best[j - l, r] + self.scores[at]
+                    ok = score > best[j, r]
+                    r, at = r[ok], at[ok]
+                    best[j, r] = score[ok]
+                step[j, r], piece[j, r] = l, self.ids[at]
+                if self.merges and len(r):
+                    open_ = open_[step[j, open_] == 0]
             score = best[j - 1] + self.unknown
             better = (score > best[j]) & ~alone  # a character that is a piece is never spelled
             best[j][better], step[j][better] = score[better], 1
@@ -152,6 +157,15 @@ class PieceModel:
         flipped = np.repeat(np.arange(rows) * 2 * width + count - 1, count) - back  # each row from its last entry to its first
         return out.ravel()[flipped], count
 
+    def _look_up(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the substring hashes are pieces, and where those stand among the sorted keys."""
+        h = mix64(raw)
+        some = np.flatnonzero(self.marks[h >> np.uint64(43)])
+        h = h[some]
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        hit = self.keys[at] == h
+        return some[hit], at[hit]
+
     def _keeps(self, before: np.ndarray | None, after: np.ndarray) -> np.ndarray:
         """Whether merging the text of two pieces gives these two pieces; ``None``: the piece alone."""
         if not len(after):
@@ -161,7 +175,7 @@ class PieceModel:
         at = np.minimum(np.searchsorted(self.pairs, pair), max(0, len(self.pairs) - 1))
         new = np.unique(pair[self.pairs[at] != pair] if len(self.pairs) else pair)
         if len(new):
-            if len(self.pairs) + len(new) > 8 * self.most:
+            if len(self.pairs) + len(new) > 2 * self.most:
                 self.pairs, self.keeps, new = np.zeros(0, np.uint64), np.zeros(0, bool), np.unique(pair)
             known = self._merged((new >> np.uint64(32)).astype(np.int64), (new & np.uint64(0xFFFFFFFF)).astype(np.int64))
             where = np.searchsorted(self.pairs, new)
@@ -205,9 +219,11 @@ class PieceModel:
                 break
             s, t = e[:, : m - 1], e[:, 2 : m + 1]
             real = np.arange(m - 1)[None, :] < (count[live] - 1)[:, None]
-            h = mix64((run[live[:, None], t] - run[live[:, None], s] * power[t - s]) ^ ((t - s).astype(np.uint64) << np.uint64(40)))
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            score = np.where(real & (self.keys[at] == h), self.scores[at], -np.inf)
+            raw = (run[live[:, None], t] - run[live[:, None], s] * power[t - s]) ^ ((t - s).astype(np.uint64) << np.uint64(40))
+            some, at = self._look_up(raw.ravel())
+            score = np.full(raw.size, -np.inf)
+            score[some] = self.scores[at]
+            score = np.where(real, score.reshape(raw.shape), -np.inf)
             pick = score.argmax(axis=1)
             go = score[np.arange(len(live)), pick] > -np.inf
             live, pick = live[go], pick[go]
@@ -352,7 +368,7 @@ def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
         is_byte = np.zeros(len(model.text_len), bool)
         is_byte[model.byte_id] = True
         for batch in batches:
-            for part in slices(batch, text_name, 2 << 20):
+            for part in slices(batch, text_name, 8 << 20):
                 col = part.column(part.schema.get_field_index(text_name))
                 ids, first = model.encode(col)
                 texts = model.decode(ids, first)
