@@ -368,7 +368,7 @@ def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
         is_byte = np.zeros(len(model.text_len), bool)
         is_byte[model.byte_id] = True
         for batch in batches:
-            for part in slices(batch, text_name, 8 << 20):
+            for part in slices(batch, text_name, 4 << 20):
                 col = part.column(part.schema.get_field_index(text_name))
                 ids, first = model.encode(col)
                 texts = model.decode(ids, first)
