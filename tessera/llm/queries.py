@@ -13,6 +13,7 @@ from tessera.llm.html_text import extract_pages, fit_page_weights
 from tessera.llm.mixing import mix_sources
 from tessera.llm.piece_codec import encode_pieces
 from tessera.llm.secret_scan import scan_secrets
+from tessera.llm.substring_dedup import dedup_passages
 from tessera.llm.token_files import read_token_files, write_token_files
 from tessera.llm.toxicity import fit_severity, score_severity
 from tessera.plans.scratch import new_path
@@ -47,6 +48,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_passages(_table(spark, sf_dir, "documents"), window=13)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     shards = write_token_files(_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2)
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_piece_codec": op3_piece_codec,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_token_files": op7_token_files,
     "op8_html_text": op8_html_text,
     "op9_mix_sources": op9_mix_sources,
