@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.embedding_dedup import near_duplicate_vectors
 from tessera.llm.exact_dedup import exact_duplicates
 from tessera.llm.html_text import extract_pages, fit_page_weights
+from tessera.llm.jaccard_join import jaccard_components
 from tessera.llm.mixing import mix_sources
 from tessera.llm.piece_codec import encode_pieces
 from tessera.llm.secret_scan import scan_secrets
@@ -48,6 +49,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), k=5, percent=80)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages(_table(spark, sf_dir, "documents"), window=13)
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_piece_codec": op3_piece_codec,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_files": op7_token_files,
     "op8_html_text": op8_html_text,
