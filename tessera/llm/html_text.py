@@ -221,8 +221,9 @@ def fit_page_weights(pages: DataFrame, html_col: str = "html", id_col: str = "pa
     Pages without one ``article`` or ``main`` say nothing; with none at all the prior counts alone
     make the weights.
     """
-    some = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("key"), F.col(html_col).alias("html"))
-    some = some.where(F.regexp_like("html", F.lit("(?i)<(article|main)[\\s>]"))).orderBy("key").limit(sample_rows).select("html")
+    labelled = pages.where(F.regexp_like(F.col(html_col), F.lit("(?i)<(article|main)[\\s>]")) & F.col(id_col).isNotNull())
+    taken = labelled.select(F.col(id_col).alias("__page")).orderBy(F.xxhash64("__page"), "__page").limit(sample_rows).distinct()
+    some = labelled.join(F.broadcast(taken), labelled[id_col] == F.col("__page"), "left_semi").select(F.col(html_col).alias("html"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, outside = Counter(), Counter()

@@ -64,6 +64,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], percent: int, mos
     return s.select("skey", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(free).alias("target"))
 
 
+def _skey(source: Column) -> Column:
+    """Sources by code point, null last."""
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -83,9 +88,43 @@ def mix_sources(
     may give a part. The sum over a source is its target rounded to a whole word. Rows with equal
     keys are ordered by identifier, then size. Empty texts give 0; an empty table gives no rows.
     """
+    out = _planned(docs, id_col, text_col, source_col, weights, percent, most, seed, rows_a_range)
+    cut = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("before")))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + cut).cast("long").alias("taken"))
+
+
+def mix_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (5, 2, 1),
+    percent: int = 150,
+    most: int = 2,
+    seed: int = 17,
+    rows_a_range: int = 4_000,
+) -> DataFrame:
+    """The mix itself: whole rows of ``docs``, each as often as the mix takes it; same columns.
+
+    The plan of :func:`mix_sources` comes down to a number of passes and a last key per source. The
+    document at the cut is taken once more if the mix takes at least half of it. A document without
+    words is taken as often as any with its key would be.
+    """
+    plan = _planned(docs, id_col, text_col, source_col, weights, percent, most, seed, rows_a_range)
+    left = F.col("rest") - F.col("before")
+    inside = (left > 0) & (2 * left >= F.col("size"))
+    cuts = plan.groupBy("skey").agg(F.first("passes").alias("__passes"), F.max(F.when(inside, F.col("key"))).alias("__cut")).withColumnRenamed("skey", "__skey")
+    keyed = docs.withColumns({"__skey": _skey(F.col(source_col)), "__key": random_key(F.col(id_col), seed)}).join(cuts, "__skey")
+    times = F.col("__passes") + F.when(F.col("__key") <= F.col("__cut"), 1).otherwise(0)
+    repeated = keyed.withColumn("__times", times.cast("int")).where("__times > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return repeated.select(*[f"`{c}`" for c in docs.columns])
+
+
+def _planned(docs, id_col, text_col, source_col, weights, percent, most, seed, rows_a_range) -> DataFrame:
+    """Per document: skey, key, size, its source's size, target, passes and rest, and the words before it."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string"))).alias("skey"),
+        _skey(F.col(source_col)).alias("skey"),
         word_count(F.col(text_col)).alias("size"),
         random_key(F.col(id_col), seed).alias("key"),
     )
@@ -102,7 +141,7 @@ def mix_sources(
     out = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(plan, ["skey", "part"])
     budget = F.round("target").cast("long")
     safe = F.greatest("source_size", F.lit(1))
-    passes = (budget - F.pmod(budget, safe)) / safe
     rest = F.pmod(budget, safe)
-    cut = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("ahead") - F.col("inside")))
-    return out.select("doc_id", "size", "source_size", "target", (passes.cast("long") * F.col("size") + cut).cast("long").alias("taken"))
+    return out.select(
+        "doc_id", "skey", "key", "size", "source_size", "target", ((budget - rest) / safe).cast("long").alias("passes"), rest.alias("rest"), (F.col("ahead") + F.col("inside")).alias("before")
+    )
