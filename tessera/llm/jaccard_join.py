@@ -12,8 +12,8 @@ runs in two rounds of regions, and in both no group of similar documents is ever
    n-grams of the class in one fixed order, so the class is replicated to just these. Any linked
    pair therefore meets in a region. Regions whose members all are of one component already are
    done. In the others, pairs of different components recurse into exact comparison, unless the
-   distances to 64 pivots (how many n-grams fall into each 64th of the hash space) show that they
-   are too far apart, again by the triangle inequality, or their sizes do. Frequent n-grams come
+   distances to many pivots (how many n-grams fall into each part of the hash space, about eight a
+   part) show that they are too far apart, again by the triangle inequality, or their sizes do. Frequent n-grams come
    last in the fixed order, so that a passage that very many documents share makes no region for
    documents that have enough else.
 
@@ -34,13 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.embedding_dedup import _runs
-from tessera.llm.words import LOWER, buffer_of, mix64, slices, window_hashes, word_edges, word_hashes
+from tessera.llm.words import LOWER, buffer_of, mix64, ragged, slices, window_hashes, word_edges, word_hashes
 from tessera.operators.components import connected_components
 from tessera.plans.scratch import spill
 from tessera.plans.skew import skew_join
 
 LANES = 6
-PARTS = 64
 _BITS = 26  # of the filter that keeps sets that nobody asked for out of a shuffle
 _MOST_FREQUENT = 1 << 20  # n-grams put last; bounds what is broadcast, not what is compared
 _SALTS = mix64(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -72,6 +71,11 @@ def ngram_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else h[:0]), np.array(edges)
 
 
+def _level(n: np.ndarray) -> np.ndarray:
+    """Logarithm of the number of parts for a set of n n-grams: about eight in a part, 64 parts at least."""
+    return np.maximum(6, np.ceil(np.log2(np.maximum(n, 1) / 8))).astype(np.int64)
+
+
 def _class(x: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -105,15 +109,19 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
                 cls = [_class(h[a:b]) if b > a else None for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 some = np.zeros((len(n), LANES), np.uint64)
                 some[has] = lanes
+                level = _level(n)
+                at = np.concatenate([[0], np.cumsum(1 << level)])
                 doc = np.repeat(np.arange(len(n)), n)
-                sketch = np.minimum(np.bincount(doc * PARTS + (h >> np.uint64(58)).astype(np.int64), minlength=len(n) * PARTS), 255).astype(np.uint8).reshape(-1, PARTS)
+                counts = np.bincount(at[doc] + (h >> (64 - level[doc]).astype(np.uint64)).astype(np.int64), minlength=at[-1])
+                flat = np.minimum(counts, 255).astype(np.uint8).tobytes()
+                sketch = [flat[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array(n),
                         pa.array(cls, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * LANES + 1, LANES, dtype=np.int32)), pa.array(some.ravel().view(np.int64))),
-                        pa.array([r.tobytes() for r in sketch], pa.binary()),
+                        pa.array(sketch, pa.binary()),
                         pa.nulls(len(n), pa.int64()),
                     ],
                     ["doc_id", "n", "cls", "lanes", "sketch", "gram"],
@@ -297,28 +305,75 @@ def _different(mixed: DataFrame, percent: int, most: int = 4096) -> DataFrame:
     dealt = rows.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "n")
 
     def run(batches):
+        held, n = [], 0
         for group in _runs(batches, 3):
-            cls, comp, n, tile = (np.asarray(group[c].combine_chunks()) for c in ("cls", "component", "n", "tile"))
-            i, j = group["i"][0].as_py(), group["j"][0].as_py()
-            sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16)
-            found_a, found_b = [], []
-            upto = np.searchsorted(n, n * 100 // percent, side="right")
-            for p in range(len(n)):
-                q = np.arange(p + 1, upto[p])
-                if not len(q):
-                    continue
-                q = q[(comp[q] != comp[p]) & (np.minimum(tile[q], tile[p]) == i) & (np.maximum(tile[q], tile[p]) == j)]
-                total = n[q] + n[p]
-                shared = -(-percent * total // (100 + percent))  # least intersection of a linked pair
-                q = q[np.abs(sketch[q] - sketch[p]).sum(axis=1) <= total[: len(q)] - 2 * shared] if len(q) else q
-                found_a.append(np.minimum(cls[q], cls[p]))
-                found_b.append(np.maximum(cls[q], cls[p]))
-            if found_a and sum(map(len, found_a)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+            held.append(group)
+            n += group.num_rows
+            if n >= 20_000:
+                yield from _far_pairs(pa.concat_tables(held), percent)
+                held, n = [], 0
+        if held:
+            yield from _far_pairs(pa.concat_tables(held), percent)
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _far_pairs(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of many whole groups, each sorted by size."""
+    region, i, j, tile, cls, comp, n = (np.asarray(rows[c].combine_chunks()).astype(np.int64) for c in ("region", "i", "j", "tile", "cls", "component", "n"))
+    new = np.concatenate([[True], (region[1:] != region[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+    group = np.cumsum(new)
+    scale = int(n.max()) * 100 // percent + 2
+    # partners of a row: those after it in its group that are not too large
+    end = np.searchsorted(group * scale + n, group * scale + n * 100 // percent, side="right")
+    count = np.maximum(0, end - np.arange(len(n)) - 1)
+    level = _level(n)
+    blobs = rows["sketch"].to_pylist()
+    place = np.zeros(len(n), np.int64)
+    table = {}
+    for lv in np.unique(level):
+        some = np.flatnonzero(level == lv)
+        place[some] = np.arange(len(some))
+        table[lv] = np.frombuffer(b"".join(blobs[k] for k in some), np.uint8).reshape(len(some), 1 << lv)
+    found = []
+    upto = np.cumsum(count)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 1_000_000, side="right")))
+        p = np.repeat(np.arange(at, to), count[at:to])
+        q = ragged(np.arange(at, to) + 1, count[at:to])
+        ok = (comp[p] != comp[q]) & (np.minimum(tile[p], tile[q]) == i[p]) & (np.maximum(tile[p], tile[q]) == j[p])
+        p, q = p[ok], q[ok]
+        a, b = np.minimum(cls[p], cls[q]), np.maximum(cls[p], cls[q])
+        if len(p):
+            pair = np.stack([a, b], axis=1)
+            _, once = np.unique(pair.view([("a", np.int64), ("b", np.int64)]).ravel(), return_index=True)
+            p, q, a, b = p[once], q[once], a[once], b[once]
+            near = _sketches_meet(p, q, n, level, place, table, percent)
+            found.append(np.stack([a[near], b[near]], axis=1))
+        at = to
+    if found:
+        pair = np.unique(np.concatenate(found), axis=0)
+        if len(pair):
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+
+def _sketches_meet(p, q, n, level, place, table, percent) -> np.ndarray:
+    """Whether the counts of two sets by parts allow the least intersection of a linked pair."""
+    out = np.zeros(len(p), bool)
+    total = n[p] + n[q]
+    most = total - 2 * -(-percent * total // (100 + percent))  # of the symmetric difference
+    for lp, lq in {(int(x), int(y)) for x, y in zip(*np.unique(np.stack([level[p], level[q]]), axis=1), strict=True)}:
+        some = np.flatnonzero((level[p] == lp) & (level[q] == lq))
+        low = min(lp, lq)
+        step = max(1, (1 << 24) >> max(lp, lq))
+        for k in range(0, len(some), step):
+            r = some[k : k + step]
+            x, y = (table[lv][place[e[r]]].astype(np.int32).reshape(len(r), 1 << low, -1).sum(axis=2) for lv, e in ((lp, p), (lq, q)))
+            out[r] = np.abs(x - y).sum(axis=1) <= most[r]
+    return out
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest identifier; same columns.
 
