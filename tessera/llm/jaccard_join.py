@@ -11,9 +11,9 @@ runs in two rounds of regions, and in both no group of similar documents is ever
    class can only have a link into a region when its pivot is among the first n - ceil(t n) + 1
    n-grams of the class in one fixed order, so the class is replicated to just these. Any linked
    pair therefore meets in a region. Regions whose members all are of one component already are
-   done. In the others, pairs of different components recurse into exact comparison, unless the
-   distances to many pivots (how many n-grams fall into each part of the hash space, about eight a
-   part) show that they are too far apart, again by the triangle inequality, or their sizes do. Frequent n-grams come
+   done. In the others, pairs of different components recurse into exact comparison, unless their
+   sizes, or parity sketches that bound the symmetric difference from below, show that they are too
+   far apart. Frequent n-grams come
    last in the fixed order, so that a passage that very many documents share makes no region for
    documents that have enough else.
 
@@ -72,8 +72,22 @@ def ngram_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _level(n: np.ndarray) -> np.ndarray:
-    """Logarithm of the number of parts for a set of n n-grams: about eight in a part, 64 parts at least."""
-    return np.maximum(6, np.ceil(np.log2(np.maximum(n, 1) / 8))).astype(np.int64)
+    """Logarithm of the number of parts for a set of n n-grams: two parts an n-gram, 256 at least."""
+    return np.maximum(8, np.ceil(np.log2(np.maximum(n, 1) * 2.0))).astype(np.int64)
+
+
+def parity_sketches(h: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Per set one bit for each part of the hash space: whether it holds an odd number of n-grams.
+
+    Two sets' sketches differ in at most as many bits as the sets in n-grams.
+    """
+    n = np.diff(edges)
+    level = _level(n)
+    at = np.concatenate([[0], np.cumsum(1 << level)])
+    doc = np.repeat(np.arange(len(n)), n)
+    part = (h & ((np.uint64(1) << level[doc].astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    odd = np.packbits((np.bincount(at[doc] + part, minlength=at[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [odd[x >> 3 : y >> 3] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def _class(x: np.ndarray) -> int:
@@ -109,12 +123,7 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
                 cls = [_class(h[a:b]) if b > a else None for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 some = np.zeros((len(n), LANES), np.uint64)
                 some[has] = lanes
-                level = _level(n)
-                at = np.concatenate([[0], np.cumsum(1 << level)])
-                doc = np.repeat(np.arange(len(n)), n)
-                counts = np.bincount(at[doc] + (h >> (64 - level[doc]).astype(np.uint64)).astype(np.int64), minlength=at[-1])
-                flat = np.minimum(counts, 255).astype(np.uint8).tobytes()
-                sketch = [flat[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                sketch = parity_sketches(h, edges)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -334,7 +343,7 @@ def _far_pairs(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     for lv in np.unique(level):
         some = np.flatnonzero(level == lv)
         place[some] = np.arange(len(some))
-        table[lv] = np.frombuffer(b"".join(blobs[k] for k in some), np.uint8).reshape(len(some), 1 << lv)
+        table[lv] = np.frombuffer(b"".join(blobs[k] for k in some), np.uint64).reshape(len(some), -1)
     found = []
     upto = np.cumsum(count)
     at = 0
@@ -359,18 +368,22 @@ def _far_pairs(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
 
 
 def _sketches_meet(p, q, n, level, place, table, percent) -> np.ndarray:
-    """Whether the counts of two sets by parts allow the least intersection of a linked pair."""
+    """Whether the sketches of two sets allow the least intersection of a linked pair."""
     out = np.zeros(len(p), bool)
     total = n[p] + n[q]
     most = total - 2 * -(-percent * total // (100 + percent))  # of the symmetric difference
     for lp, lq in {(int(x), int(y)) for x, y in zip(*np.unique(np.stack([level[p], level[q]]), axis=1), strict=True)}:
         some = np.flatnonzero((level[p] == lp) & (level[q] == lq))
-        low = min(lp, lq)
-        step = max(1, (1 << 24) >> max(lp, lq))
+        step = max(1, (1 << 26) >> max(lp, lq))
         for k in range(0, len(some), step):
             r = some[k : k + step]
-            x, y = (table[lv][place[e[r]]].astype(np.int32).reshape(len(r), 1 << low, -1).sum(axis=2) for lv, e in ((lp, p), (lq, q)))
-            out[r] = np.abs(x - y).sum(axis=1) <= most[r]
+            x, y = table[lp][place[p[r]]], table[lq][place[q[r]]]
+            # the halves of a sketch fold onto one of half as many parts
+            while x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            out[r] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most[r]
     return out
 
 
