@@ -226,17 +226,29 @@ def tsvd(rows: DataFrame, k: int) -> dict:
 
 
 class SparseOperator:
-    """Products of sparse cells ``(row, col, val)`` with blocks of vectors, one pass each.
+    """Products of sparse cells ``(row, col, val)`` with blocks of vectors.
 
-    The block is broadcast to the tasks and each sends one sum; both sides are bounded by ``most``.
+    A matrix of up to ``local_cells`` cells, which are counted first, is fetched once, as an
+    iteration in numpy then beats a job for each product. For a larger one each product is one pass
+    over the cells: the block goes to all tasks and each sends one sum; ``most`` bounds both sides.
     """
 
-    def __init__(self, cells: DataFrame, n_rows: int, n_cols: int, most: int = 5_000_000):
+    def __init__(self, cells: DataFrame, n_rows: int, n_cols: int, most: int = 5_000_000, local_cells: int = 2_000_000):
         if max(n_rows, n_cols) > most:
             raise ValueError(f"vectors of more than {most} entries aren't kept on the driver")
-        self.cells, self.shape = cells.select("row", "col", "val"), (n_rows, n_cols)
+        self.cells, self.shape, self.local = cells.select("row", "col", "val"), (n_rows, n_cols), None
+        if self.cells.limit(local_cells + 1).count() <= local_cells:
+            t = self.cells.toArrow()
+            self.local = tuple(np.asarray(t[c]) for c in ("row", "col", "val"))
 
     def times(self, x: np.ndarray, trans: bool = False) -> np.ndarray:
+        if self.local is not None:
+            r, c, v = self.local
+            r, c = (c, r) if trans else (r, c)
+            x = x.reshape(len(x), -1)
+            out = np.zeros((self.shape[1] if trans else self.shape[0], x.shape[1]))
+            np.add.at(out, r, v[:, None] * x[c])
+            return out
         n = self.shape[1] if trans else self.shape[0]
         x = x.reshape(len(x), -1)
         shared = self.cells.sparkSession.sparkContext.broadcast(x)
