@@ -40,6 +40,7 @@ from tessera.plans.scratch import spill
 from tessera.plans.skew import skew_join
 
 LANES = 6
+ROUNDS = 3
 _BITS = 26  # of the filter that keeps sets that nobody asked for out of a shuffle
 _MOST_FREQUENT = 1 << 20  # n-grams put last; bounds what is broadcast, not what is compared
 _SALTS = mix64(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -201,6 +202,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _with_components(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """``rows`` with the component of each class so far; a class without links is its own."""
+    if parts is None:
+        return rows.withColumn("component", F.col("cls"))
+    return rows.join(parts.select(F.col("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+
 def _sizes_fit(percent: int):
     return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
 
@@ -220,18 +228,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = made.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("lanes").alias("lanes"), F.first("sketch").alias("sketch"))
     classes = spill(classes, "classes")
 
-    # round 1: stars around the pivots of cells
+    # stars around the pivots of cells; cells that hold several components get another pivot each time
     cells = classes.select("cls", "n", F.posexplode("lanes").alias("lane", "cell"))
-    pivots = cells.groupBy("lane", "cell").agg(F.count("*").alias("members"), F.min(F.struct("cls", "n")).alias("pivot")).where("members > 1")
-    pivots = pivots.select("lane", "cell", F.col("pivot.cls").alias("a"), F.col("pivot.n").alias("m"))
-    stars = skew_join(cells, pivots, ["lane", "cell"]).where((F.col("cls") != F.col("a")) & _sizes_fit(percent)).select("a", F.col("cls").alias("b")).distinct()
-    links = spill(_verified(source, spill(stars, "stars"), k, percent), "links")
-    parts = spill(connected_components(links, "a", "b"), "components")
-
-    # round 2: regions of boundary windows
+    many = cells.groupBy("lane", "cell").agg(F.count("*").alias("members")).where("members > 1").select("lane", "cell")
+    cells = spill(skew_join(cells, many, ["lane", "cell"]), "cells")
+    links, parts = None, None
+    for nth in range(ROUNDS):
+        named = _with_components(cells, parts)
+        order = F.xxhash64("cls", "lane", F.lit(nth))
+        pivots = named.groupBy("lane", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(order, "cls", "n", "component")).alias("pivot"))
+        pivots = pivots.where("lo <> hi").select("lane", "cell", F.col("pivot.cls").alias("a"), F.col("pivot.n").alias("m"), F.col("pivot.component").alias("of"))
+        stars = skew_join(named, pivots, ["lane", "cell"]).where((F.col("component") != F.col("of")) & _sizes_fit(percent))
+        stars = spill(stars.select("a", F.col("cls").alias("b")).distinct(), "stars")
+        found = spill(_verified(source, stars, k, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        parts = spill(connected_components(links, "a", "b"), "components")
+
+    # regions of boundary windows
     often = made.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(_MOST_FREQUENT)
     members = spill(_regions(source, k, percent, np.sort(np.array([r.gram for r in often.collect()], np.int64).view(np.uint64))), "regions")
-    named = members.join(parts.select(F.col("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = _with_components(members, parts)
     open_ = named.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("region", "members")
     mixed = skew_join(named, open_, ["region"])
     mixed = mixed.join(classes.select("cls", "n", "sketch"), "cls")
