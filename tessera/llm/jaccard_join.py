@@ -73,8 +73,8 @@ def ngram_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _level(n: np.ndarray) -> np.ndarray:
-    """Logarithm of the number of parts for a set of n n-grams: two parts an n-gram, 256 at least."""
-    return np.maximum(8, np.ceil(np.log2(np.maximum(n, 1) * 2.0))).astype(np.int64)
+    """Logarithm of the number of parts for a set of n n-grams: four parts an n-gram, 256 at least."""
+    return np.maximum(8, np.ceil(np.log2(np.maximum(n, 1) * 4.0))).astype(np.int64)
 
 
 def parity_sketches(h: np.ndarray, edges: np.ndarray) -> list[bytes]:
@@ -235,7 +235,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links, parts = None, None
     for nth in range(ROUNDS):
         named = _with_components(cells, parts)
-        order = F.xxhash64("cls", "lane", F.lit(nth))
+        order = F.struct((F.col("component") != F.col("cls")) & F.lit(nth > 0), F.xxhash64("cls", "lane", F.lit(nth)))  # later on, classes without a link first
         pivots = named.groupBy("lane", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(order, "cls", "n", "component")).alias("pivot"))
         pivots = pivots.where("lo <> hi").select("lane", "cell", F.col("pivot.cls").alias("a"), F.col("pivot.n").alias("m"), F.col("pivot.component").alias("of"))
         stars = skew_join(named, pivots, ["lane", "cell"]).where((F.col("component") != F.col("of")) & _sizes_fit(percent))
