@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,37 +16,57 @@ from tessera.plans.skew import skew_join
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``(id, component)`` for every vertex of ``edges``; the component is its smallest vertex.
 
-    Large-star and small-star steps alternate: each hangs neighbours below the smallest vertex
-    they see, so that every component becomes a star in a logarithmic number of rounds. A step is
-    a grouped minimum and a join; the hub of a star is a hot key of that join only, which
-    ``skew_join`` splits. Each round is written to the shared folder.
+    Each task first reduces its batches of integer edges to forests of stars. Then large-star and
+    small-star steps alternate: each hangs neighbours below the smallest vertex they see, so that
+    every component becomes a star in a logarithmic number of rounds. A step is a grouped minimum
+    and a join; the hub of a star is a hot key of that join only, which ``skew_join`` splits. Each
+    step is written to the shared folder.
 
     Self-loops give a vertex of its own; edges with a null end are left out; no edges, no rows.
     Any orderable vertex type will do.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    loops = spill(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "vertices")
+    loops = pairs.where("u = v").select(F.col("u").alias("id"), F.col("v").alias("component"))
+    if dict(pairs.dtypes) == {"u": "bigint", "v": "bigint"}:
+        pairs = pairs.mapInArrow(_forests, pairs.schema)
     now = spill(_down(pairs), "edges")
     mark = _mark(now)
     for _ in range(max_rounds):
-        if not mark[0]:
-            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = skew_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = spill(_down(large), "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = skew_join(large, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, mark = mark, _mark(large)
+        least = spill(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        now = large
+        if (least.agg(F.max("n")).first()[0] or 1) == 1:  # stars already: a small-star step would change nothing
+            if mark == before:
+                break
+            continue
+        small = skew_join(large, least.drop("n"), ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = spill(_down(small.unionByName(least.select("u", F.col("m").alias("v")))), "edges")
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
+        mark = _mark(now)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return (
-        loops.join(now.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left")
-        .select("id", F.coalesce("component", "id").alias("component"))
-    )
+    roots = now.select(F.col("v").alias("id"), F.col("v").alias("component"))
+    found = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots).unionByName(loops)
+    return found.groupBy("id").agg(F.min("component").alias("component"))
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same components inside each batch, as stars around their smallest vertices."""
+    for batch in batches:
+        ids, ends = np.unique(np.concatenate([np.asarray(batch.column(0)), np.asarray(batch.column(1))]), return_inverse=True)
+        p, q = ends[: batch.num_rows], ends[batch.num_rows :]
+        label = np.arange(len(ids))
+        while len(p):
+            a, b = label[p], label[q]
+            apart = a != b
+            p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label[label] != label).any():
+                label = label[label]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["u", "v"])
 
 
 def _down(pairs: DataFrame) -> DataFrame:
