@@ -4,18 +4,18 @@ Equal sets are one class; a class is a point of the metric space with distance 1
 runs in two rounds of regions, and in both no group of similar documents is ever expanded to pairs.
 
 1. Voronoi cells. Each class falls into a few cells, one for each of several random orders of all
-   n-grams: the cell of the first of its n-grams, with which it also shares that order's nearest
-   pivot. A cell's pivot is its least class. Members are compared with their pivots only (a star, so
-   the work is linear in any cell), and the links found make a first set of components.
+   n-grams: the cell of the first of its n-grams, which is that order's nearest pivot to it. One
+   member of a cell is compared with the others (a star, so the work is linear in any cell), and the
+   links found make a first set of components. Cells that still hold several components then get
+   another such member, one without links first, for the members of other components than its own.
 2. Boundary windows. Every n-gram is the pivot of a region; by the triangle inequality for |x \\ y|, a
    class can only have a link into a region when its pivot is among the first n - ceil(t n) + 1
    n-grams of the class in one fixed order, so the class is replicated to just these. Any linked
    pair therefore meets in a region. Regions whose members all are of one component already are
    done. In the others, pairs of different components recurse into exact comparison, unless their
    sizes, or parity sketches that bound the symmetric difference from below, show that they are too
-   far apart. Frequent n-grams come
-   last in the fixed order, so that a passage that very many documents share makes no region for
-   documents that have enough else.
+   far apart. Frequent n-grams come last in the fixed order, so that a passage that very many
+   documents share makes no region for documents that have enough else.
 
 Links of both rounds together give the components: exactly those of all links.
 
@@ -273,7 +273,7 @@ def _regions(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFr
 
     def send(batches):
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 h, edges = ngram_sets(part.column(1), k)
                 at = np.minimum(np.searchsorted(last.value, h), max(0, len(last.value) - 1))
                 late = last.value[at] == h if len(last.value) else np.zeros(len(h), bool)
@@ -364,7 +364,7 @@ def _far_pairs(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     upto = np.cumsum(count)
     at = 0
     while at < len(n):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 1_000_000, side="right")))
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 400_000, side="right")))
         p = np.repeat(np.arange(at, to), count[at:to])
         q = ragged(np.arange(at, to) + 1, count[at:to])
         ok = (comp[p] != comp[q]) & (np.minimum(tile[p], tile[q]) == i[p]) & (np.maximum(tile[p], tile[q]) == j[p])
