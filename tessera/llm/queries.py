@@ -120,4 +120,32 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
 FROM p JOIN b USING (skey)
 """
 
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op9_mix_sources": OP9_SQL}
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 4)),
+n AS (SELECT d.doc_id, count(g) AS n FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y, k = a.n AND k = b.n AS same FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+c AS (SELECT x, min(y) AS y FROM r GROUP BY 1),
+z AS (SELECT x, count(*) AS z FROM l WHERE same GROUP BY 1)
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(c.y, doc_id)) AS component_id, 1 + coalesce(z, 0) AS class_size
+FROM n LEFT JOIN c ON c.x = doc_id LEFT JOIN z ON z.x = doc_id
+"""
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS ws FROM documents),
+v AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS q FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+m AS (SELECT q, min(doc_id) AS m FROM v GROUP BY 1),
+g AS (SELECT DISTINCT doc_id, i + k.range AS i FROM v JOIN m USING (q) CROSS JOIN range(13) k WHERE m < doc_id),
+w AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+x AS (SELECT w.doc_id, w.i, word, g.i IS NOT NULL AS gone FROM w LEFT JOIN g ON g.doc_id = w.doc_id AND g.i = w.i),
+f AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM x),
+a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS r, count(*) FILTER (WHERE starts) AS f, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS t FROM f GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(f, 0) AS n_factors FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op9_mix_sources": OP9_SQL}
