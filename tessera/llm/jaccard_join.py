@@ -14,7 +14,9 @@ runs in two rounds of regions, and in both no group of similar documents is ever
    pair therefore meets in a region. Regions whose members all are of one component already are
    done. In the others, pairs of different components recurse into exact comparison, unless their
    sizes, or parity sketches that bound the symmetric difference from below, show that they are too
-   far apart. Frequent n-grams come last in the fixed order, so that a passage that very many
+   far apart. The first regions of each class, and its first
+   frequent ones, go ahead, which unites most of what is left; then all regions follow, for components that still
+   differ. Frequent n-grams come last in the fixed order, so that a passage that very many
    documents share makes no region for documents that have enough else.
 
 Links of both rounds together give the components: exactly those of all links.
@@ -40,7 +42,8 @@ from tessera.plans.scratch import spill
 from tessera.plans.skew import skew_join
 
 LANES = 6
-ROUNDS = 3
+ROUNDS = 2
+EARLY = 8
 _BITS = 26  # of the filter that keeps sets that nobody asked for out of a shuffle
 _MOST_FREQUENT = 1 << 20  # n-grams put last; bounds what is broadcast, not what is compared
 _SALTS = mix64(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -73,8 +76,8 @@ def ngram_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _level(n: np.ndarray) -> np.ndarray:
-    """Logarithm of the number of parts for a set of n n-grams: four parts an n-gram, 256 at least."""
-    return np.maximum(8, np.ceil(np.log2(np.maximum(n, 1) * 4.0))).astype(np.int64)
+    """Logarithm of the number of parts for a set of n n-grams: two parts an n-gram, 256 at least."""
+    return np.maximum(8, np.ceil(np.log2(np.maximum(n, 1) * 2.0))).astype(np.int64)
 
 
 def parity_sketches(h: np.ndarray, edges: np.ndarray) -> list[bytes]:
@@ -247,14 +250,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # regions of boundary windows
     often = made.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(_MOST_FREQUENT)
     members = spill(_regions(source, k, percent, np.sort(np.array([r.gram for r in often.collect()], np.int64).view(np.uint64))), "regions")
-    named = _with_components(members, parts)
-    open_ = named.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("region", "members")
-    mixed = skew_join(named, open_, ["region"])
-    mixed = mixed.join(classes.select("cls", "n", "sketch"), "cls")
-    far = spill(_different(mixed, percent), "candidates").distinct()
-    more = spill(_verified(source, far, k, percent), "links")
-
-    parts = connected_components(links.unionByName(more), "a", "b").withColumnRenamed("id", "cls")
+    for some in (members.where("early"), members):
+        named = _with_components(some.select("region", "cls"), parts)
+        open_ = named.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("region", "members")
+        mixed = skew_join(named, open_, ["region"])
+        mixed = mixed.join(classes.select("cls", "n", "sketch"), "cls")
+        far = spill(_different(mixed, percent), "candidates").distinct()
+        links = links.unionByName(spill(_verified(source, far, k, percent), "links"))
+        parts = spill(connected_components(links, "a", "b"), "components")
+
+    parts = parts.withColumnRenamed("id", "cls")
     marks = classes.select("cls", "least", "size").join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = marks.groupBy("component").agg(F.min("least").alias("component_id"))
     marks = skew_join(marks, least, ["component"]).select("cls", "component_id", "size")
@@ -263,7 +268,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _regions(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFrame:
-    """``(region, cls)`` of the regions with two classes or more.
+    """``(region, cls, early)`` of the regions with two classes or more; early: among the class's first ``EARLY``, or its first frequent ones.
 
     A task sends its windows as packed arrays by hash range, about 16 bytes an entry and each class
     once a slice; regions of one class end where a range's entries meet.
@@ -277,7 +282,7 @@ def _regions(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFr
                 h, edges = ngram_sets(part.column(1), k)
                 at = np.minimum(np.searchsorted(last.value, h), max(0, len(last.value) - 1))
                 late = last.value[at] == h if len(last.value) else np.zeros(len(h), bool)
-                seen, regions, owners = set(), [], []
+                seen, regions, owners, places = set(), [], [], []
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     if a == b or (c := _class(h[a:b])) in seen:
                         continue
@@ -288,34 +293,36 @@ def _regions(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFr
                     pick = rare if len(rare) == first else np.concatenate([rare, np.flatnonzero(late[a:b])[: first - len(rare)]])
                     regions.append(h[a:b][pick])
                     owners.append(np.full(first, c, np.int64))
+                    places.append((np.arange(first) < EARLY) | ((np.arange(first) >= len(rare)) & (np.arange(first) < len(rare) + EARLY)))
                 if not regions:
                     continue
-                r, c = np.concatenate(regions), np.concatenate(owners)
+                r, c, early = np.concatenate(regions), np.concatenate(owners), np.concatenate(places)
                 order = np.argsort(r)
-                r, c = r[order], c[order]
+                r, c, early = r[order], c[order], early[order]
                 cuts = np.searchsorted(r, np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << 64) // ranges))
                 for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(r)], strict=True)):
                     if b > a:
-                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([r[a:b].tobytes()], pa.binary()), pa.array([c[a:b].tobytes()], pa.binary())], ["hash_range", "regions", "owners"])
+                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([r[a:b].tobytes()], pa.binary()), pa.array([c[a:b].tobytes()], pa.binary()), pa.array([early[a:b].tobytes()], pa.binary())], ["hash_range", "regions", "owners", "early"])
 
-    packs = docs.mapInArrow(send, "hash_range int, regions binary, owners binary").repartition(ranges, "hash_range").sortWithinPartitions("hash_range")
+    packs = docs.mapInArrow(send, "hash_range int, regions binary, owners binary, early binary").repartition(ranges, "hash_range").sortWithinPartitions("hash_range")
 
     def meet(batches):
         for group in _runs(batches, 1):
             r = np.frombuffer(b"".join(group["regions"].to_pylist()), np.int64)
             c = np.frombuffer(b"".join(group["owners"].to_pylist()), np.int64)
+            early = np.frombuffer(b"".join(group["early"].to_pylist()), bool)
             order = np.lexsort((c, r))
-            r, c = r[order], c[order]
+            r, c, early = r[order], c[order], early[order]
             new = np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])])
-            r, c = r[new], c[new]
+            r, c, early = r[new], c[new], early[new]
             start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
             size = np.diff(np.append(start, len(r)))
             many = np.repeat(size > 1, size)
-            r, c = r[many], c[many]
+            r, c, early = r[many], c[many], early[many]
             for at in range(0, len(r), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(r[at : at + 100_000]), pa.array(c[at : at + 100_000])], ["region", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(r[at : at + 100_000]), pa.array(c[at : at + 100_000]), pa.array(early[at : at + 100_000])], ["region", "cls", "early"])
 
-    return packs.mapInArrow(meet, "region long, cls long")
+    return packs.mapInArrow(meet, "region long, cls long, early boolean")
 
 
 def _different(mixed: DataFrame, percent: int, most: int = 4096) -> DataFrame:
