@@ -31,7 +31,8 @@ def _(spark, d):
 SELECT "row", coalesce(sum(n) OVER (ORDER BY "row" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM n""")
 def _(spark, d):
     t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("val"))
-    return op.row_offsets(t, spark, 2000, 256)
+    last = t.agg(F.max("row")).first()[0]
+    return op.row_offsets(t, spark, 0 if last is None else last + 1)
 
 
 @register("adj_to_csr", 'SELECT vec_id AS "row", list_filter(range(64), lambda i: embedding[i + 1] > 0) AS cols FROM embeddings')
