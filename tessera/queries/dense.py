@@ -183,7 +183,9 @@ _ROWS = f"SELECT \"row\", list(val ORDER BY \"col\") AS vec"
 
 @register("copy_rows", f"WITH {E} SELECT i AS \"row\", \"col\", val FROM (SELECT range AS i, (range * 7) % 100 AS src FROM range(200)) JOIN e ON src = \"row\"")
 def _(spark, d):
-    return op.gather(emb_cells(spark, d), spark.range(200).select(F.col("id").alias("i"), ((F.col("id") * 7) % 100).alias("src")))
+    ids = emb_keys(spark, d)
+    n = F.broadcast(ids.agg(F.count("*").alias("n")))
+    return op.gather(emb_cells(spark, d), ids.join(n).select(F.col("row").alias("i"), ((F.col("row") * 7) % F.col("n")).alias("src")))
 
 
 @register("gather", f"WITH {E}, n AS (SELECT count(*) AS n FROM embeddings) SELECT s.vec_id AS \"row\", \"col\", val FROM embeddings s, n JOIN e ON (s.vec_id * 3 + 1) % n = \"row\"")
@@ -218,7 +220,7 @@ def _(spark, d):
 
 @register("reverse_rows", f"WITH {E} SELECT 99 - \"row\" AS \"row\", \"col\", val FROM e WHERE \"row\" < 100")
 def _(spark, d):
-    return op.reverse_rows(emb_cells(spark, d).where("row < 100"), 100)
+    return op.reverse_rows(emb_cells(spark, d), table(spark, d, "embeddings").count())
 
 
 @register("shift_cols", f"WITH {E} SELECT \"row\", \"col\" + 3 AS \"col\", val FROM e WHERE \"col\" < 61 UNION ALL SELECT vec_id, range, 100 FROM embeddings, range(3)")
@@ -228,7 +230,7 @@ def _(spark, d):
 
 @register("shift_rows", f"WITH {E} SELECT \"row\" + 2 AS \"row\", \"col\", val FROM e WHERE \"row\" < 98 UNION ALL SELECT \"row\", \"col\", 7 FROM e WHERE \"row\" < 2")
 def _(spark, d):
-    return op.to_long(op.shift_rows(emb_rows(spark, d).where("row < 100"), 100, 2, 7.0))
+    return op.to_long(op.shift_rows(emb_rows(spark, d), table(spark, d, "embeddings").count(), 2, 7.0))
 
 
 @register("triangular", f"WITH {E} SELECT * FROM e WHERE \"row\" < 64 AND \"col\" >= \"row\"")

@@ -167,7 +167,7 @@ def _(spark, d):
     from tessera.sources import npy
 
     path = new_path(spark, "npy")
-    npy.write_rows(emb_rows(spark, d).where("row < 100"), path)
+    npy.write_rows(emb_rows(spark, d), path)
     return npy.read_rows(spark, path)
 
 

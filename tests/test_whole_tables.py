@@ -17,3 +17,35 @@ def test_csr_offsets(spark, d):
     out = QUERIES["csr_offsets"](spark, d).orderBy("row").toPandas()
     assert out["row"].tolist() == list(range(keys.max() + 1))
     assert out["start"].tolist() == [0, *np.cumsum(n)[:-1].tolist()]
+
+
+def _vectors(d):
+    t = pq.read_table(f"{d}/embeddings.parquet", columns=["vec_id", "embedding"]).sort_by("vec_id")
+    assert t["vec_id"].to_pylist() == list(range(t.num_rows))
+    return np.array(t["embedding"].to_pylist(), "f4").astype(float)
+
+
+def _whole(spark, name, d):
+    """The query's result as a matrix; each cell stands there once."""
+    out = QUERIES[name](spark, d)
+    if "vec" in out.columns:
+        rows = out.orderBy("row").collect()
+        assert [r["row"] for r in rows] == list(range(len(rows)))
+        return np.array([r["vec"] for r in rows])
+    t = out.toPandas()
+    m = np.full((t["row"].max() + 1, t["col"].max() + 1), np.nan)
+    assert len(t) == m.size
+    m[t["row"], t["col"]] = t["val"]
+    return m
+
+
+@pytest.mark.parametrize("name", ["copy_rows", "reverse_rows", "shift_rows", "serialize_npy"])
+def test_all_embeddings(spark, sf, name):
+    x = _vectors(sf)
+    wanted = {
+        "copy_rows": lambda: x[np.arange(len(x)) * 7 % len(x)],
+        "reverse_rows": lambda: x[::-1],
+        "shift_rows": lambda: np.vstack([np.full((2, x.shape[1]), 7.0), x[:-2]]),
+        "serialize_npy": lambda: x,
+    }[name]()
+    assert np.array_equal(_whole(spark, name, sf), wanted)
