@@ -10,6 +10,11 @@ sample of pages that the fit reads is bounded; every whole page is extracted.
 Within the run, what is no article text by its element or its class is left out: menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. Character
 references are decoded, white space inside a block becomes one space, blocks are joined by \n.
+
+A class or id names such a part by the whole of one of its words, or by that word's first or last
+portion (``site-header``); what follows ``has``, ``no``, ``with`` and the like names a state of the
+page. Names are weaker evidence than elements: one around the only article or around most of the
+content is that of a layout and drops nothing, see :func:`_lift`.
 """
 
 from __future__ import annotations
@@ -37,6 +42,9 @@ NO_TEXT_NAMES = frozenset(
     "consent gdpr notice alert popup modal overlay breadcrumb breadcrumbs share sharing social related recommended newsletter subscribe subscription signup login comment comments "
     "disqus discussion replies respond form search widget toolbar pagination pager copyright".split()
 )
+#: of these, parts that may hold more running text than the article: their size is no sign of a layout
+OWN_TEXT_NAMES = frozenset("comment comments disqus discussion replies respond related recommended cookie cookies consent gdpr notice popup modal overlay".split())
+STATES = frozenset("has have no non not with without hide show".split())
 NO_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CONTENT = ("article", "main")
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -52,30 +60,46 @@ PRIOR = {"p": (8, 1), "h1": (2, 1), "h2": (2, 1), "h3": (2, 1), "blockquote": (2
 LEAST_WORD, LEAST_TAG = 0.1, -0.1
 
 
+class _Name:
+    """An element whose class, id or role says that it is no article text; ``strength`` as in :func:`_named_part`."""
+
+    __slots__ = ("strength", "outer", "lifted")
+
+    def __init__(self, strength: int, outer: _Name | None):
+        self.strength, self.outer, self.lifted = strength, outer, False
+
+    def chain(self) -> Iterator[_Name]:
+        at = self
+        while at is not None:
+            yield at
+            at = at.outer
+
+
 class _Open:
-    __slots__ = ("tag", "feature", "dropped")
+    __slots__ = ("tag", "feature", "dropped", "name")
 
-    def __init__(self, tag: str, feature: str, dropped: bool):
-        self.tag, self.feature, self.dropped = tag, feature, dropped
+    def __init__(self, tag: str, feature: str, dropped: bool, name: _Name | None):
+        self.tag, self.feature, self.dropped, self.name = tag, feature, dropped, name
 
 
-def events(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """``(kind, feature, text, dropped, in content)`` of a page in order; kind is ``tag``, ``text`` or ``break``.
+def events(page: str) -> Iterator[tuple[str, str, str, bool, bool, _Name | None]]:
+    """``(kind, feature, text, dropped, in content, name)`` of a page in order; kind is ``tag``, ``text`` or ``break``.
 
     The feature of a tag is its name with its first class; of a text, that of the element around
-    it. ``dropped`` says that the text is no article text whatever its score.
+    it. ``dropped`` says that the text is no article text by an element around it, ``name`` is the
+    innermost element around it that is none by its name.
     """
     stack: list[_Open] = []
     at, n = 0, len(page)
 
     def state():
-        return (stack[-1].dropped if stack else False), any(o.tag in CONTENT for o in stack)
+        return (stack[-1].dropped if stack else False), any(o.tag in CONTENT for o in stack), (stack[-1].name if stack else None)
 
     def text(raw: str):
         if raw:
-            dropped, inside = state()
+            dropped, inside, name = state()
             feature = next((o.feature for o in reversed(stack) if o.tag not in INLINE), "")
-            yield "text", feature, raw, dropped, inside
+            yield "text", feature, raw, dropped, inside, name
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -92,18 +116,18 @@ def events(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
                 continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
-            dropped, inside = state()
-            yield "tag", tag, "", dropped, inside
+            dropped, inside, name = state()
+            yield "tag", tag, "", dropped, inside, name
             continue
         if tag not in INLINE:
-            yield "break", "", "", False, False
+            yield "break", "", "", False, False, None
         if closing:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
             if depth is not None:
                 gone = stack[depth]
                 del stack[depth:]
-                dropped, inside = state()
-                yield "tag", "/" + gone.feature, "", dropped, inside
+                dropped, inside, name = state()
+                yield "tag", "/" + gone.feature, "", dropped, inside, name
             continue
         if tag in CLOSES_P:
             _close_p(stack)
@@ -112,11 +136,14 @@ def events(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         named = {k.lower(): (a or b or c).lower() for k, a, b, c in _ATTR.findall(m.group(3))} if m.group(3) else {}
         names = named.get("class", "").split()
         feature = f"{tag}.{names[0]}" if names else tag
-        outer, inside = state()
-        dropped = outer or _no_text(tag, named, inside)
+        outer, inside, name = state()
+        dropped = outer or _no_text(tag, inside)
+        strength = _named_part(tag, named)
+        if strength:
+            name = _Name(strength, name)
         if tag not in VOID and not m.group(3).rstrip().endswith("/"):
-            stack.append(_Open(tag, feature, dropped))
-        yield "tag", feature, "", dropped, inside or tag in CONTENT
+            stack.append(_Open(tag, feature, dropped, name))
+        yield "tag", feature, "", dropped, inside or tag in CONTENT, name
 
 
 def _close_p(stack: list[_Open]) -> None:
@@ -138,14 +165,22 @@ def _close_same(stack: list[_Open], tag: str) -> None:
             return
 
 
-def _no_text(tag: str, named: dict[str, str], inside: bool) -> bool:
-    if tag in NO_TEXT:
-        return not (tag == "header" and inside)  # an article's own header holds its heading
+def _no_text(tag: str, inside: bool) -> bool:
+    return tag in NO_TEXT and not (tag == "header" and inside)  # an article's own header holds its heading
+
+
+def _named_part(tag: str, named: dict[str, str]) -> int:
+    """0: no name of a part that is no article text; 1: a name made with one; 2: such a name or role itself; 3: one of OWN_TEXT_NAMES."""
     if not named or tag in ("html", "body", "main", "article") or tag in ("h1", "h2", "h3", "p"):
-        return False
-    if named.get("role", "") in NO_TEXT_ROLES:
-        return True
-    return any(part in NO_TEXT_NAMES for k in ("class", "id") if k in named for part in _PARTS.split(named[k]))
+        return 0
+    found = 2 if named.get("role", "") in NO_TEXT_ROLES else 0
+    for word in (w for k in ("class", "id") for w in named.get(k, "").split()):
+        parts = [x for x in _PARTS.split(word) if x]
+        said = parts[: next((i for i, x in enumerate(parts) if x in STATES), len(parts))]
+        roles = NO_TEXT_NAMES.intersection((*said[:1], *said[-1:]))
+        if roles:
+            found = max(found, 3 if roles & OWN_TEXT_NAMES else 2 if len(parts) == 1 else 1)
+    return found
 
 
 class PageWeights:
@@ -179,17 +214,70 @@ class PageWeights:
 
 def extract(page: str | None, weights: PageWeights) -> str:
     """The main text of one page; empty for a null or empty page and for one without words."""
+    found = list(events(page or ""))
+    _lift(found, weights)
+    text = _content(found, weights)
+    if not text and _lift_most(found, weights, 3):
+        text = _content(found, weights)
+    return text
+
+
+def _lift(found: list, weights: PageWeights) -> None:
+    """Names that are those of a layout drop nothing from now on.
+
+    They are the names around the only ``article``, or else the only ``main``, unless it stands in a
+    part with a text of its own (a reader's comment may be an ``article``), names made with that of
+    a part (``sidebar-layout``) around more than half of the content, and names of a part around
+    more than nine tenths of it.
+    """
+    for content in CONTENT:
+        opened = [e for e in found if e[0] == "tag" and e[1].partition(".")[0] == content]
+        around = list(opened[0][5].chain()) if len(opened) == 1 and opened[0][5] is not None else []
+        if len(opened) == 1 and all(name.strength < 3 for name in around):
+            for name in around:
+                name.lifted = True
+            break
+    _lift_most(found, weights, 1)
+    _lift_most(found, weights, 2, 0.9)
+
+
+def _lift_most(found: list, weights: PageWeights, strength: int, share: float = 0.5) -> bool:
+    """Lifts names up to ``strength`` that hold more than that share of the words of the best run read without such names."""
+    if not any(e[5] is not None and e[5].strength <= strength and not e[5].lifted for e in found):
+        return False
+    first, last, _ = _best_run(found, weights, strength)
+    words: Counter[_Name] = Counter()
+    total = 0
+    for kind, _, raw, dropped, _, name in found[first : last + 1]:
+        if kind == "text" and not dropped and not _named_away(name, strength):
+            n = len(raw.split())
+            total += n
+            for x in name.chain() if name is not None else ():
+                words[x] += n
+    most = [x for x, n in words.items() if not x.lifted and n > share * total]
+    for x in most:
+        x.lifted = True
+    return bool(most)
+
+
+def _named_away(name: _Name | None, strength: int = 0) -> bool:
+    """Whether a name above ``strength`` that wasn't lifted drops the text."""
+    return name is not None and any(not x.lifted and x.strength > strength for x in name.chain())
+
+
+def _best_run(found: list, weights: PageWeights, strength: int = 0) -> tuple[int, int, list[tuple[int, list[str]]]]:
+    """First and last event of the run with the greatest sum, and the page's blocks; names up to ``strength`` drop nothing."""
     blocks: list[tuple[int, list[str]]] = []  # (number of the event, raw texts)
     best = total = 0.0
     start = best_start = best_end = 0
-    i, fresh = 0, True
-    for i, (kind, feature, raw, dropped, _) in enumerate(events(page or "")):
+    fresh = True
+    for i, (kind, feature, raw, dropped, _, name) in enumerate(found):
         if kind == "break":
             fresh = True
             continue
         if kind == "tag":
             score = weights.of_tag(feature)
-        elif dropped:
+        elif dropped or _named_away(name, strength):
             continue
         else:
             n = len(raw.split())
@@ -206,9 +294,14 @@ def extract(page: str | None, weights: PageWeights) -> str:
         total += score
         if total > best:
             best, best_start, best_end = total, start, i
+    return best_start, best_end, blocks
+
+
+def _content(found: list, weights: PageWeights) -> str:
+    first, last, blocks = _best_run(found, weights)
     out = []
     for at, raws in blocks:
-        if best_start <= at <= best_end:
+        if first <= at <= last:
             text = " ".join(html.unescape("".join(raws)).split())
             if text:
                 out.append(text)
@@ -232,7 +325,7 @@ def fit_page_weights(pages: DataFrame, html_col: str = "html", id_col: str = "pa
                 opened = len(re.findall(r"(?i)<article[\s>]", page)) or len(re.findall(r"(?i)<main[\s>]", page))
                 if opened != 1:
                     continue
-                for kind, feature, _, _, within in events(page):
+                for kind, feature, _, _, within, _ in events(page):
                     if kind != "break" and feature and not feature.startswith("/"):
                         (inside if within else outside)[feature] += 1
         keys = sorted({*inside, *outside})

@@ -362,6 +362,26 @@ def test_page_edges(spark):
     assert html_text.extract_pages(spark.createDataFrame([], schema), weights).count() == 0
 
 
+LAYOUTS = ["class='page has-sidebar'", "class='content no-sidebar'", "id='page-with-comments'", "class='sidebar-layout'", "id=header-fixed", "class='widget'", "role=search"]
+
+
+@pytest.mark.parametrize("wrapper", LAYOUTS)
+def test_page_layouts_keep_the_article(wrapper):
+    weights = html_text.PageWeights({}, {})
+    body = "<h1>A title</h1>" + "<p>Some words of the article that count.</p>" * 5
+    wanted = "\n".join(["A title"] + ["Some words of the article that count."] * 5)
+    notes = "<div class='site-header'>Site</div><div class=comments><p>" + "I beg to differ. " * 40 + "</p></div>"
+    for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div class=text>{body}</div>"):
+        assert html_text.extract(f"<body><div>Skip</div><nav>Home</nav><div {wrapper}>{inner}<div class=sidebar>More to read</div></div>{notes}", weights).removeprefix("Skip\n") == wanted
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "sidebar", "left-sidebar", "cookie-notice", "related"])
+def test_page_parts_stay_out(name):
+    weights = html_text.PageWeights({}, {})
+    page = f"<body><div class=text><p>Some words of the article that count.</p><p>And some more of them to read.</p></div><div class='{name}'><article><p>Not these few.</p></article><article><p>Nor these.</p></article></div>"
+    assert html_text.extract(page, weights) == "Some words of the article that count.\nAnd some more of them to read."
+
+
 # mixing
 
 
