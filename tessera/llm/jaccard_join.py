@@ -1,18 +1,18 @@
-"""Jaccard join of documents' word n-gram sets, as a metric-space join, to connected components.
+"""Jaccard join of documents' word n-gram sets by prefix filtering, to connected components.
 
-Equal sets are one class; a class is a point of the metric space with distance 1 - Jaccard. The join
-runs in two rounds of regions, and in both no group of similar documents is ever expanded to pairs.
+Equal sets are one class; the distance of two classes is 1 - Jaccard. Prefix filtering replaces a
+metric-space join: no distances to pivot documents are computed (the README has the figures). The
+join runs in two rounds, and in both no group of similar documents is ever expanded to pairs.
 
-1. Voronoi cells. Each class falls into a few cells, one for each of several random orders of all
-   n-grams: the cell of the first of its n-grams, which is that order's nearest pivot to it. One
+1. Cells, which are min-hash buckets. Each class falls into a few, one for each of several random
+   orders of all n-grams: the cell of the first of its n-grams in that order. One
    member of a cell is compared with the others (a star, so the work is linear in any cell), and the
    links found make a first set of components. Cells that still hold several components then get
    another such member, one without links first, for the members of other components than its own.
-2. Boundary windows. Every n-gram is the pivot of a region; by the triangle inequality for |x \\ y|, a
-   class can only have a link into a region when its pivot is among the first n - ceil(t n) + 1
-   n-grams of the class in one fixed order, so the class is replicated to just these. Any linked
-   pair therefore meets in a region. Regions whose members all are of one component already are
-   done. In the others, pairs of different components recurse into exact comparison, unless their
+2. Prefix filtering. Every n-gram has a region; two linked classes share one of the first
+   n - ceil(t n) + 1 n-grams of each in one fixed order, so a class is replicated to just the regions
+   of these. Any linked pair therefore meets in a region. Regions whose members all are of one component already are
+   done. In the others, pairs of different components are compared exactly, unless their
    sizes, or parity sketches that bound the symmetric difference from below, show that they are too
    far apart. The first regions of each class, and its first
    frequent ones, go ahead, which unites most of what is left; then all regions follow, for components that still
