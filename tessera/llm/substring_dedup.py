@@ -1,14 +1,16 @@
-"""Repeated passages by relative parsing against blocks of reference texts.
+"""Repeated passages by looking up word windows in indexes of blocks of texts.
+
+This replaces relative (Lempel-Ziv) parsing: no text is factored greedily against a reference, whose
+factors would miss windows that lie across two of them (the README has the figures).
 
 Documents are read in blocks of some tens of megabytes. Of each block an index is made: every run
 of ``window`` consecutive words as a hash, with the least document of the block in which it starts.
 Indexes are sorted by hash, cut by hash range and sent as packed arrays, so that a window costs
 about 8 bytes to move. Where the ranges of all blocks meet, each block learns which of its windows
-also start in a smaller document of another block. Then every document is parsed again, whole: it
-is a sequence of factors, the longest runs of words whose windows all start in smaller documents,
-and of words outside any factor. A factor may go on from one reference document to another; then
-the windows across that boundary have matched on their own too, since every window is looked up.
-Factors are at least ``window`` words long and are removed.
+also start in a smaller document of another block. Then every document is read again, whole: the
+words of all windows that start in smaller documents are removed, and what is called a factor is a
+run of such words. A run may go on from one reference document to another. It is at least ``window``
+words long.
 
 Nothing is kept per document on the driver, and the size of the index plays no part in it: a task
 holds one block, or one hash range of all blocks. A passage that every document shares is one entry
