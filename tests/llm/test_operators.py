@@ -83,6 +83,13 @@ def test_exact_drop(docs, empty):
     assert smallest[hashlib.sha256(LONG.encode()).hexdigest()] == 7
 
 
+def test_exact_merges_sorted_runs(spark, docs):
+    """Runs are sorted by (run, digest) before each exchange and merged in that order after it; no hash aggregate."""
+    rows = docs.repartition(20).select(F.col("doc_id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("__sha"), F.octet_length("text").alias("__len"), F.xxhash64("text").alias("__xx"), F.monotonically_increasing_id().alias("__row"), F.spark_partition_id().alias("__run"))
+    plan = exact_dedup.merge_runs(rows, "largest", 16)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortAggregate(key=[__run") == 4 and "HashAggregate" not in plan
+
+
 # secrets
 
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
