@@ -33,7 +33,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return scan_secrets(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
+    return scan_secrets(docs, owner=F.col("source"), repository=F.col("doc_id"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

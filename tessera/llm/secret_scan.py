@@ -1,8 +1,9 @@
 r"""Secret scanning with corpus-wide ownership frequency.
 
 Candidates come from four patterns over whole texts. The hash of each candidate's value is counted
-over the corpus by distinct repositories and owners. A value that many owners have is a widely
-copied example; one that a single owner has and that mixes character classes looks live. Long
+over the corpus by distinct repositories and owners. A value that many owners or many repositories
+have is a widely copied example; one that a single owner has in few repositories and that mixes
+character classes looks live. Long
 mixed tokens that stand alone (kind ``bare``) are reported only when the counts make them
 owner-specific; matches of the other three kinds are always reported.
 
@@ -43,13 +44,15 @@ def scan_secrets(
     owner: Column | None = None,
     repository: Column | None = None,
     example_owners: int = 3,
+    example_repositories: int = 10,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_bare, n_live, n_example.
 
     ``spans`` lists ``kind:start:end`` (code points, end exclusive) by start, then kind;
     ``base_sha256`` is the hash of that list without the added kind. ``n_live`` counts spans whose
-    value one owner has and that mixes letters and digits, ``n_example`` those whose value
-    ``example_owners`` owners or more have. A null owner or repository is one owner or repository.
+    value mixes letters and digits and that one owner has in fewer than ``example_repositories``
+    repositories, ``n_example`` those whose value ``example_owners`` owners or more have, or
+    ``example_repositories`` repositories or more, of whatever owners. A null owner or repository is one owner or repository.
     A null text counts as empty: counts of 0, an empty list. Rows with the same identifier are
     kept apart; an empty table gives no rows.
     """
@@ -86,15 +89,16 @@ def scan_secrets(
     next_base = F.min(F.when(F.col("nth") < 3, F.col("start"))).over(own.orderBy("start", "nth").rowsBetween(1, Window.unboundedFollowing))
     marked = marked.withColumns({"reach": base_reach, "next_base": next_base})
     clear = (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.col("next_base").isNull() | (F.col("next_base") >= F.col("end")))
-    live = (F.col("n_owners") == 1) & F.col("mixed")
-    marked = marked.withColumn("live", live).where((F.col("nth") < 3) | (live & clear))
+    example = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repositories)
+    live = (F.col("n_owners") == 1) & ~example & F.col("mixed")
+    marked = marked.withColumns({"live": live, "example": example}).where((F.col("nth") < 3) | (live & clear))
     span = F.struct("start", "nth", F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("nth") + 1), "start", "end").alias("span"))
     spans = marked.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.sort_array(F.collect_list(span)).alias("all"),
         *[F.count_if(F.col("nth") == i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.count_if("live").alias("n_live"),
-        F.count_if(F.col("n_owners") >= example_owners).alias("n_example"),
+        F.count_if("example").alias("n_example"),
     )
     base = F.filter("all", lambda x: x["nth"] < 3)
     joined = lambda a: F.array_join(F.transform(a, lambda x: x["span"]), ",")

@@ -120,6 +120,17 @@ def test_secrets(spark, docs, small, empty):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+def test_secrets_copied_inside_one_owner(spark, tmp_path):
+    from tessera.llm.queries import op1_secret_scan
+
+    often, seldom = "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1", "Qq1Ww2Ee3Rr4Tt5Yy6Uu7Ii8Oo9"
+    texts = [f"see {often} there"] * 12 + ["token = abcdefghij1234"] * 12 + [f"see {seldom} there"] * 2
+    spark.createDataFrame([(i, t, "en", "hot", 0) for i, t in enumerate(texts)], DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: (r.n_assign, r.n_bare, r.n_live, r.n_example) for r in op1_secret_scan(spark, str(tmp_path)).collect()}
+    assert {out[i] for i in range(12)} == {(0, 0, 0, 0)} and {out[i] for i in range(12, 24)} == {(1, 0, 0, 1)}
+    assert {out[i] for i in (24, 25)} == {(0, 1, 1, 0)}
+
+
 # toxicity
 
 
