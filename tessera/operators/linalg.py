@@ -272,14 +272,14 @@ class SparseOperator:
         return out
 
 
-def eigsh(cells: DataFrame, n: int, k: int = 6, which: str = "LM", v0: np.ndarray | None = None, ncv: int | None = None, maxiter: int | None = None, tol: float = 0.0, seed: int = 0):
+def eigsh(cells: DataFrame, n: int, k: int = 6, which: str = "LM", v0: np.ndarray | None = None, ncv: int | None = None, maxiter: int | None = None, tol: float = 0.0, seed: int = 0, local_cells: int = 2_000_000):
     """k eigenpairs of a symmetric sparse matrix by Lanczos with full re-orthogonalisation and thick restarts.
 
     ``which``: LA, SA, LM or SM. Values come in ascending order, vectors as columns.
     """
     if which not in ("LA", "SA", "LM", "SM") or not 1 <= k <= n:
         raise ValueError("which is LA, SA, LM or SM, and 1 <= k <= n")
-    a = SparseOperator(cells, n, n)
+    a = SparseOperator(cells, n, n, local_cells=local_cells)
     ncv = min(n, ncv or max(2 * k + 1, 20))
     tol = tol or np.finfo(float).eps ** 0.5 * 1e-2
     start = v0 if v0 is not None else np.random.default_rng(seed).standard_normal(n)
@@ -319,11 +319,11 @@ def eigsh(cells: DataFrame, n: int, k: int = 6, which: str = "LM", v0: np.ndarra
     return theta[best][up], _fixed_sign(vectors[:, up])
 
 
-def svds(cells: DataFrame, n_rows: int, n_cols: int, k: int = 6, n_oversamples: int = 10, n_power_iters: int = 2, seed: int = 0, return_singular_vectors: bool | str = True):
+def svds(cells: DataFrame, n_rows: int, n_cols: int, k: int = 6, n_oversamples: int = 10, n_power_iters: int = 2, seed: int = 0, return_singular_vectors: bool | str = True, local_cells: int = 2_000_000):
     """Randomised SVD of a sparse matrix: ``(U, s descending, V^T)``, or what is asked for of it."""
     if not 1 <= k < min(n_rows, n_cols):
         raise ValueError("1 <= k < min(shape)")
-    a = SparseOperator(cells, n_rows, n_cols)
+    a = SparseOperator(cells, n_rows, n_cols, local_cells=local_cells)
     q = np.random.default_rng(seed).standard_normal((n_cols, min(k + n_oversamples, min(n_rows, n_cols))))
     y, _ = np.linalg.qr(a.times(q))
     for _ in range(n_power_iters):

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import linalg as op
 from tessera.operators.dense import to_long
-from tessera.operators.sparse import transpose
-from tessera.queries.common import E, emb_cells, emb_keys, emb_rows, table
+from tessera.operators.graph import laplacian
+from tessera.operators.sparse import coo, transpose
+from tessera.plans.scratch import spill
+from tessera.queries.common import E, emb_cells, emb_keys, emb_rows, order_part, table, user_edges
 from tessera.registry import register
 
 
@@ -130,3 +132,41 @@ def _(spark, d):
 def _(spark, d):
     s = op.svds(_path(spark, 30), 30, 30, 3, n_oversamples=20, n_power_iters=8, return_singular_vectors=False)
     return _frame(spark, v=s).withColumn("v", F.round("v", 4))
+
+
+# the solvers over whole tables, with products in the cluster at every scale; SQL can't express them
+
+
+def _size(cells, name):
+    """Rows or columns up to the largest number."""
+    last = cells.agg(F.max(name)).first()[0]
+    return 0 if last is None else last + 1
+
+
+def _customers(spark, d):
+    """Laplacian of the customers' graph, and its size."""
+    e = user_edges(spark, d)
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    cells = spill(laplacian(coo(both.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("w").alias("val")))), "laplacian")
+    return cells, _size(cells, "row")
+
+
+@register("lanczos_customers")
+def _(spark, d):
+    cells, n = _customers(spark, d)
+    w, _ = op.eigsh(cells, n, 4, "LA", local_cells=0)
+    return _frame(spark, v=w)
+
+
+@register("eigsh_customers")
+def _(spark, d):
+    cells, n = _customers(spark, d)
+    w, v = op.eigsh(cells, n, 3, "LM", local_cells=0)
+    return _frame(spark, k=np.repeat(np.arange(3), n), i=np.tile(np.arange(n), 3), value=np.repeat(w, n), x=v.T.ravel())
+
+
+@register("randomized_svds_orders")
+def _(spark, d):
+    cells = spill(order_part(spark, d), "orders")
+    s = op.svds(cells, _size(cells, "row"), _size(cells, "col"), 3, n_oversamples=20, n_power_iters=16, return_singular_vectors=False, local_cells=0)
+    return _frame(spark, v=s)

@@ -49,3 +49,30 @@ def test_all_embeddings(spark, sf, name):
         "serialize_npy": lambda: x,
     }[name]()
     assert np.array_equal(_whole(spark, name, sf), wanted)
+
+
+def _dense(cells):
+    t = cells.toPandas()
+    m = np.zeros((t["row"].max() + 1, t["col"].max() + 1))
+    m[t["row"], t["col"]] = t["val"]
+    return m
+
+
+def test_sparse_solvers(spark, sf, monkeypatch):
+    from tessera.operators import linalg
+    from tessera.queries.common import order_part
+    from tessera.queries.linalg import _customers
+
+    where = []
+    times = linalg.SparseOperator.times
+    monkeypatch.setattr(linalg.SparseOperator, "times", lambda self, x, trans=False: where.append(self.local) or times(self, x, trans))
+    m = _dense(_customers(spark, sf)[0])
+    w = np.linalg.eigvalsh(m)
+    assert len(m) == 150 and np.allclose(m, m.T)
+    assert np.allclose([r.v for r in QUERIES["lanczos_customers"](spark, sf).orderBy("v").collect()], w[-4:], rtol=1e-8)
+    t = QUERIES["eigsh_customers"](spark, sf).orderBy("k", "i").toPandas()
+    x = t["x"].to_numpy().reshape(3, -1).T
+    assert np.allclose(t["value"].to_numpy()[:: len(m)], w[-3:], rtol=1e-8) and np.allclose(m @ x, x * w[-3:], atol=1e-4 * w[-1])
+    s = np.linalg.svd(_dense(order_part(spark, sf)), compute_uv=False)
+    assert np.allclose([r.v for r in QUERIES["randomized_svds_orders"](spark, sf).orderBy("v", ascending=False).collect()], s[:3], rtol=1e-3)
+    assert where and all(x is None for x in where)
