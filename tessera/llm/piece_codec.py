@@ -6,7 +6,12 @@ after another character, which is checked when the model is read, so no best pat
 Distinct segments of equal length advance together: at each position the hashes of all substrings
 that end there are looked up among the sorted hashes of the pieces, the best step's length and
 piece are kept for every segment at once, and the paths are read back together. A character that
-no piece covers becomes its UTF-8 bytes, so that decoding gives every text back.
+no piece covers becomes its UTF-8 bytes, so that decoding gives every text back. A hash that hits is
+followed by a comparison of the code points, both for pieces and for segments that are known already.
+
+A segment of more than 64 code points is cut further between two neighbours that stand next to each
+other in no piece; what is longer than 256 even so is read by itself, with the pieces in a
+dictionary: the same recurrence, a few microseconds a character, whatever the length.
 
 For a unigram model the best path has the greatest sum of scores, and of equal ones the longer last
 piece. A BPE model's scores are merge priorities, not weights of a path: a path is right when no
@@ -16,7 +21,6 @@ a piece with which it keeps, which leaves one path at every position, the one th
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -26,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.words import buffer_of, mix64, ragged, slices
+from tessera.llm.words import buffer_of, mix64, ragged, same_bytes, slices, word_hashes
 
 MARK = 0x2581
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _NONE = -1e300
+_WIDE = 64  # a longer segment is looked through for places that no piece crosses
+_ALONE = 256  # what is still longer then is read by itself
 _LITERAL = 0x110000  # a space mark that stands in the text itself; it is spelled in bytes
 
 
@@ -78,6 +84,13 @@ class PieceModel:
         keys = np.array([self._key(np.array([ord(c) for c in pieces[i]], np.uint32)) for i in usual], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids, self.scores = keys[order], np.array(usual)[order], scores[usual][order]
+        self.table = np.zeros((len(order), self.longest), np.uint32)  # code points of each piece, in the order of the keys
+        for k, i in enumerate(self.ids):
+            self.table[k, : len(pieces[i])] = [ord(c) for c in pieces[i]]
+        self.by_text = {pieces[i]: (i, float(scores[i])) for i in usual}
+        self.spelling = {i: pieces[i] for i in usual}
+        self.inside = np.unique(np.array([(ord(a) << 32) | ord(b) for i in usual for a, b in zip(pieces[i], pieces[i][1:])], np.uint64))
+        self.kept_pairs: dict[tuple[int | None, int], bool] = {}
         self.marks = np.zeros(1 << 21, bool)  # leading hash bits of pieces: most substrings stop here
         self.marks[self.keys >> np.uint64(43)] = True
         if (np.diff(self.keys) == 0).any():
@@ -107,8 +120,8 @@ class PieceModel:
         return mix64(np.array([h ^ np.uint64(len(points) << 40)], np.uint64))[0]
 
     def _forget(self) -> None:
-        self.known, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.starts = self.counts = np.zeros(0, np.int64)
+        self.known, self.flat, self.spelled = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.starts = self.counts = self.places = self.sizes = np.zeros(0, np.int64)
 
     def viterbi(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of ``points``, a matrix with one segment a row, and how many each row has."""
@@ -127,6 +140,8 @@ class PieceModel:
             for l in (x for x in self.lengths if x <= j):
                 r, at = self._look_up((run[j, open_] - run[j - l, open_] * power[l]) ^ np.uint64(l << 40))
                 r = open_[r]
+                ok = (points[r, j - l : j] == self.table[at, :l]).all(axis=1)
+                r, at = r[ok], at[ok]
                 if l == 1:
                     alone[r] = True
                 if self.merges:
@@ -221,6 +236,12 @@ class PieceModel:
             real = np.arange(m - 1)[None, :] < (count[live] - 1)[:, None]
             raw = (run[live[:, None], t] - run[live[:, None], s] * power[t - s]) ^ ((t - s).astype(np.uint64) << np.uint64(40))
             some, at = self._look_up(raw.ravel())
+            n = np.broadcast_to(t - s, raw.shape).ravel()[some]
+            begin = (np.broadcast_to(live[:, None] * width + s, raw.shape)).ravel()[some]
+            if len(some):
+                equal = points.ravel()[ragged(begin, n)] == self.table.ravel()[ragged(at * self.longest, n)]
+                ok = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+                some, at = some[ok], at[ok]
             score = np.full(raw.size, -np.inf)
             score[some] = self.scores[at]
             score = np.where(real, score.reshape(raw.shape), -np.inf)
@@ -267,40 +288,42 @@ class PieceModel:
         cut[doc[:-1][filled]] = True
         s = np.flatnonzero(cut)
         length = np.diff(np.append(s, n))
-        h = self._hashes(points, s, length)
-        u, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(u) > self.most:
+        if (wide := length > _WIDE).any():
+            at = ragged(s[wide] + 1, length[wide] - 1)
+            cut[at] = ~self._crossed(points, at)
+            s = np.flatnonzero(cut)
+            length = np.diff(np.append(s, n))
+        u, at, back = np.unique(word_hashes(points.view(np.uint8), 4 * s, 4 * (s + length)), return_index=True, return_inverse=True)
+        if len(self.known) + len(u) > self.most or len(self.spelled) > 4 * self.most:
             self._forget()
         where = np.searchsorted(self.known, u)
         new = np.flatnonzero(self.known[np.minimum(where, len(self.known) - 1)] != u) if len(self.known) else np.arange(len(u))
         if len(new):
             self._learn(u[new], points, s[at[new]], length[at[new]])
             where = np.searchsorted(self.known, u)
-        counts = self.counts[where][back]
-        ids = self.flat[ragged(self.starts[where][back], counts)]
+        where = where[back]
+        starts, counts, flat = self.starts[where], self.counts[where], self.flat
+        same = self.sizes[where] == length
+        same[same] = same_bytes(points.view(np.uint8), 4 * s[same], self.spelled.view(np.uint8), 4 * self.places[where[same]], 4 * length[same])
+        if not same.all():  # another segment has this hash
+            odd = np.flatnonzero(~same)
+            ids, counts[odd] = self._paths(points, s[odd], length[odd])
+            starts[odd] = np.cumsum(counts[odd]) - counts[odd] + len(flat)
+            flat = np.concatenate([flat, ids])
+        ids = flat[ragged(starts, counts)]
         done = np.concatenate([[0], np.cumsum(counts)])
         return ids, done[np.searchsorted(s, doc)]
 
-    def _hashes(self, points: np.ndarray, s: np.ndarray, length: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(s), np.uint64)
-        order = np.argsort(length, kind="stable")
-        width = length[order]
-        for a in np.flatnonzero(np.diff(width, prepend=-1)):
-            w = int(width[a])
-            rows = order[a : np.searchsorted(width, w, side="right")]
-            if w > 4096:
-                for r in rows:
-                    out[r] = _long_hash(points[s[r] : s[r] + w])
-                continue
-            h = np.zeros(len(rows), np.uint64)
-            for j in range(w):
-                h = h * _BASE + points[s[rows] + j]
-            out[rows] = mix64(h + np.uint64(w))
-        return out
+    def _crossed(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether some piece holds the code points before and at each place next to each other."""
+        pair = (points[at - 1].astype(np.uint64) << np.uint64(32)) | points[at].astype(np.uint64)
+        if not len(self.inside):
+            return np.zeros(len(at), bool)
+        return self.inside[np.minimum(np.searchsorted(self.inside, pair), len(self.inside) - 1)] == pair
 
-    def _learn(self, keys, points, s, length) -> None:
-        n = len(keys)
-        counts = np.zeros(n, np.int64)
+    def _paths(self, points, s, length) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments, one after another, and how many each has; equal lengths advance together."""
+        counts = np.zeros(len(s), np.int64)
         order = np.argsort(length, kind="stable")
         width = length[order]
         found = []
@@ -309,18 +332,74 @@ class PieceModel:
             rows = order[a : np.searchsorted(width, w, side="right")]
             for b in range(0, len(rows), max(1, 400_000 // w)):
                 some = rows[b : b + max(1, 400_000 // w)]
-                ids, c = self._spell(*self.viterbi(points[s[some][:, None] + np.arange(w)[None, :]]))
+                if w > _ALONE:
+                    each = [self._alone(points[s[k] : s[k] + w]) for k in some]
+                    ids, c = self._spell(np.concatenate(each), np.array([len(x) for x in each]))
+                else:
+                    ids, c = self._spell(*self.viterbi(points[s[some][:, None] + np.arange(w)[None, :]]))
                 counts[some] = c
                 found.append((some, ids))
-        starts = np.zeros(n, np.int64)
-        at = len(self.flat)
+        upto = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), np.int32)
         for some, ids in found:
-            c = counts[some]
-            starts[some] = at + np.cumsum(c) - c
-            at += len(ids)
-        self.flat = np.concatenate([self.flat, *[ids for _, ids in found]]).astype(np.int32)
+            out[ragged(upto[some], counts[some])] = ids
+        return out, counts
+
+    def _alone(self, points: np.ndarray) -> np.ndarray:
+        """The path of :meth:`viterbi` for one long segment, in time linear in its length."""
+        text = points.astype("<u4").tobytes().decode("utf-32-le") if points.max() < _LITERAL else "".join(map(_char_or_none, points.tolist()))
+        n = len(text)
+        step, piece, best = [0] * (n + 1), [None] * (n + 1), [0.0] * (n + 1)
+        for j in range(1, n + 1):
+            top = _NONE
+            for l in self.lengths:
+                if l > j or (found := self.by_text.get(text[j - l : j])) is None:
+                    continue
+                if self.merges:
+                    if self._keeps_one(piece[j - l] if l < j else None, found[0]):
+                        top, step[j], piece[j] = 0.0, l, found[0]
+                        break
+                elif (score := best[j - l] + found[1]) > top:
+                    top, step[j], piece[j] = score, l, found[0]
+            if text[j - 1] not in self.by_text and (score := best[j - 1] + self.unknown) > top:
+                top, step[j], piece[j] = score, 1, self.first_new + int(points[j - 1])
+            best[j] = top
+        out, j = [], n
+        while j:
+            out.append(piece[j])
+            j -= step[j]
+        return np.array(out[::-1], np.int32)
+
+    def _keeps_one(self, before: int | None, after: int) -> bool:
+        before = before if before is None else min(before, self.first_new)
+        key = (before, after)
+        if key not in self.kept_pairs:
+            if len(self.kept_pairs) > self.most:
+                self.kept_pairs.clear()
+            left, right = self.spelling.get(before, ""), self.spelling[after]
+            self.kept_pairs[key] = self._merge(left + right) == ([left, right] if left else [right])
+        return self.kept_pairs[key]
+
+    def _merge(self, text: str) -> list[str]:
+        """What is left of a short text when its best-scored neighbours are merged, the first of equal ones, until none is a piece."""
+        tokens = list(text)
+        while len(tokens) > 1:
+            score, at = max((self.by_text.get(tokens[k] + tokens[k + 1], (0, -np.inf))[1], -k) for k in range(len(tokens) - 1))
+            if score == -np.inf:
+                break
+            tokens[-at : 2 - at] = [tokens[-at] + tokens[1 - at]]
+        return tokens
+
+    def _learn(self, keys, points, s, length) -> None:
+        ids, counts = self._paths(points, s, length)
+        starts = np.cumsum(counts) - counts + len(self.flat)
+        places = np.cumsum(length) - length + len(self.spelled)
+        self.flat = np.concatenate([self.flat, ids]).astype(np.int32)
+        self.spelled = np.concatenate([self.spelled, points[ragged(s, length)]])
         where = np.searchsorted(self.known, keys)
-        self.known, self.starts, self.counts = np.insert(self.known, where, keys), np.insert(self.starts, where, starts), np.insert(self.counts, where, counts)
+        put = lambda old, new: np.insert(old, where, new)
+        self.known, self.starts, self.counts = put(self.known, keys), put(self.starts, starts), put(self.counts, counts)
+        self.places, self.sizes = put(self.places, places), put(self.sizes, length)
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
         """The text of each run of ids; ids without text (control and unknown pieces) give none."""
@@ -334,8 +413,9 @@ def _char(point: int) -> str:
     return chr(MARK if point == _LITERAL else point)
 
 
-def _long_hash(points: np.ndarray) -> np.uint64:
-    return np.uint64(int.from_bytes(hashlib.blake2b(points.tobytes(), digest_size=8).digest(), "little"))
+def _char_or_none(point: int) -> str:
+    """The character, or one that no piece holds for a space mark that stands in the text itself."""
+    return "\ufffe" if point == _LITERAL else chr(point)
 
 
 def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
@@ -344,7 +424,8 @@ def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     Columns: doc_id, n_pieces, piece_ids (array<int>), ids_crc32 (of the ids as little-endian
     unsigned 32-bit integers), n_byte_pieces (byte pieces used), round_trip (whether decoding
     gave the text back). With ``keep_columns`` all columns of ``docs`` come first, and new ones
-    that clash with them get a leading underscore. A null or empty text has no pieces.
+    that clash with them get a leading underscore. A null or empty text has no pieces. Each row is
+    encoded for itself, also one that repeats another's identifier or text; an empty table gives no rows.
     """
     made = [("n_pieces", "long"), ("piece_ids", "array<int>"), ("ids_crc32", "long"), ("n_byte_pieces", "long"), ("round_trip", "boolean")]
     if keep_columns:

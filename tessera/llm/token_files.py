@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.words import buffer_of, ragged, slices, word_edges, word_hashes
+from tessera.llm.words import buffer_of, ragged, same_bytes, slices, word_edges, word_hashes
 from tessera.plans.scratch import new_path
 
 MAGIC = b"TSRIDS01"
@@ -86,11 +86,11 @@ class WordTokenizer:
 
     _made: dict[str, "WordTokenizer"] = {}
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 2_000_000, most_bytes: int = 64 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.most = Tokenizer.from_file(path), most
+        self.whole, self.most, self.most_bytes = Tokenizer.from_file(path), most, most_bytes
         self._forget()
         parts = json.loads(self.whole.to_str())
         steps = [x["type"] for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
@@ -120,37 +120,55 @@ class WordTokenizer:
         first = np.searchsorted(s, offs)
         # a plain and another segment of the same bytes are kept apart
         h, at, back = np.unique(word_hashes(buf, s, e) ^ plain.astype(np.uint64), return_index=True, return_inverse=True)
-        if len(self.keys) + len(h) > self.most:
+        if len(self.keys) + len(h) > self.most or len(self.spelled) > self.most_bytes:
             self._forget()
         where = np.searchsorted(self.keys, h)
         new = np.flatnonzero(self.keys[np.minimum(where, len(self.keys) - 1)] != h) if len(self.keys) else np.arange(len(h))
         if len(new):
-            self._learn(h[new], where[new], buf.tobytes(), s[at[new]], e[at[new]], plain[at[new]])
+            self._learn(h[new], where[new], buf, s[at[new]], e[at[new]], plain[at[new]])
             where = np.searchsorted(self.keys, h)
-        starts, lengths, flat = self.starts[where], self.lengths[where], self.flat
-        each = lengths[back]
-        ids = flat[ragged(starts[back], each)]
-        upto = np.concatenate([[0], np.cumsum(each)])
+        known = where[back]
+        same = (self.sizes[known] == e - s) & (self.plain[known] == plain)
+        same[same] = same_bytes(buf, s[same], self.spelled, self.places[known[same]], (e - s)[same])
+        starts, lengths, flat = self.starts[known], self.lengths[known], self.flat
+        if not same.all():  # another segment has this hash: these go to the library as they are
+            odd = np.flatnonzero(~same)
+            ids = self._ids(buf, s[odd], e[odd], plain[odd])
+            lengths[odd] = [len(x) for x in ids]
+            starts[odd] = np.cumsum(lengths[odd]) - lengths[odd] + len(flat)
+            flat = np.concatenate([flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])
+        ids = flat[ragged(starts, lengths)]
+        upto = np.concatenate([[0], np.cumsum(lengths)])
         return ids, upto[first]
 
     def _forget(self) -> None:
-        """Known segments: sorted hashes, and where each one's ids lie in ``flat``."""
-        self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        self.starts = self.lengths = np.zeros(0, np.int64)
-
-    def _learn(self, keys, where, raw: bytes, s, e, plain) -> None:
-        ids: list[list[int]] = [[]] * len(keys)
+        """Known segments: sorted hashes, where each one's ids lie in ``flat`` and its bytes in ``spelled``."""
+        self.keys, self.flat, self.spelled = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.starts = self.lengths = self.places = self.sizes = np.zeros(0, np.int64)
+        self.plain = np.zeros(0, bool)
+
+    def _ids(self, buf: np.ndarray, s, e, plain) -> list[list[int]]:
+        ids: list[list[int]] = [[]] * len(s)
+        raw = [buf[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist(), strict=True)]
         for kind, tokenizer in ((True, self.bare), (False, self.whole)):
             some = np.flatnonzero(plain == kind)
             for part in range(0, len(some), 20_000):
                 few = some[part : part + 20_000].tolist()
-                for i, x in zip(few, tokenizer.encode_batch_fast([raw[s[i] : e[i]].decode() for i in few], add_special_tokens=False), strict=True):
+                for i, x in zip(few, tokenizer.encode_batch_fast([raw[i].decode() for i in few], add_special_tokens=False), strict=True):
                     ids[i] = x.ids
+        return ids
+
+    def _learn(self, keys, where, buf: np.ndarray, s, e, plain) -> None:
+        ids = self._ids(buf, s, e, plain)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         starts = np.cumsum(lengths) - lengths + len(self.flat)
+        places = np.cumsum(e - s) - (e - s) + len(self.spelled)
         self.flat = np.concatenate([self.flat, flat])
-        self.keys, self.starts, self.lengths = np.insert(self.keys, where, keys), np.insert(self.starts, where, starts), np.insert(self.lengths, where, lengths)
+        self.spelled = np.concatenate([self.spelled, buf[ragged(s, e - s)]])
+        put = lambda old, new: np.insert(old, where, new)
+        self.keys, self.starts, self.lengths = put(self.keys, keys), put(self.starts, starts), put(self.lengths, lengths)
+        self.places, self.sizes, self.plain = put(self.places, places), put(self.sizes, e - s), put(self.plain, plain)
 
 
 def _lengths_table(bits: int) -> np.ndarray:

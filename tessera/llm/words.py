@@ -1,8 +1,9 @@
 """Words of whole texts as numpy arrays.
 
 A batch of texts is one byte buffer with document offsets, as Arrow holds it. Word edges come from
-a table of separator bytes; 64-bit word hashes are differences of a running polynomial sum, taken
-in pieces of bounded size. All ASCII separators are single bytes in UTF-8, so bytes suffice.
+a table of separator bytes; a 64-bit word hash mixes in the word's blocks of eight bytes one after
+another, and a window's hash mixes those of its words, so that neither is a linear function of its
+input. All ASCII separators are single bytes in UTF-8, so bytes suffice.
 """
 
 from __future__ import annotations
@@ -18,10 +19,9 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_PIECE = 1 << 20  # bytes hashed at a time
-_LONG = 1 << 18  # longer words are hashed one by one
+_LONG = 1 << 12  # longer words are hashed one by one
+_KEY, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # the leading bytes of a block
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -33,20 +33,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_POWERS: list[np.ndarray] = []
-
-
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS:
-        n = _PIECE + _LONG + 2
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS.append(np.multiply.accumulate(p))
-    return _POWERS[0], _POWERS[1]
-
-
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and document offsets (one more than documents); null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -90,34 +76,44 @@ def word_edges(buf: np.ndarray, offs: np.ndarray, separator: np.ndarray = SEPARA
     return s, e, np.searchsorted(s, offs)
 
 
+def blocks_at(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``buf`` on as one number; zeros follow the end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded.data, 0, (1,))
+
+
 def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    up, down = _powers()
-    out = np.empty(len(s), np.uint64)
-    if not len(s):
-        return out
-    long = (e - s) > _LONG
-    marks = np.unique(np.concatenate([np.searchsorted(s, np.arange(0, int(s[-1]) + _PIECE + 1, _PIECE)), [len(s)]]))
-    for i, j in zip(marks[:-1], marks[1:], strict=True):
-        pick = np.arange(i, j) if not long[i:j].any() else np.flatnonzero(~long[i:j]) + i
-        if len(pick):
-            a, b = int(s[pick[0]]), int(e[pick[-1]])
-            if b - a >= len(up):
-                for k in pick:
-                    out[k] = _one(buf[s[k] : e[k]], up)
-                continue
-            run = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(_BYTE[buf[a:b]] * up[: b - a], out=run[1:])
-            out[pick] = (run[e[pick] - a] - run[s[pick] - a]) * down[s[pick] - a]
-    out += (e - s).astype(np.uint64)
-    out = mix64(out)
+    """A 64-bit hash of each word's bytes: blocks of eight bytes, mixed in one after another."""
+    blocks = blocks_at(buf)
+    left = (e - s).astype(np.int64)
+    out = left.astype(np.uint64) * _STEP
+    long = left > _LONG
+    live = np.flatnonzero(~long) if long.any() else np.arange(len(s))
+    at, left = s[live], left[live]
+    while len(live):
+        out[live] = mix64((out[live] ^ (blocks[at] & _LOW[np.minimum(left, 8)])) * _KEY + _STEP)
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
     for k in np.flatnonzero(long):
         out[k] = int.from_bytes(hashlib.blake2b(buf[s[k] : e[k]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
-def _one(word: np.ndarray, up: np.ndarray) -> np.uint64:
-    return np.sum(_BYTE[word] * up[: len(word)], dtype=np.uint64)
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the ``n`` bytes of ``a`` from ``a_at`` on are those of ``b`` from ``b_at`` on, for each pair of places."""
+    x, y = blocks_at(a), blocks_at(b)
+    same = np.ones(len(n), bool)
+    live, a_at, b_at, left = np.arange(len(n)), a_at, b_at, n
+    while len(live):
+        equal = (x[a_at] ^ y[b_at]) & _LOW[np.minimum(left, 8)] == 0
+        same[live[~equal]] = False
+        more = np.flatnonzero(equal & (left > 8))
+        live, a_at, b_at, left = live[more], a_at[more] + 8, b_at[more] + 8, left[more] - 8
+    return same
+
+
+def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return mix64(x * _KEY + mix64(y + _STEP))
 
 
 def window_hashes(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,9 +121,17 @@ def window_hashes(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     n = len(h)
     if n < k:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    out = np.zeros(n - k + 1, np.uint64)
-    for j in range(k):
-        out += h[j : n - k + 1 + j] * np.uint64(((2 * j + 3) * 0xA0761D6478BD642F | 1) & _MASK)
+    # windows of 1, 2, 4, ... words; those that make up k are joined from left to right
+    out, width, done = None, h, 0
+    size = 1
+    while size <= k:
+        if k & size:
+            part = width[done : done + n - k + 1]
+            out = part if out is None else _pair(out, part)
+            done += size
+        if 2 * size <= k:
+            width = _pair(width[: len(width) - size], width[size:])
+        size *= 2
     ok = np.ones(n - k + 1, bool)
     for b in np.unique(first[1:-1]):  # windows that would reach over a document's start
         ok[max(0, b - k + 1) : b] = False
