@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.scratch import spill
+from tessera.plans.scratch import release, spill
 from tessera.plans.skew import skew_join
 
 
@@ -37,14 +37,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = skew_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = spill(_down(large), "edges")
         before, mark = mark, _mark(large)
-        least = spill(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        release(now)
         now = large
+        least = spill(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
         if (least.agg(F.max("n")).first()[0] or 1) == 1:  # stars already: a small-star step would change nothing
+            release(least)
             if mark == before:
                 break
             continue
         small = skew_join(large, least.drop("n"), ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = spill(_down(small.unionByName(least.select("u", F.col("m").alias("v")))), "edges")
+        release(large, least)
         mark = _mark(now)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

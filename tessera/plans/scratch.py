@@ -10,10 +10,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+_AT: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -61,4 +63,14 @@ def spill(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _AT[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that :func:`spill` wrote and that no plan reads any more."""
+    for table in tables:
+        path = _AT.pop(table, None)
+        if path:
+            drop_path(table.sparkSession, path)
