@@ -1,28 +1,32 @@
-"""Jaccard join of documents' word n-gram sets by prefix filtering, to connected components.
-
-Equal sets are one class; the distance of two classes is 1 - Jaccard. Prefix filtering replaces a
-metric-space join: no distances to pivot documents are computed (the README has the figures). The
-join runs in two rounds, and in both no group of similar documents is ever expanded to pairs.
-
-1. Cells, which are min-hash buckets. Each class falls into a few, one for each of several random
-   orders of all n-grams: the cell of the first of its n-grams in that order. One
-   member of a cell is compared with the others (a star, so the work is linear in any cell), and the
-   links found make a first set of components. Cells that still hold several components then get
-   another such member, one without links first, for the members of other components than its own.
-2. Prefix filtering. Every n-gram has a region; two linked classes share one of the first
-   n - ceil(t n) + 1 n-grams of each in one fixed order, so a class is replicated to just the regions
-   of these. Any linked pair therefore meets in a region. Regions whose members all are of one component already are
-   done. In the others, pairs of different components are compared exactly, unless their
-   sizes, or parity sketches that bound the symmetric difference from below, show that they are too
-   far apart. The first regions of each class, and its first
-   frequent ones, go ahead, which unites most of what is left; then all regions follow, for components that still
-   differ. Frequent n-grams come last in the fixed order, so that a passage that very many
-   documents share makes no region for documents that have enough else.
-
-Links of both rounds together give the components: exactly those of all links.
-
-N-grams are compared by 64-bit hashes and classes are numbered by 64-bit hashes of their sets; two
-different ones agree with a probability of 2^-64 a pair.
+"""Jaccard join of documents' word n-gram sets in their metric space, to connected components.
+
+Equal sets are one class; the distance of two classes is 1 - Jaccard, which is a metric, and classes
+link at a distance of at most r = 1 - ``percent`` / 100. The join goes down in three steps, each
+of which is exact, and in none is a group of similar documents ever expanded to pairs.
+
+1. Voronoi regions. Pivots are documents: one of each of the most crowded min-hash cells, as far as
+   they lie more than rho apart. The distance of every class to every pivot is computed exactly, by
+   an inverted index of the pivots' n-grams. A class at most rho from its nearest pivot is *inside*
+   that pivot's region. By the triangle inequality every partner of it is at most rho + r from the
+   same pivot and at most 2 r further from it than from its own nearest pivot; the classes in this
+   window are replicated to the region, so each link of an inside class is found in the region of its
+   nearest pivot. The classes that are inside no region make the outer region, which holds all links
+   between them. Links to a pivot itself are known by now and unite what lies around it.
+2. Every region, the outer one included, splits into one cell for each n-gram: a class enters the
+   cells of its first n - ceil(t n) + 1 n-grams in one fixed order, one of which it shares with each
+   partner. Frequent n-grams come last in that order. Cells whose classes are all of one component are
+   done. In the first cells of each class, the members are compared with one of them (a star).
+3. Cells that still hold several components are joined inside a task, again by pivots: exact
+   distances to a few members give windows that a linked pair cannot leave, sketches that bound the
+   symmetric difference from below thin out what is left, and the rest is compared set by set, unless
+   it is united by then. A task returns a spanning forest of the links, not the links.
+
+Links of all steps together give the components: exactly those of all links. Sampled pivots alone do
+not partition a corpus, as most documents are at a distance of 1 from any other; this is why the
+second step is there (the README has figures).
+
+N-grams are compared by 64-bit hashes (48 bits in the last step) and classes are numbered by 64-bit
+hashes of their sets. The hashes mix every block of their input, but have no secret key.
 """
 
 from __future__ import annotations
@@ -38,15 +42,19 @@ from pyspark.sql import functions as F
 from tessera.llm.embedding_dedup import _runs
 from tessera.llm.words import LOWER, buffer_of, mix64, ragged, slices, window_hashes, word_edges, word_hashes
 from tessera.operators.components import connected_components
-from tessera.plans.scratch import spill
+from tessera.plans.names import fresh
+from tessera.plans.scratch import release, spill
 from tessera.plans.skew import skew_join
 
-LANES = 6
-ROUNDS = 2
+LANES = 3  # min-hash cells a class, among which pivots are chosen
+PIVOTS = 256  # at most
+PIVOT_SIZE = 4096  # n-grams of a pivot at most, so that what is broadcast is bounded
 EARLY = 8
+INNER_PIVOTS = 8  # of a cell that a task joins
 _BITS = 26  # of the filter that keeps sets that nobody asked for out of a shuffle
-_MOST_FREQUENT = 1 << 20  # n-grams put last; bounds what is broadcast, not what is compared
+_MOST_FREQUENT = 1 << 17  # n-grams put last; bounds what is broadcast, not what is compared
 _SALTS = mix64(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_LATE, _EARLY, _LINK = 0, 1, 2
 
 
 def ngram_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +74,9 @@ def ngram_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
         if n >= k:
             x = np.unique(h[begin[i] : begin[i + 1]])
         elif n:
-            weight = mix64(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(1000 * n))
-            x = mix64(np.array([np.sum(words[first[i] : first[i + 1]] * (weight | np.uint64(1)), dtype=np.uint64)]))
+            x = np.array([n], np.uint64)
+            for w in words[first[i] : first[i + 1]]:
+                x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + mix64(np.array([w])))
         else:
             x = h[:0]
         out.append(x)
@@ -75,25 +84,6 @@ def ngram_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else h[:0]), np.array(edges)
 
 
-def _level(n: np.ndarray) -> np.ndarray:
-    """Logarithm of the number of parts for a set of n n-grams: two parts an n-gram, 256 at least."""
-    return np.maximum(8, np.ceil(np.log2(np.maximum(n, 1) * 2.0))).astype(np.int64)
-
-
-def parity_sketches(h: np.ndarray, edges: np.ndarray) -> list[bytes]:
-    """Per set one bit for each part of the hash space: whether it holds an odd number of n-grams.
-
-    Two sets' sketches differ in at most as many bits as the sets in n-grams.
-    """
-    n = np.diff(edges)
-    level = _level(n)
-    at = np.concatenate([[0], np.cumsum(1 << level)])
-    doc = np.repeat(np.arange(len(n)), n)
-    part = (h & ((np.uint64(1) << level[doc].astype(np.uint64)) - np.uint64(1))).astype(np.int64)
-    odd = np.packbits((np.bincount(at[doc] + part, minlength=at[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
-    return [odd[x >> 3 : y >> 3] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-
-
 def _class(x: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -123,32 +113,93 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
                 h, edges = ngram_sets(part.column(1), k)
                 n = np.diff(edges)
                 has = np.flatnonzero(n)
-                lanes = np.stack([np.minimum.reduceat(mix64(h ^ salt), edges[:-1][has]) for salt in _SALTS], axis=1) if len(has) else np.zeros((0, LANES), np.uint64)
                 cls = [_class(h[a:b]) if b > a else None for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                some = np.zeros((len(n), LANES), np.uint64)
-                some[has] = lanes
-                sketch = parity_sketches(h, edges)
+                lanes = np.zeros((len(n), LANES), np.uint64)
+                if len(has):
+                    lanes[has] = np.stack([np.minimum.reduceat(mix64(h ^ salt), edges[:-1][has]) for salt in _SALTS], axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array(n),
                         pa.array(cls, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * LANES + 1, LANES, dtype=np.int32)), pa.array(some.ravel().view(np.int64))),
-                        pa.array(sketch, pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * LANES + 1, LANES, dtype=np.int32)), pa.array(lanes.ravel().view(np.int64))),
                         pa.nulls(len(n), pa.int64()),
                     ],
-                    ["doc_id", "n", "cls", "lanes", "sketch", "gram"],
+                    ["doc_id", "n", "cls", "lanes", "gram"],
                 )
                 u, times = np.unique(h, return_counts=True)
                 often = times >= max(4, len(n) // 500)
                 u, times = u[often].view(np.int64), times[often]
                 m = len(u)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(m, pa.int64()), pa.array(times), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary()), pa.array(u)],
-                    ["doc_id", "n", "cls", "lanes", "sketch", "gram"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(times), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array(u)], ["doc_id", "n", "cls", "lanes", "gram"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, lanes array<long>, gram long")
+
+
+class Pivots:
+    """Sets of the pivots as an inverted index, and exact distances to them."""
+
+    def __init__(self, sets: list[np.ndarray], classes: list[int], percent: int):
+        self.r = 1 - percent / 100
+        self.rho = min(2 * self.r, (1 - self.r) / 2)  # rho + r < 1: what shares no n-gram is beyond every window
+        kept: list[int] = []
+        for i, x in enumerate(sets):
+            if all(1 - _jaccard(x, sets[j]) > self.rho for j in kept):
+                kept.append(i)
+        sets = [sets[i] for i in kept]
+        self.classes = np.array([classes[i] for i in kept], np.int64)
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.percent = percent
+        both = np.concatenate([np.zeros(0, np.uint64), *sets])
+        owner = np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(both, kind="stable")
+        self.grams, self.at = np.unique(both[order], return_index=True)
+        self.owner = owner[order]
+        self.at = np.append(self.at, len(both))
+
+    def places(self, h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(set, pivot, distance, linked) of the pairs that share an n-gram, by set and distance."""
+        if not len(self.grams) or not len(h):
+            z = np.zeros(0, np.int64)
+            return z, z, np.zeros(0), np.zeros(0, bool)
+        at = np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)
+        hit = np.flatnonzero(self.grams[at] == h)
+        at, doc = at[hit], np.searchsorted(edges, hit, side="right") - 1
+        times = self.at[at + 1] - self.at[at]
+        pair, shared = np.unique(np.repeat(doc, times) * len(self.size) + self.owner[ragged(self.at[at], times)], return_counts=True)
+        doc, pivot = pair // len(self.size), pair % len(self.size)
+        union = (edges[doc + 1] - edges[doc]) + self.size[pivot] - shared
+        order = np.lexsort((pivot, 1 - shared / union, doc))
+        return doc[order], pivot[order], (1 - shared / union)[order], (100 * shared >= self.percent * union)[order]
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / max(1, len(x) + len(y) - shared)
+
+
+def _pivots(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Pivots:
+    """A document of each of the most crowded min-hash cells, at most ``PIVOTS`` of ``PIVOT_SIZE`` n-grams each."""
+    cells = classes.where((F.col("n") <= PIVOT_SIZE) & F.col("least").isNotNull()).select("cls", "least", "n", F.posexplode("lanes").alias("lane", "cell"))
+    member = F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "least"))
+    some = cells.groupBy("lane", "cell").agg(F.count("*").alias("members"), member.alias("m")).where("members > 1").orderBy(F.desc("members"), "m.h", "lane").limit(PIVOTS)
+    wanted = {r.m.cls: r.m.least for r in some.collect()}
+    if not wanted:
+        return Pivots([], [], percent)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                h, edges = ngram_sets(part.column(1), k)
+                sets = [h[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                cls = [_class(x) for x in sets]
+                own = [i for i, c in enumerate(cls) if c in wanted]  # an identifier may stand for other texts too
+                yield pa.RecordBatch.from_arrays([pa.array([cls[i] for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["cls", "grams"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, lanes array<long>, sketch binary, gram long")
+    rows = docs.where(F.col("doc_id").isin(list(wanted.values()))).mapInArrow(run, "cls long, grams binary").groupBy("cls").agg(F.first("grams").alias("grams")).collect()
+    found = {r.cls: np.frombuffer(bytes(r.grams), np.uint64) for r in rows}
+    order = [c for c in wanted if c in found]  # by members
+    return Pivots([found[c] for c in order], order, percent)
 
 
 def _wanted(classes: DataFrame, column: str = "cls") -> np.ndarray:
@@ -228,36 +279,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = spill(_described(source, k), "described")
     rows = made.where("gram is null").select("doc_id", "n", "cls")
-    classes = made.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("lanes").alias("lanes"), F.first("sketch").alias("sketch"))
+    classes = made.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("lanes").alias("lanes"))
     classes = spill(classes, "classes")
-
-    # stars around the pivots of cells; cells that hold several components get another pivot each time
-    cells = classes.select("cls", "n", F.posexplode("lanes").alias("lane", "cell"))
-    many = cells.groupBy("lane", "cell").agg(F.count("*").alias("members")).where("members > 1").select("lane", "cell")
-    cells = spill(skew_join(cells, many, ["lane", "cell"]), "cells")
-    links, parts = None, None
-    for nth in range(ROUNDS):
-        named = _with_components(cells, parts)
-        order = F.struct((F.col("component") != F.col("cls")) & F.lit(nth > 0), F.xxhash64("cls", "lane", F.lit(nth)))  # later on, classes without a link first
-        pivots = named.groupBy("lane", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(order, "cls", "n", "component")).alias("pivot"))
-        pivots = pivots.where("lo <> hi").select("lane", "cell", F.col("pivot.cls").alias("a"), F.col("pivot.n").alias("m"), F.col("pivot.component").alias("of"))
-        stars = skew_join(named, pivots, ["lane", "cell"]).where((F.col("component") != F.col("of")) & _sizes_fit(percent))
-        stars = spill(stars.select("a", F.col("cls").alias("b")).distinct(), "stars")
-        found = spill(_verified(source, stars, k, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        parts = spill(connected_components(links, "a", "b"), "components")
-
-    # regions of boundary windows
     often = made.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(_MOST_FREQUENT)
-    members = spill(_regions(source, k, percent, np.sort(np.array([r.gram for r in often.collect()], np.int64).view(np.uint64))), "regions")
-    for some in (members.where("early"), members):
-        named = _with_components(some.select("region", "cls"), parts)
-        open_ = named.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("region", "members")
-        mixed = skew_join(named, open_, ["region"])
-        mixed = mixed.join(classes.select("cls", "n", "sketch"), "cls")
-        far = spill(_different(mixed, percent), "candidates").distinct()
-        links = links.unionByName(spill(_verified(source, far, k, percent), "links"))
-        parts = spill(connected_components(links, "a", "b"), "components")
+    often = np.sort(np.array([r.gram for r in often.collect()], np.int64).view(np.uint64))
+    members = spill(_cells(source, k, percent, often, _pivots(source, classes, k, percent)), "cells")
+    links = members.where(F.col("kind") == _LINK).select(F.col("cell").alias("a"), F.col("cls").alias("b"))
+    parts = spill(connected_components(links, "a", "b"), "components")
+    cells = members.where(F.col("kind") != _LINK)
+
+    # stars in the first cells of each class
+    named = _with_components(cells.where(F.col("kind") == _EARLY).select("cell", "cls"), parts)
+    named = named.join(classes.select("cls", "n"), "cls")
+    centres = named.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "n", "component")).alias("c")).where("lo <> hi")
+    centres = centres.select("cell", F.col("c.cls").alias("a"), F.col("c.n").alias("m"), F.col("c.component").alias("of"))
+    stars = skew_join(named, centres, ["cell"]).where((F.col("component") != F.col("of")) & _sizes_fit(percent))
+    stars = spill(stars.select("a", F.col("cls").alias("b")).distinct(), "stars")
+    found = spill(_verified(source, stars, k, percent), "links")
+    links = links.unionByName(found)
+    before, parts = parts, spill(connected_components(links, "a", "b"), "components")
+    release(before, stars)
+
+    # what is left, cell by cell
+    named = _with_components(cells.select("cell", "cls"), parts)
+    open_ = named.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("cell")
+    mixed = spill(skew_join(named, open_, ["cell"]).join(classes.select("cls", "n"), "cls").select("cell", "cls", "component", "n"), "open")
+    sets = spill(_sets(source, k, _wanted(mixed)), "sets")
+    links = links.unionByName(spill(_joined(mixed, sets, percent), "links"))
+    before, parts = parts, spill(connected_components(links, "a", "b"), "components")
+    release(before, mixed, sets, members)
 
     parts = parts.withColumnRenamed("id", "cls")
     marks = classes.select("cls", "least", "size").join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -267,13 +317,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("size", F.lit(1)).cast("long").alias("class_size"))
 
 
-def _regions(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFrame:
-    """``(region, cls, early)`` of the regions with two classes or more; early: among the class's first ``EARLY``, or its first frequent ones.
+def _cells(docs: DataFrame, k: int, percent: int, often: np.ndarray, pivots: Pivots) -> DataFrame:
+    """``(cell, cls, kind)``: the cells with two classes or more of all regions, and links to pivots.
 
-    A task sends its windows as packed arrays by hash range, about 16 bytes an entry and each class
-    once a slice; regions of one class end where a range's entries meet.
+    A cell is an n-gram in a region. Its kind is early if it is among the class's first ``EARLY``, or its
+    first frequent ones; a link has the pivot's class in place of the cell. A task sends its
+    entries as packed arrays by hash range, about 17 bytes each and each class once a slice; cells of
+    one class end where a range's entries meet.
     """
-    last = docs.sparkSession.sparkContext.broadcast(often)
+    spark = docs.sparkSession
+    last, index = spark.sparkContext.broadcast(often), spark.sparkContext.broadcast(pivots)
     ranges = max(4, 2 * docs.rdd.getNumPartitions())
 
     def send(batches):
@@ -282,8 +335,11 @@ def _regions(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFr
                 h, edges = ngram_sets(part.column(1), k)
                 at = np.minimum(np.searchsorted(last.value, h), max(0, len(last.value) - 1))
                 late = last.value[at] == h if len(last.value) else np.zeros(len(h), bool)
-                seen, regions, owners, places = set(), [], [], []
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                doc, pivot, far, linked = index.value.places(h, edges)
+                begin = np.searchsorted(doc, np.arange(len(edges)))
+                salt = mix64(index.value.classes.view(np.uint64))
+                seen, cells, owners, kinds = set(), [], [], []
+                for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
                     if a == b or (c := _class(h[a:b])) in seen:
                         continue
                     seen.add(c)
@@ -291,123 +347,175 @@ def _regions(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFr
                     first = n - -(-percent * n // 100) + 1
                     rare = np.flatnonzero(~late[a:b])[:first]
                     pick = rare if len(rare) == first else np.concatenate([rare, np.flatnonzero(late[a:b])[: first - len(rare)]])
-                    regions.append(h[a:b][pick])
-                    owners.append(np.full(first, c, np.int64))
-                    places.append((np.arange(first) < EARLY) | ((np.arange(first) >= len(rare)) & (np.arange(first) < len(rare) + EARLY)))
-                if not regions:
+                    grams = h[a:b][pick]
+                    nth = np.arange(first)
+                    early = ((nth < EARLY) | ((nth >= len(rare)) & (nth < len(rare) + EARLY))).astype(np.int8)
+                    p, q = begin[i], begin[i + 1]
+                    if p == q or far[p] > index.value.rho:
+                        cells.append(grams)
+                        owners.append(np.full(first, c, np.int64))
+                        kinds.append(early)
+                    if p < q:
+                        near = (far[p:q] <= index.value.rho + index.value.r + 1e-9) & (far[p:q] <= far[p] + 2 * index.value.r + 1e-9)
+                        for x in pivot[p:q][near]:
+                            cells.append(mix64(grams ^ salt[x]))
+                            owners.append(np.full(first, c, np.int64))
+                            kinds.append(early)
+                        to = pivot[p:q][linked[p:q]]
+                        to = to[index.value.classes[to] != c]
+                        cells.append(index.value.classes[to].view(np.uint64))
+                        owners.append(np.full(len(to), c, np.int64))
+                        kinds.append(np.full(len(to), _LINK, np.int8))
+                if not cells:
                     continue
-                r, c, early = np.concatenate(regions), np.concatenate(owners), np.concatenate(places)
+                r, c, kind = np.concatenate(cells), np.concatenate(owners), np.concatenate(kinds)
                 order = np.argsort(r)
-                r, c, early = r[order], c[order], early[order]
+                r, c, kind = r[order], c[order], kind[order]
                 cuts = np.searchsorted(r, np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << 64) // ranges))
                 for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(r)], strict=True)):
                     if b > a:
-                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([r[a:b].tobytes()], pa.binary()), pa.array([c[a:b].tobytes()], pa.binary()), pa.array([early[a:b].tobytes()], pa.binary())], ["hash_range", "regions", "owners", "early"])
+                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([r[a:b].tobytes()], pa.binary()), pa.array([c[a:b].tobytes()], pa.binary()), pa.array([kind[a:b].tobytes()], pa.binary())], ["hash_range", "cells", "owners", "kinds"])
 
-    packs = docs.mapInArrow(send, "hash_range int, regions binary, owners binary, early binary").repartition(ranges, "hash_range").sortWithinPartitions("hash_range")
+    packs = docs.mapInArrow(send, "hash_range int, cells binary, owners binary, kinds binary").repartition(ranges, "hash_range").sortWithinPartitions("hash_range")
 
     def meet(batches):
         for group in _runs(batches, 1):
-            r = np.frombuffer(b"".join(group["regions"].to_pylist()), np.int64)
+            r = np.frombuffer(b"".join(group["cells"].to_pylist()), np.int64)
             c = np.frombuffer(b"".join(group["owners"].to_pylist()), np.int64)
-            early = np.frombuffer(b"".join(group["early"].to_pylist()), bool)
-            order = np.lexsort((c, r))
-            r, c, early = r[order], c[order], early[order]
+            kind = np.frombuffer(b"".join(group["kinds"].to_pylist()), np.int8)
+            order = np.lexsort((kind, c, r))
+            r, c, kind = r[order], c[order], kind[order]
             new = np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])])
-            r, c, early = r[new], c[new], early[new]
+            r, c, kind = r[new], c[new], kind[new]
             start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
             size = np.diff(np.append(start, len(r)))
-            many = np.repeat(size > 1, size)
-            r, c, early = r[many], c[many], early[many]
+            many = np.repeat(size > 1, size) | (kind == _LINK)
+            r, c, kind = r[many], c[many], kind[many]
             for at in range(0, len(r), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(r[at : at + 100_000]), pa.array(c[at : at + 100_000]), pa.array(early[at : at + 100_000])], ["region", "cls", "early"])
+                yield pa.RecordBatch.from_arrays([pa.array(r[at : at + 100_000]), pa.array(c[at : at + 100_000]), pa.array(kind[at : at + 100_000].astype(np.int32))], ["cell", "cls", "kind"])
 
-    return packs.mapInArrow(meet, "region long, cls long, early boolean")
+    return packs.mapInArrow(meet, "cell long, cls long, kind int")
 
 
-def _different(mixed: DataFrame, percent: int, most: int = 4096) -> DataFrame:
-    """Pairs ``(a, b)`` of one region and of different components that sizes and pivots let pass.
+def _joined(mixed: DataFrame, sets: DataFrame, percent: int, most: int = 2048, most_grams: int = 1 << 21) -> DataFrame:
+    """A forest ``(a, b)`` of the links between different components of one cell, joined inside tasks.
 
-    A region over ``most`` members is cut into tiles, and each pair of tiles is a group of its own.
+    A cell over ``most`` members or ``most_grams`` n-grams is cut into tiles, and each pair of tiles is a
+    group of its own, so that a task holds two tiles at most.
     """
-    tiles = F.ceil(F.col("members") / most).cast("int")
-    tile = F.pmod(F.xxhash64("cls"), tiles).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda j: F.struct(F.least(j, F.col("tile")).alias("i"), F.greatest(j, F.col("tile")).alias("j")))
-    rows = mixed.withColumn("tile", tile).withColumn("at", F.explode(pairs)).select("region", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "tile", "cls", "component", "n", "sketch")
-    dealt = rows.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "n")
+    size = mixed.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / most_grams)).cast("int").alias("tiles"))
+    rows = skew_join(mixed, size, ["cell"])
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least(j, F.col("tile")).alias("i"), F.greatest(j, F.col("tile")).alias("j")))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).withColumn("at", F.explode(pairs))
+    rows = rows.select("cell", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "tile", "cls", "component", "n")
+    rows = skew_join(rows, sets, ["cls"])
+    dealt = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "n", "cls")
 
     def run(batches):
-        held, n = [], 0
+        held, n, grams = [], 0, 0
         for group in _runs(batches, 3):
             held.append(group)
             n += group.num_rows
-            if n >= 20_000:
-                yield from _far_pairs(pa.concat_tables(held), percent)
-                held, n = [], 0
+            grams += sum(group["n"].to_pylist())
+            if n >= 20_000 or grams >= 2 * most_grams:
+                yield from _forest_of(pa.concat_tables(held), percent)
+                held, n, grams = [], 0, 0
         if held:
-            yield from _far_pairs(pa.concat_tables(held), percent)
+            yield from _forest_of(pa.concat_tables(held), percent)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.select("cell", "i", "j", "tile", "cls", "component", "n", "grams").mapInArrow(run, "a long, b long")
 
 
-def _far_pairs(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of many whole groups, each sorted by size."""
-    region, i, j, tile, cls, comp, n = (np.asarray(rows[c].combine_chunks()).astype(np.int64) for c in ("region", "i", "j", "tile", "cls", "component", "n"))
-    new = np.concatenate([[True], (region[1:] != region[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+def _parity_sketches(flat: np.ndarray, edges: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Per set one bit for each of 2^level parts of the hash space: whether it holds an odd number of n-grams.
+
+    Two sets' sketches differ in at most as many bits as the sets in n-grams. All rows have the same width.
+    """
+    out = np.zeros((len(edges) - 1, 1 << level), np.uint8)
+    row = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    np.bitwise_xor.at(out, (row, (flat & np.uint64((1 << level) - 1)).astype(np.int64)), 1)
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def _inner_distances(flat: np.ndarray, edges: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Distances of every member to ``INNER_PIVOTS`` members of its own group; of small groups none."""
+    n = np.diff(edges)
+    out = np.zeros((len(n), INNER_PIVOTS))
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(group)], strict=True):
+        if b - a < 8 * INNER_PIVOTS:
+            continue
+        mine = flat[edges[a] : edges[b]]
+        row = np.repeat(np.arange(b - a), n[a:b])
+        nearest = np.full(b - a, 2.0)
+        pick = a
+        for k in range(INNER_PIVOTS):
+            x = flat[edges[pick] : edges[pick + 1]]
+            at = np.minimum(np.searchsorted(x, mine), len(x) - 1)
+            shared = np.bincount(row[x[at] == mine], minlength=b - a)
+            out[a:b, k] = 1 - shared / (n[a:b] + len(x) - shared)
+            nearest = np.minimum(nearest, out[a:b, k])
+            pick = a + int(nearest.argmax())  # the next one is far from those before
+    return out
+
+
+def _forest_of(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between components of many whole groups, each sorted by size; as a forest."""
+    cell, i, j, tile, cls, comp, n = (np.asarray(rows[c].combine_chunks()).astype(np.int64) for c in ("cell", "i", "j", "tile", "cls", "component", "n"))
+    sets = [unpack_set(x) for x in rows["grams"].to_pylist()]
+    size = np.array([len(x) for x in sets])
+    flat, edges = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])
+    del sets
+    new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
     group = np.cumsum(new)
-    scale = int(n.max()) * 100 // percent + 2
+    level = int(np.clip(np.ceil(np.log2(2.0 * max(1, np.median(n)))), 8, 14))
+    sketch = _parity_sketches(flat, edges, level)
+    far = _inner_distances(flat, edges, group)
+    keys = (np.repeat(np.arange(len(n)), size).astype(np.uint64) << np.uint64(48)) | flat  # for probes of one row
     # partners of a row: those after it in its group that are not too large
+    scale = int(n.max()) * 100 // percent + 2
     end = np.searchsorted(group * scale + n, group * scale + n * 100 // percent, side="right")
     count = np.maximum(0, end - np.arange(len(n)) - 1)
-    level = _level(n)
-    blobs = rows["sketch"].to_pylist()
-    place = np.zeros(len(n), np.int64)
-    table = {}
-    for lv in np.unique(level):
-        some = np.flatnonzero(level == lv)
-        place[some] = np.arange(len(some))
-        table[lv] = np.frombuffer(b"".join(blobs[k] for k in some), np.uint64).reshape(len(some), -1)
-    found = []
     upto = np.cumsum(count)
+    _, label = np.unique(comp, return_inverse=True)
+    label = label.astype(np.int64)
+    root = np.arange(int(label.max()) + 1)
+    r = 1 - percent / 100 + 1e-9
     at = 0
     while at < len(n):
         to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 400_000, side="right")))
         p = np.repeat(np.arange(at, to), count[at:to])
         q = ragged(np.arange(at, to) + 1, count[at:to])
-        ok = (comp[p] != comp[q]) & (np.minimum(tile[p], tile[q]) == i[p]) & (np.maximum(tile[p], tile[q]) == j[p])
+        ok = (root[label[p]] != root[label[q]]) & (np.minimum(tile[p], tile[q]) == i[p]) & (np.maximum(tile[p], tile[q]) == j[p])
         p, q = p[ok], q[ok]
-        a, b = np.minimum(cls[p], cls[q]), np.maximum(cls[p], cls[q])
-        if len(p):
-            pair = np.stack([a, b], axis=1)
-            _, once = np.unique(pair.view([("a", np.int64), ("b", np.int64)]).ravel(), return_index=True)
-            p, q, a, b = p[once], q[once], a[once], b[once]
-            near = _sketches_meet(p, q, n, level, place, table, percent)
-            found.append(np.stack([a[near], b[near]], axis=1))
+        for k in range(INNER_PIVOTS):  # the windows of the cell's own pivots
+            ok = np.abs(far[p, k] - far[q, k]) <= r
+            p, q = p[ok], q[ok]
+        total = size[p] + size[q]
+        most = total - 2 * -(-percent * total // (100 + percent))  # of the symmetric difference
+        step = max(1, (1 << 22) >> max(0, level - 6))
+        near = np.concatenate([np.zeros(0, bool), *[np.bitwise_count(sketch[p[k : k + step]] ^ sketch[q[k : k + step]]).sum(axis=1, dtype=np.int64) <= most[k : k + step] for k in range(0, len(p), step)]])
+        p, q = p[near], q[near]
+        while len(p):
+            some = max(1, int(np.searchsorted(np.cumsum(size[p]), 1_000_000)))
+            x, y = p[:some], q[:some]
+            probe = (np.repeat(y, size[x]).astype(np.uint64) << np.uint64(48)) | flat[ragged(edges[x], size[x])]
+            found = keys[np.minimum(np.searchsorted(keys, probe), len(keys) - 1)] == probe
+            shared = np.add.reduceat(found, np.cumsum(size[x]) - size[x], dtype=np.int64)
+            link = 100 * shared >= percent * (size[x] + size[y] - shared)
+            made = []
+            for u, v in zip(x[link].tolist(), y[link].tolist(), strict=True):
+                a, b = root[label[u]], root[label[v]]
+                if a != b:
+                    root[root == max(a, b)] = min(a, b)
+                    made.append((cls[u], cls[v]))
+            if made:
+                pair = np.array(made, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+            p, q = p[some:], q[some:]
+            open_ = root[label[p]] != root[label[q]]
+            p, q = p[open_], q[open_]
         at = to
-    if found:
-        pair = np.unique(np.concatenate(found), axis=0)
-        if len(pair):
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
-
-def _sketches_meet(p, q, n, level, place, table, percent) -> np.ndarray:
-    """Whether the sketches of two sets allow the least intersection of a linked pair."""
-    out = np.zeros(len(p), bool)
-    total = n[p] + n[q]
-    most = total - 2 * -(-percent * total // (100 + percent))  # of the symmetric difference
-    for lp, lq in {(int(x), int(y)) for x, y in zip(*np.unique(np.stack([level[p], level[q]]), axis=1), strict=True)}:
-        some = np.flatnonzero((level[p] == lp) & (level[q] == lq))
-        step = max(1, (1 << 26) >> max(lp, lq))
-        for k in range(0, len(some), step):
-            r = some[k : k + step]
-            x, y = table[lp][place[p[r]]], table[lq][place[q[r]]]
-            # the halves of a sketch fold onto one of half as many parts
-            while x.shape[1] > y.shape[1]:
-                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
-            while y.shape[1] > x.shape[1]:
-                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
-            out[r] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most[r]
-    return out
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -417,5 +525,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stay if one of them is its component's document.
     """
     found = jaccard_components(docs, id_col, text_col, k, percent)
-    gone = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__gone")).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).where("not stays").select("__gone")
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    stays = F.bool_or(F.col("doc_id") == F.col("component_id"))
+    gone = found.where("doc_id is not null").groupBy("doc_id").agg(stays.alias("stays")).where("not stays").select(F.struct("doc_id").alias(fresh("gone", docs.columns)))
+    gone_id = F.col(f"{gone.columns[0]}.doc_id")
+    return docs.join(gone, F.col(id_col).cast("long") == gone_id, "left_anti")

@@ -382,11 +382,50 @@ def test_jaccard(spark, docs, small, empty):
 def test_parity_sketch_is_a_lower_bound():
     rng = np.random.default_rng(4)
     for n, shared in ((50, 20), (400, 300), (3000, 2900)):
-        a = rng.integers(0, 2**64, n, dtype=np.uint64)
-        b = np.concatenate([a[:shared], rng.integers(0, 2**64, n - shared, dtype=np.uint64)])
-        x, y = (np.frombuffer(s, np.uint8) for s in jaccard_join.parity_sketches(np.concatenate([a, b]), np.array([0, n, 2 * n])))
+        a = rng.integers(0, 2**48, n, dtype=np.uint64)
+        b = np.concatenate([a[:shared], rng.integers(0, 2**48, n - shared, dtype=np.uint64)])
+        x, y = jaccard_join._parity_sketches(np.concatenate([a, b]), np.array([0, n, 2 * n]), 10)
         assert np.bitwise_count(x ^ y).sum() <= 2 * (n - shared)
-        assert (jaccard_join.unpack_set(jaccard_join.pack_set(a)) == np.unique(a >> np.uint64(16))).all()
+        wide = rng.integers(0, 2**64, n, dtype=np.uint64)
+        assert (jaccard_join.unpack_set(jaccard_join.pack_set(wide)) == np.unique(wide >> np.uint64(16))).all()
+
+
+def test_pivot_distances_are_exact():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.choice(60, rng.integers(1, 40), replace=False).astype(np.uint64)) for _ in range(40)]
+    pivots = jaccard_join.Pivots(sets[:12], list(range(12)), 80)
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    doc, pivot, far, linked = pivots.places(np.concatenate(sets), edges)
+    got = {(d, int(pivots.classes[p])): (round(f, 12), bool(k)) for d, p, f, k in zip(doc, pivot, far, linked)}
+    want = {}
+    for d, x in enumerate(sets):
+        for p in pivots.classes.tolist():
+            shared, union = len(set(x.tolist()) & set(sets[p].tolist())), len(set(x.tolist()) | set(sets[p].tolist()))
+            if shared:
+                want[d, p] = (round(1 - shared / union, 12), 100 * shared >= 80 * union)
+    assert got == want and (np.diff(far)[np.diff(doc) == 0] >= 0).all()
+    assert all(1 - jaccard_join._jaccard(sets[a], sets[b]) > pivots.rho for a in pivots.classes for b in pivots.classes if a < b)
+
+
+@pytest.mark.parametrize("percent,seed", [(80, 1), (60, 2), (95, 3), (30, 4)])
+def test_jaccard_of_crowded_groups(spark, percent, seed):
+    """Chains of near copies around a few texts, so that windows, regions and cells of several components all matter."""
+    import random
+
+    r = random.Random(seed)
+    seeds = [[f"g{g}w{i}" for i in range(40)] for g in range(4)]
+    rows = []
+    for i in range(260):
+        w = list(r.choice(seeds))
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = f"n{r.randrange(30)}"
+        rows.append((i, " ".join(w[: r.randint(25, 40)] + seeds[0][:8] * r.randint(0, 1)), "en", "s", 0))
+    df = spark.createDataFrame(rows, DOC).repartition(5)
+    path = new_path(spark, "crowded")
+    df.write.parquet(path)
+    df = spark.read.parquet(path)
+    out = jaccard_join.jaccard_components(df, percent=percent, k=2).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr) == brute_jaccard(pairs(df), k=2, percent=percent)
 
 
 # pages
