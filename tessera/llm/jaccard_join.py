@@ -55,6 +55,7 @@ _BITS = 26  # of the filter that keeps sets that nobody asked for out of a shuff
 _MOST_FREQUENT = 1 << 17  # n-grams put last; bounds what is broadcast, not what is compared
 _SALTS = mix64(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LATE, _EARLY, _LINK = 0, 1, 2
+_FIRST = np.ones(1, bool)
 
 
 def ngram_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +73,8 @@ def ngram_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     out, edges = [], [0]
     for i, n in enumerate(count.tolist()):
         if n >= k:
-            x = np.unique(h[begin[i] : begin[i + 1]])
+            x = np.sort(h[begin[i] : begin[i + 1]])
+            x = x[np.concatenate([_FIRST, x[1:] != x[:-1]])]
         elif n:
             x = np.array([n], np.uint64)
             for w in words[first[i] : first[i + 1]]:
@@ -84,6 +86,25 @@ def ngram_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else h[:0]), np.array(edges)
 
 
+def _level(n: np.ndarray) -> np.ndarray:
+    """Logarithm of the number of parts for a set of n n-grams: two parts an n-gram, 256 at least."""
+    return np.maximum(8, np.ceil(np.log2(np.maximum(n, 1) * 2.0))).astype(np.int64)
+
+
+def parity_sketches(h: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Per set one bit for each part of the hash space: whether it holds an odd number of n-grams.
+
+    Two sets' sketches differ in at most as many bits as the sets in n-grams.
+    """
+    n = np.diff(edges)
+    level = _level(n)
+    at = np.concatenate([[0], np.cumsum(1 << level)])
+    doc = np.repeat(np.arange(len(n)), n)
+    part = (h & ((np.uint64(1) << level[doc].astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    odd = np.packbits((np.bincount(at[doc] + part, minlength=at[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [odd[x >> 3 : y >> 3] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def _class(x: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -123,17 +144,18 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
                         pa.array(n),
                         pa.array(cls, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * LANES + 1, LANES, dtype=np.int32)), pa.array(lanes.ravel().view(np.int64))),
+                        pa.array(parity_sketches(h, edges), pa.binary()),
                         pa.nulls(len(n), pa.int64()),
                     ],
-                    ["doc_id", "n", "cls", "lanes", "gram"],
+                    ["doc_id", "n", "cls", "lanes", "sketch", "gram"],
                 )
                 u, times = np.unique(h, return_counts=True)
                 often = times >= max(4, len(n) // 500)
                 u, times = u[often].view(np.int64), times[often]
                 m = len(u)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(times), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array(u)], ["doc_id", "n", "cls", "lanes", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(times), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary()), pa.array(u)], ["doc_id", "n", "cls", "lanes", "sketch", "gram"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, lanes array<long>, gram long")
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, lanes array<long>, sketch binary, gram long")
 
 
 class Pivots:
@@ -279,7 +301,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = spill(_described(source, k), "described")
     rows = made.where("gram is null").select("doc_id", "n", "cls")
-    classes = made.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("lanes").alias("lanes"))
+    classes = made.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("lanes").alias("lanes"), F.first("sketch").alias("sketch"))
     classes = spill(classes, "classes")
     often = made.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(_MOST_FREQUENT)
     often = np.sort(np.array([r.gram for r in often.collect()], np.int64).view(np.uint64))
@@ -300,14 +322,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     before, parts = parts, spill(connected_components(links, "a", "b"), "components")
     release(before, stars)
 
-    # what is left, cell by cell
-    named = _with_components(cells.select("cell", "cls"), parts)
-    open_ = named.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("cell")
-    mixed = spill(skew_join(named, open_, ["cell"]).join(classes.select("cls", "n"), "cls").select("cell", "cls", "component", "n"), "open")
-    sets = spill(_sets(source, k, _wanted(mixed)), "sets")
-    links = links.unionByName(spill(_joined(mixed, sets, percent), "links"))
-    before, parts = parts, spill(connected_components(links, "a", "b"), "components")
-    release(before, mixed, sets, members)
+    # what is left, cell by cell: the first cells again, then all
+    for some in (cells.where(F.col("kind") == _EARLY), cells):
+        named = _with_components(some.select("cell", "cls"), parts)
+        open_ = named.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("cell")
+        mixed = skew_join(skew_join(named, open_, ["cell"]), classes.select("cls", "n", "sketch"), ["cls"])
+        mixed = spill(_partnered(mixed.select("cell", "cls", "component", "n", "sketch"), percent), "open")
+        sets = spill(_sets(source, k, _wanted(mixed)), "sets")
+        links = links.unionByName(spill(_joined(mixed, sets, percent), "links"))
+        before, parts = parts, spill(connected_components(links, "a", "b"), "components")
+        release(before, mixed, sets)
+    release(members)
 
     parts = parts.withColumnRenamed("id", "cls")
     marks = classes.select("cls", "least", "size").join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -397,44 +422,107 @@ def _cells(docs: DataFrame, k: int, percent: int, often: np.ndarray, pivots: Piv
     return packs.mapInArrow(meet, "cell long, cls long, kind int")
 
 
-def _joined(mixed: DataFrame, sets: DataFrame, percent: int, most: int = 2048, most_grams: int = 1 << 21) -> DataFrame:
-    """A forest ``(a, b)`` of the links between different components of one cell, joined inside tasks.
+def _tiled(rows: DataFrame, most: int, most_grams: int) -> DataFrame:
+    """``rows`` with ``i``, ``j`` and ``tile``, dealt out by (cell, i, j) and there sorted by size.
 
     A cell over ``most`` members or ``most_grams`` n-grams is cut into tiles, and each pair of tiles is a
     group of its own, so that a task holds two tiles at most.
     """
-    size = mixed.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / most_grams)).cast("int").alias("tiles"))
-    rows = skew_join(mixed, size, ["cell"])
+    size = rows.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / most_grams)).cast("int").alias("tiles"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least(j, F.col("tile")).alias("i"), F.greatest(j, F.col("tile")).alias("j")))
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).withColumn("at", F.explode(pairs))
-    rows = rows.select("cell", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "tile", "cls", "component", "n")
-    rows = skew_join(rows, sets, ["cls"])
-    dealt = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "n", "cls")
+    tiled = skew_join(rows, size, ["cell"]).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).withColumn("at", F.explode(pairs))
+    return tiled.select("cell", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "tile", *[c for c in rows.columns if c != "cell"])
+
+
+def _groups(batches, most_rows: int, most_grams: int) -> Iterator[pa.Table]:
+    """Whole groups by (cell, i, j), many small ones together."""
+    held, n, grams = [], 0, 0
+    for group in _runs(batches, 3):
+        held.append(group)
+        n += group.num_rows
+        grams += int(np.asarray(group["n"].combine_chunks()).sum())
+        if n >= most_rows or grams >= most_grams:
+            yield pa.concat_tables(held)
+            held, n, grams = [], 0, 0
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _partnered(mixed: DataFrame, percent: int, most: int = 4096) -> DataFrame:
+    """``(cell, cls, component, n)`` of the members that may link with one of another component in their cell, by sizes and sketches."""
+    dealt = _tiled(mixed, most, 1 << 40).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "n")
 
     def run(batches):
-        held, n, grams = [], 0, 0
-        for group in _runs(batches, 3):
-            held.append(group)
-            n += group.num_rows
-            grams += sum(group["n"].to_pylist())
-            if n >= 20_000 or grams >= 2 * most_grams:
-                yield from _forest_of(pa.concat_tables(held), percent)
-                held, n, grams = [], 0, 0
-        if held:
-            yield from _forest_of(pa.concat_tables(held), percent)
+        for rows in _groups(batches, 20_000, 1 << 40):
+            keep = np.zeros(rows.num_rows, bool)
+            n = np.asarray(rows["n"].combine_chunks()).astype(np.int64)
+            level, blobs = _level(n), rows["sketch"].to_pylist()
+            place, table = np.zeros(len(n), np.int64), {}
+            for lv in np.unique(level):
+                some = np.flatnonzero(level == lv)
+                place[some] = np.arange(len(some))
+                table[lv] = np.frombuffer(b"".join(blobs[k] for k in some), np.uint64).reshape(len(some), -1)
+            for p, q in _pairs(rows, percent, lambda p, q: ~(keep[p] & keep[q])):
+                near = _sketches_meet(p, q, n, level, place, table, percent)
+                keep[p[near]] = keep[q[near]] = True
+            yield from rows.filter(pa.array(keep)).select(["cell", "cls", "component", "n"]).to_batches()
+
+    columns = ["cell", "i", "j", "tile", "cls", "component", "n", "sketch"]
+    return dealt.select(*columns).mapInArrow(run, "cell long, cls long, component long, n long").distinct()
+
+
+def _pairs(rows: pa.Table, percent: int, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group and different components whose sizes allow a link, as far as ``wanted`` still says so; groups are sorted by size."""
+    cell, i, j, tile, comp, n = (np.asarray(rows[c].combine_chunks()).astype(np.int64) for c in ("cell", "i", "j", "tile", "component", "n"))
+    group = np.cumsum(np.concatenate([[True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    scale = int(n.max()) * 100 // percent + 2
+    end = np.searchsorted(group * scale + n, group * scale + n * 100 // percent, side="right")
+    count = np.maximum(0, end - np.arange(len(n)) - 1)  # partners of a row: those after it that are not too large
+    upto = np.cumsum(count)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 400_000, side="right")))
+        p = np.repeat(np.arange(at, to), count[at:to])
+        q = ragged(np.arange(at, to) + 1, count[at:to])
+        ok = (comp[p] != comp[q]) & (np.minimum(tile[p], tile[q]) == i[p]) & (np.maximum(tile[p], tile[q]) == j[p])
+        p, q = p[ok], q[ok]
+        ok = wanted(p, q)
+        if ok.any():
+            yield p[ok], q[ok]
+        at = to
 
-    return dealt.select("cell", "i", "j", "tile", "cls", "component", "n", "grams").mapInArrow(run, "a long, b long")
 
+def _sketches_meet(p, q, n, level, place, table, percent) -> np.ndarray:
+    """Whether the sketches of two sets allow the least intersection of a linked pair."""
+    out = np.zeros(len(p), bool)
+    total = n[p] + n[q]
+    most = total - 2 * -(-percent * total // (100 + percent))  # of the symmetric difference
+    for lp, lq in {(int(x), int(y)) for x, y in zip(*np.unique(np.stack([level[p], level[q]]), axis=1), strict=True)}:
+        some = np.flatnonzero((level[p] == lp) & (level[q] == lq))
+        step = max(1, (1 << 26) >> max(lp, lq))
+        for k in range(0, len(some), step):
+            r = some[k : k + step]
+            x, y = table[lp][place[p[r]]], table[lq][place[q[r]]]
+            # the halves of a sketch fold onto one of half as many parts
+            while x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            out[r] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most[r]
+    return out
 
-def _parity_sketches(flat: np.ndarray, edges: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Per set one bit for each of 2^level parts of the hash space: whether it holds an odd number of n-grams.
 
-    Two sets' sketches differ in at most as many bits as the sets in n-grams. All rows have the same width.
-    """
-    out = np.zeros((len(edges) - 1, 1 << level), np.uint8)
-    row = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-    np.bitwise_xor.at(out, (row, (flat & np.uint64((1 << level) - 1)).astype(np.int64)), 1)
-    return np.packbits(out, axis=1).view(np.uint64)
+def _joined(mixed: DataFrame, sets: DataFrame, percent: int, most: int = 2048, most_grams: int = 1 << 21) -> DataFrame:
+    """A forest ``(a, b)`` of the links between different components of one cell, joined inside tasks."""
+    rows = skew_join(_tiled(mixed, most, most_grams), sets, ["cls"])
+    columns = ["cell", "i", "j", "tile", "cls", "component", "n", "grams"]
+    dealt = rows.select(*columns).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "n", "cls")
+
+    def run(batches):
+        for held in _groups(batches, 20_000, 2 * most_grams):
+            yield from _forest_of(held, percent)
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _inner_distances(flat: np.ndarray, edges: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -461,41 +549,21 @@ def _inner_distances(flat: np.ndarray, edges: np.ndarray, group: np.ndarray) ->
 
 def _forest_of(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     """Links between components of many whole groups, each sorted by size; as a forest."""
-    cell, i, j, tile, cls, comp, n = (np.asarray(rows[c].combine_chunks()).astype(np.int64) for c in ("cell", "i", "j", "tile", "cls", "component", "n"))
+    cell, i, j, cls, comp = (np.asarray(rows[c].combine_chunks()).astype(np.int64) for c in ("cell", "i", "j", "cls", "component"))
     sets = [unpack_set(x) for x in rows["grams"].to_pylist()]
     size = np.array([len(x) for x in sets])
     flat, edges = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])
     del sets
-    new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-    group = np.cumsum(new)
-    level = int(np.clip(np.ceil(np.log2(2.0 * max(1, np.median(n)))), 8, 14))
-    sketch = _parity_sketches(flat, edges, level)
+    group = np.cumsum(np.concatenate([[True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
     far = _inner_distances(flat, edges, group)
-    keys = (np.repeat(np.arange(len(n)), size).astype(np.uint64) << np.uint64(48)) | flat  # for probes of one row
-    # partners of a row: those after it in its group that are not too large
-    scale = int(n.max()) * 100 // percent + 2
-    end = np.searchsorted(group * scale + n, group * scale + n * 100 // percent, side="right")
-    count = np.maximum(0, end - np.arange(len(n)) - 1)
-    upto = np.cumsum(count)
+    keys = (np.repeat(np.arange(len(size)), size).astype(np.uint64) << np.uint64(48)) | flat  # for probes of one row
     _, label = np.unique(comp, return_inverse=True)
-    label = label.astype(np.int64)
     root = np.arange(int(label.max()) + 1)
     r = 1 - percent / 100 + 1e-9
-    at = 0
-    while at < len(n):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 400_000, side="right")))
-        p = np.repeat(np.arange(at, to), count[at:to])
-        q = ragged(np.arange(at, to) + 1, count[at:to])
-        ok = (root[label[p]] != root[label[q]]) & (np.minimum(tile[p], tile[q]) == i[p]) & (np.maximum(tile[p], tile[q]) == j[p])
-        p, q = p[ok], q[ok]
+    for p, q in _pairs(rows, percent, lambda p, q: root[label[p]] != root[label[q]]):
         for k in range(INNER_PIVOTS):  # the windows of the cell's own pivots
             ok = np.abs(far[p, k] - far[q, k]) <= r
             p, q = p[ok], q[ok]
-        total = size[p] + size[q]
-        most = total - 2 * -(-percent * total // (100 + percent))  # of the symmetric difference
-        step = max(1, (1 << 22) >> max(0, level - 6))
-        near = np.concatenate([np.zeros(0, bool), *[np.bitwise_count(sketch[p[k : k + step]] ^ sketch[q[k : k + step]]).sum(axis=1, dtype=np.int64) <= most[k : k + step] for k in range(0, len(p), step)]])
-        p, q = p[near], q[near]
         while len(p):
             some = max(1, int(np.searchsorted(np.cumsum(size[p]), 1_000_000)))
             x, y = p[:some], q[:some]
@@ -515,7 +583,6 @@ def _forest_of(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
             p, q = p[some:], q[some:]
             open_ = root[label[p]] != root[label[q]]
             p, q = p[open_], q[open_]
-        at = to
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
