@@ -326,8 +326,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for some in (cells.where(F.col("kind") == _EARLY), cells):
         named = _with_components(some.select("cell", "cls"), parts)
         open_ = named.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("cell")
-        mixed = skew_join(skew_join(named, open_, ["cell"]), classes.select("cls", "n", "sketch"), ["cls"])
-        mixed = spill(_partnered(mixed.select("cell", "cls", "component", "n", "sketch"), percent), "open")
+        several = spill(skew_join(skew_join(named, open_, ["cell"]), classes.select("cls", "n"), ["cls"]).select("cell", "cls", "component", "n"), "several")
+        mixed = spill(_partnered(several, classes, percent), "open")
+        release(several)
         sets = spill(_sets(source, k, _wanted(mixed)), "sets")
         links = links.unionByName(spill(_joined(mixed, sets, percent), "links"))
         before, parts = parts, spill(connected_components(links, "a", "b"), "components")
@@ -448,9 +449,14 @@ def _groups(batches, most_rows: int, most_grams: int) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def _partnered(mixed: DataFrame, percent: int, most: int = 4096) -> DataFrame:
-    """``(cell, cls, component, n)`` of the members that may link with one of another component in their cell, by sizes and sketches."""
-    dealt = _tiled(mixed, most, 1 << 40).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "n")
+def _partnered(several: DataFrame, classes: DataFrame, percent: int, most: int = 4096) -> DataFrame:
+    """``(cell, cls, component, n)`` of the members that may link with one of another component in their cell, by sizes and sketches.
+
+    Sketches join last, so that they are moved once.
+    """
+    rows = skew_join(_tiled(several, most, 1 << 40), classes.select("cls", "sketch"), ["cls"])
+    columns = ["cell", "i", "j", "tile", "cls", "component", "n", "sketch"]
+    dealt = rows.select(*columns).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "n")
 
     def run(batches):
         for rows in _groups(batches, 20_000, 1 << 40):
@@ -467,8 +473,7 @@ def _partnered(mixed: DataFrame, percent: int, most: int = 4096) -> DataFrame:
                 keep[p[near]] = keep[q[near]] = True
             yield from rows.filter(pa.array(keep)).select(["cell", "cls", "component", "n"]).to_batches()
 
-    columns = ["cell", "i", "j", "tile", "cls", "component", "n", "sketch"]
-    return dealt.select(*columns).mapInArrow(run, "cell long, cls long, component long, n long").distinct()
+    return dealt.mapInArrow(run, "cell long, cls long, component long, n long").distinct()
 
 
 def _pairs(rows: pa.Table, percent: int, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
