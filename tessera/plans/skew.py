@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.names import fresh
+
 _SALT = 0x5DEECE66D
 
 
@@ -20,7 +22,7 @@ def spread_key(*cols: Column) -> Column:
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys``, of which hot ones are split at run time. Null keys never match."""
-    k = "__spread"
+    k = fresh("spread", [*left.columns, *right.columns])
     a = left.withColumn(k, F.when(_known(keys), spread_key(*map(F.col, keys))))
     b = right.withColumn(k, F.when(_known(keys), spread_key(*map(F.col, keys))))
     return a.join(b, [k, *keys], how).drop(k)
