@@ -4,10 +4,12 @@ Every input partition is one run of digests. In each round the runs of ``fan_in`
 numbers meet: their entries are dealt out by (new run number, digest), merged in digest order, and
 of each digest one entry remains with the best identifier and the sum of the counts. The rounds end
 when a single run is left, which lies dealt out by digest over all tasks. A digest that fills a
-third of all rows is down to one entry a run before the first exchange.
+third of all rows is down to one entry a run before the first exchange. Spark plans a round as a sort
+of each run by digest, a merge of equal neighbours, an exchange, and the same on what meets.
 
 An entry's key is the SHA-256 digest with the byte length and a second, independent 64-bit hash of
-the text, so that an entry is merged only where all three agree.
+the text, so that an entry is merged only where all three agree. That is what verifies it: texts
+themselves are not moved, as two that agree in all three are not known to exist.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.names import fresh
 from tessera.plans.scratch import spill
 from tessera.plans.skew import skew_join
 
@@ -82,14 +85,17 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row for each distinct text, chosen as by :func:`exact_duplicates`; same columns.
 
     Of rows with the same text and identifier the one with the least hash of all its columns stays.
+    A null text counts as empty, null identifiers as one identifier; an empty table gives no rows.
     """
     columns = docs.columns
+    ident, sha, nth = (fresh(c, columns) for c in ("ident", "sha", "nth"))
     kept = exact_duplicates(docs, id_col, text_col, keep, fan_in).where("kept")
-    kept = kept.select(_name("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"))
-    keyed = docs.withColumns({"__id": _name(id_col), "__sha": F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))})
-    keyed = keyed.join(kept, ["__id", "__sha"], "left_semi")
-    first = Window.partitionBy("__id", "__sha").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
-    return keyed.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*[f"`{c}`" for c in columns])
+    kept = kept.select(_name("doc_id").alias(ident), F.unhex("text_sha256").alias(sha))
+    keyed = docs.withColumns({ident: _name(f"`{id_col}`"), sha: F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))})
+    # rows of one text and identifier shrink to one a task before they move
+    first = Window.partitionBy(ident, sha).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    alone = keyed.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
+    return alone.join(kept, [ident, sha], "left_semi").select(*[f"`{c}`" for c in columns])
 
 
 def _name(col: str) -> Column:

@@ -357,7 +357,7 @@ def _cells(docs: DataFrame, k: int, percent: int, often: np.ndarray, pivots: Piv
 
     def send(batches):
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text"):
                 h, edges = ngram_sets(part.column(1), k)
                 at = np.minimum(np.searchsorted(last.value, h), max(0, len(last.value) - 1))
                 late = last.value[at] == h if len(last.value) else np.zeros(len(h), bool)
@@ -486,7 +486,7 @@ def _pairs(rows: pa.Table, percent: int, wanted) -> Iterator[tuple[np.ndarray, n
     upto = np.cumsum(count)
     at = 0
     while at < len(n):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 400_000, side="right")))
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 200_000, side="right")))
         p = np.repeat(np.arange(at, to), count[at:to])
         q = ragged(np.arange(at, to) + 1, count[at:to])
         ok = (comp[p] != comp[q]) & (np.minimum(tile[p], tile[q]) == i[p]) & (np.maximum(tile[p], tile[q]) == j[p])
@@ -517,7 +517,7 @@ def _sketches_meet(p, q, n, level, place, table, percent) -> np.ndarray:
     return out
 
 
-def _joined(mixed: DataFrame, sets: DataFrame, percent: int, most: int = 2048, most_grams: int = 1 << 21) -> DataFrame:
+def _joined(mixed: DataFrame, sets: DataFrame, percent: int, most: int = 2048, most_grams: int = 1 << 20) -> DataFrame:
     """A forest ``(a, b)`` of the links between different components of one cell, joined inside tasks."""
     rows = skew_join(_tiled(mixed, most, most_grams), sets, ["cls"])
     columns = ["cell", "i", "j", "tile", "cls", "component", "n", "grams"]

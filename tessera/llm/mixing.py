@@ -12,10 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.names import fresh
 from tessera.plans.scratch import spill
+from tessera.plans.skew import skew_join
 
 WORD = r"[^ \t-\r]+"
 _KEY_BITS = 60
+FEW_SOURCES = 100_000  # up to here a row for each source is broadcast: some megabytes
 
 
 def word_count(text: Column) -> Column:
@@ -108,15 +111,20 @@ def mix_documents(
 
     The plan of :func:`mix_sources` comes down to a number of passes and a last key per source. The
     document at the cut is taken once more if the mix takes at least half of it. A document without
-    words is taken as often as any with its key would be.
+    words is taken as often as any with its key would be. A null source is a source of its own, null
+    identifiers share one key, repeated rows are taken alike; an empty table gives no rows.
     """
     plan = _planned(docs, id_col, text_col, source_col, weights, percent, most, seed, rows_a_range)
     left = F.col("rest") - F.col("before")
     inside = (left > 0) & (2 * left >= F.col("size"))
-    cuts = plan.groupBy("skey").agg(F.first("passes").alias("__passes"), F.max(F.when(inside, F.col("key"))).alias("__cut")).withColumnRenamed("skey", "__skey")
-    keyed = docs.withColumns({"__skey": _skey(F.col(source_col)), "__key": random_key(F.col(id_col), seed)}).join(cuts, "__skey")
-    times = F.col("__passes") + F.when(F.col("__key") <= F.col("__cut"), 1).otherwise(0)
-    repeated = keyed.withColumn("__times", times.cast("int")).where("__times > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    skey, key, passes, cut, nth = (fresh(c, docs.columns) for c in ("skey", "key", "passes", "cut", "nth"))
+    cuts = plan.groupBy(F.col("skey").alias(skey)).agg(F.first("passes").alias(passes), F.max(F.when(inside, F.col("key"))).alias(cut))
+    cuts = spill(cuts, "cuts")
+    keyed = docs.withColumns({skey: _skey(F.col(f"`{source_col}`")), key: random_key(F.col(f"`{id_col}`"), seed)})
+    # one row a source: with few of them no document has to move
+    keyed = keyed.join(F.broadcast(cuts), skey) if cuts.count() <= FEW_SOURCES else skew_join(keyed, cuts, [skey])
+    times = F.col(passes) + F.when(F.col(key) <= F.col(cut), 1).otherwise(0)
+    repeated = keyed.withColumn(nth, times.cast("int")).where(F.col(nth) > 0).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(nth))))
     return repeated.select(*[f"`{c}`" for c in docs.columns])
 
 

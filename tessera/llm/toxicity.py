@@ -80,11 +80,13 @@ def fit_severity(
     """Fit on the labelled texts whose identifiers have the ``sample_rows`` least hashes.
 
     Rows with a null identifier or label are left out; several labels of one text count as toxic if
-    one is. Without toxic labels, or without clean ones, the model gives every text grade 0.
+    one is, and of several texts with one identifier the one with the least hash is read. An empty table of either kind counts as one without toxic labels. Without toxic labels, or without clean ones, the model gives every text grade 0.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     taken = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(taken), "id").select("text", "toxic")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(taken), "id")
+    # one text a label, also where identifiers repeat
+    texts = texts.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +165,8 @@ def score_severity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id"
     """One row per row of ``docs``: doc_id, expected_severity (0 to 2), grade, p_toxic, rejected.
 
     A text is rejected when a grade above 0 has a probability of ``reject_at`` or more. Null and
-    empty texts have no words and the score 0.
+    empty texts have no words and the score 0. Each row is scored for itself, also one that repeats
+    another's identifier; an empty table gives no rows, and further columns are not read.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([source.schema["doc_id"], *[T.StructField(a, b) for a, b in _MADE]])
@@ -185,7 +188,11 @@ def _scored(texts: pa.Array, model: SeverityModel, reject_at: float) -> list[pa.
 
 
 def drop_toxic(docs: DataFrame, model: SeverityModel, text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that the model rejects; same columns."""
+    """``docs`` without the rows that the model rejects; same columns, whatever their names.
+
+    Null and empty texts have no words and stay, as their score is 0, unless the model rejects every
+    text. Each row is judged for itself; an empty table gives no rows.
+    """
     names = docs.columns
 
     def run(batches):

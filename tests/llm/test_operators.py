@@ -165,6 +165,21 @@ def test_toxicity_edges(spark, docs, empty):
     assert toxicity.score_severity(empty, never).count() == 0 and not len(toxicity.fit_severity(empty, labels).words)
 
 
+def test_stages_on_empty_tables_and_clashing_names(spark, docs, empty):
+    """Columns with the names that operators use for themselves come through unchanged, and empty tables stay empty."""
+    names = ["__row", "__id", "__sha", "__nth", "__skey", "__key", "__cut", "__times", "__passes", "__gone", "__spread", "ident", "sha", "nth", "skey", "key", "cut", "passes", "gone", "spread", "component_id", "n_pieces", "TEXT_sha256"]
+    wide = docs.drop("__row").withColumns({c: F.lit(c) for c in names})
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(12)] + [(4, 1), (5, 1)], "doc_id long, toxic int")
+    model = toxicity.fit_severity(wide, labels, least_docs=1, least_gain=1.0)
+    vocab = vocabulary("piece_bpe_32k.model")
+    stages = [lambda d: toxicity.drop_toxic(d, model), exact_dedup.drop_exact_duplicates, jaccard_join.keep_one_of_each, mixing.mix_documents, lambda d: piece_codec.encode_pieces(d, vocab, keep_columns=True)]
+    for nth, stage in enumerate(stages):
+        out = stage(wide)
+        assert out.columns[: len(wide.columns)] == wide.columns
+        assert all(r[c] == c for r in out.collect() for c in names)
+        assert stage(wide.where("doc_id < -5")).count() == 0 and stage(empty).count() == 0, nth
+
+
 # words and token files
 
 
