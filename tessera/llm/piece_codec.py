@@ -7,7 +7,7 @@ Distinct segments of equal length advance together: at each position the hashes
 that end there are looked up among the sorted hashes of the pieces, the best step's length and
 piece are kept for every segment at once, and the paths are read back together. A character that
 no piece covers becomes its UTF-8 bytes, so that decoding gives every text back. A hash that hits is
-followed by a comparison of the code points, both for pieces and for segments that are known already.
+followed by a comparison: of the code points for a piece, of the decoded text for known segments.
 
 A segment of more than 64 code points is cut further between two neighbours that stand next to each
 other in no piece; what is longer than 256 even so is read by itself, with the pieces in a
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.words import buffer_of, mix64, ragged, same_bytes, slices, word_hashes
+from tessera.llm.words import buffer_of, mix64, ragged, slices, word_hashes
 
 MARK = 0x2581
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -51,7 +51,7 @@ class PieceModel:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def __init__(self, path: str, most: int = 2_500_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -120,8 +120,8 @@ class PieceModel:
         return mix64(np.array([h ^ np.uint64(len(points) << 40)], np.uint64))[0]
 
     def _forget(self) -> None:
-        self.known, self.flat, self.spelled = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
-        self.starts = self.counts = self.places = self.sizes = np.zeros(0, np.int64)
+        self.known, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def viterbi(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of ``points``, a matrix with one segment a row, and how many each row has."""
@@ -218,7 +218,10 @@ class PieceModel:
         return out
 
     def _ends(self, points: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        """Whether merging each row leaves one piece on either side of its cut (one in all if it is 0)."""
+        """Whether merging each row leaves one piece on either side of its cut (one in all if it is 0).
+
+        All rows are pairs of the model's own pieces, so that no text can bring about a collision here.
+        """
         rows, width = points.shape
         run = np.zeros((rows, width + 1), np.uint64)
         for j in range(width):
@@ -236,12 +239,6 @@ class PieceModel:
             real = np.arange(m - 1)[None, :] < (count[live] - 1)[:, None]
             raw = (run[live[:, None], t] - run[live[:, None], s] * power[t - s]) ^ ((t - s).astype(np.uint64) << np.uint64(40))
             some, at = self._look_up(raw.ravel())
-            n = np.broadcast_to(t - s, raw.shape).ravel()[some]
-            begin = (np.broadcast_to(live[:, None] * width + s, raw.shape)).ravel()[some]
-            if len(some):
-                equal = points.ravel()[ragged(begin, n)] == self.table.ravel()[ragged(at * self.longest, n)]
-                ok = np.logical_and.reduceat(equal, np.cumsum(n) - n)
-                some, at = some[ok], at[ok]
             score = np.full(raw.size, -np.inf)
             score[some] = self.scores[at]
             score = np.where(real, score.reshape(raw.shape), -np.inf)
@@ -267,16 +264,33 @@ class PieceModel:
         return np.array(made, np.int32), np.bincount(owner, minlength=len(counts))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and per text the number of its first id (one more than texts). Null counts as empty."""
+        """All ids, and per text the number of its first id (one more than texts). Null counts as empty.
+
+        Known segments are found by their hashes; a text that its ids do not give back holds one whose
+        hash is another's, and is encoded again segment by segment.
+        """
         buf, offs = buffer_of(texts)
+        ids, first = self._encode(buf, offs, True)
+        raw, o = buf.tobytes(), offs.tolist()
+        wrong = [i for i, (t, a, b) in enumerate(zip(self.decode(ids, first), o[:-1], o[1:], strict=True)) if t != raw[a:b]]
+        if not wrong:
+            return ids, first
+        runs = [ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        for i in wrong:
+            runs[i] = self._encode(buf[offs[i] : offs[i + 1]], offs[i : i + 2] - offs[i], False)[0]
+        return np.concatenate(runs), np.concatenate([[0], np.cumsum([len(x) for x in runs])])
+
+    def _encode(self, buf: np.ndarray, offs: np.ndarray, cached: bool) -> tuple[np.ndarray, np.ndarray]:
         filled = offs[1:] > offs[:-1]
         # in front of each text that has any, a mark
         raw = np.insert(buf, offs[:-1][filled], 0x20)
         starts = offs + np.concatenate([[0], np.cumsum(filled)])
         heads = (raw & 0xC0) != 0x80
         points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).copy()
-        upto = np.concatenate([[0], np.cumsum(heads)])
-        doc = upto[starts]
+        upto = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum(heads, dtype=np.int32, out=upto[1:])
+        doc = upto[starts].astype(np.int64)
+        del upto
         points[points == MARK] = _LITERAL
         points[points == 0x20] = MARK
         n = len(points)
@@ -293,23 +307,18 @@ class PieceModel:
             cut[at] = ~self._crossed(points, at)
             s = np.flatnonzero(cut)
             length = np.diff(np.append(s, n))
+        if not cached:
+            ids, counts = self._paths(points, s, length)
+            return ids, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(s, doc)]
         u, at, back = np.unique(word_hashes(points.view(np.uint8), 4 * s, 4 * (s + length)), return_index=True, return_inverse=True)
-        if len(self.known) + len(u) > self.most or len(self.spelled) > 4 * self.most:
+        if len(self.known) + len(u) > self.most:
             self._forget()
         where = np.searchsorted(self.known, u)
         new = np.flatnonzero(self.known[np.minimum(where, len(self.known) - 1)] != u) if len(self.known) else np.arange(len(u))
         if len(new):
             self._learn(u[new], points, s[at[new]], length[at[new]])
             where = np.searchsorted(self.known, u)
-        where = where[back]
-        starts, counts, flat = self.starts[where], self.counts[where], self.flat
-        same = self.sizes[where] == length
-        same[same] = same_bytes(points.view(np.uint8), 4 * s[same], self.spelled.view(np.uint8), 4 * self.places[where[same]], 4 * length[same])
-        if not same.all():  # another segment has this hash
-            odd = np.flatnonzero(~same)
-            ids, counts[odd] = self._paths(points, s[odd], length[odd])
-            starts[odd] = np.cumsum(counts[odd]) - counts[odd] + len(flat)
-            flat = np.concatenate([flat, ids])
+        starts, counts, flat = self.starts[where][back], self.counts[where][back], self.flat
         ids = flat[ragged(starts, counts)]
         done = np.concatenate([[0], np.cumsum(counts)])
         return ids, done[np.searchsorted(s, doc)]
@@ -393,20 +402,23 @@ class PieceModel:
     def _learn(self, keys, points, s, length) -> None:
         ids, counts = self._paths(points, s, length)
         starts = np.cumsum(counts) - counts + len(self.flat)
-        places = np.cumsum(length) - length + len(self.spelled)
         self.flat = np.concatenate([self.flat, ids]).astype(np.int32)
-        self.spelled = np.concatenate([self.spelled, points[ragged(s, length)]])
         where = np.searchsorted(self.known, keys)
         put = lambda old, new: np.insert(old, where, new)
         self.known, self.starts, self.counts = put(self.known, keys), put(self.starts, starts), put(self.counts, counts)
-        self.places, self.sizes = put(self.places, places), put(self.sizes, length)
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
         """The text of each run of ids; ids without text (control and unknown pieces) give none."""
-        n = self.text_len[ids]
-        raw = self.text[ragged(self.text_at[ids], n)].tobytes()
-        upto = np.concatenate([[0], np.cumsum(n)])[first].tolist()
-        return [raw[a + 1 : b] if b > a else b"" for a, b in zip(upto[:-1], upto[1:], strict=True)]
+        out, at = [], 0
+        while at + 1 < len(first):  # some texts at a time, for the memory
+            to = max(at + 1, int(np.searchsorted(first, first[at] + 200_000, side="right")) - 1)
+            some = ids[first[at] : first[to]]
+            n = self.text_len[some]
+            raw = self.text[ragged(self.text_at[some], n)].tobytes()
+            upto = np.concatenate([[0], np.cumsum(n)])[first[at : to + 1] - first[at]].tolist()
+            out += [raw[a + 1 : b] if b > a else b"" for a, b in zip(upto[:-1], upto[1:], strict=True)]
+            at = to
+        return out
 
 
 def _char(point: int) -> str:
@@ -449,7 +461,7 @@ def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
         is_byte = np.zeros(len(model.text_len), bool)
         is_byte[model.byte_id] = True
         for batch in batches:
-            for part in slices(batch, text_name, 4 << 20):
+            for part in slices(batch, text_name, 3 << 20):
                 col = part.column(part.schema.get_field_index(text_name))
                 ids, first = model.encode(col)
                 texts = model.decode(ids, first)

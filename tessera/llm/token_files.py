@@ -86,7 +86,7 @@ class WordTokenizer:
 
     _made: dict[str, "WordTokenizer"] = {}
 
-    def __init__(self, path: str, most: int = 2_000_000, most_bytes: int = 64 << 20):
+    def __init__(self, path: str, most: int = 1_500_000, most_bytes: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -138,13 +138,14 @@ class WordTokenizer:
             starts[odd] = np.cumsum(lengths[odd]) - lengths[odd] + len(flat)
             flat = np.concatenate([flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])
         ids = flat[ragged(starts, lengths)]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
+        upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         return ids, upto[first]
 
     def _forget(self) -> None:
         """Known segments: sorted hashes, where each one's ids lie in ``flat`` and its bytes in ``spelled``."""
         self.keys, self.flat, self.spelled = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
-        self.starts = self.lengths = self.places = self.sizes = np.zeros(0, np.int64)
+        self.starts = np.zeros(0, np.int64)
+        self.lengths = self.places = self.sizes = np.zeros(0, np.int32)
         self.plain = np.zeros(0, bool)
 
     def _ids(self, buf: np.ndarray, s, e, plain) -> list[list[int]]:
