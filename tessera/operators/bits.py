@@ -17,6 +17,28 @@ def bitset(flags: DataFrame) -> DataFrame:
     return flags.select("i", "bit")
 
 
+def popcount(words: DataFrame, max_len: int | None = None, width: int = 32) -> DataFrame:
+    """Number of set bits of rows ``(at, word)``, of the first ``max_len`` bits if given."""
+    word = F.col("word").cast("long")
+    if max_len is not None:
+        left = F.greatest(F.lit(0), F.least(F.lit(width), F.lit(max_len) - F.col("at") * width)).cast("int")
+        word = F.when(left <= 0, F.lit(0).cast("long")).when(left >= 64, word).otherwise(word.bitwiseAND(F.expr("shiftleft(1L, __left) - 1")))
+        words = words.withColumn("__left", left)
+    return words.agg(F.coalesce(F.sum(F.bit_count(word)), F.lit(0)).cast("long").alias("n"))
+
+
+def to_flags(packed: DataFrame, size: int) -> DataFrame:
+    """The unpacked form ``(i, bit)`` of a set with ``size`` places."""
+    at = packed.sparkSession.range(size).select(F.col("id").alias("i"))
+    return test(packed, at)
+
+
+def resize(flags: DataFrame, size: int, bit: bool = False) -> DataFrame:
+    """Places from ``size`` on go; new ones get ``bit``."""
+    grid = flags.sparkSession.range(size).select(F.col("id").alias("i"))
+    return grid.join(flags, "i", "left").select("i", F.coalesce("bit", F.lit(bit)).alias("bit"))
+
+
 def count(packed: DataFrame) -> DataFrame:
     return packed.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n"))
 

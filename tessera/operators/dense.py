@@ -69,9 +69,17 @@ def value_range(spark: SparkSession, start: int, end: int) -> DataFrame:
 # reductions
 
 
-def reduce_cells(cells: DataFrame, along: str, main: Fn = lambda x: x, how: Callable[[Column], Column] = F.sum, final: Fn = lambda x: x) -> DataFrame:
-    """final(how(main(val))) per row or per column; partial aggregates run before the shuffle."""
-    return cells.groupBy(F.col(along).alias("i")).agg(final(how(main(F.col("val")))).alias("v"))
+def reduce_cells(cells: DataFrame, along: str, main: Fn = lambda x: x, how: Callable[[Column], Column] = F.sum, final: Fn = lambda x: x, old: DataFrame | None = None, merge: Fn = lambda old, new: old + new) -> DataFrame:
+    """final(how(main(val))) per row or per column; partial aggregates run before the shuffle.
+
+    With ``old`` values ``(i, v)`` the result is final(merge(old, how(main(val)))); one that only
+    either side has stays as it is.
+    """
+    out = cells.groupBy(F.col(along).alias("i")).agg(how(main(F.col("val"))).alias("v"))
+    if old is not None:
+        out = out.join(old.select("i", F.col("v").alias("__old")), "i", "full")
+        out = out.select("i", F.when(F.col("__old").isNull(), F.col("v")).when(F.col("v").isNull(), F.col("__old")).otherwise(merge(F.col("__old"), F.col("v"))).alias("v"))
+    return out.select("i", final(F.col("v")).alias("v"))
 
 
 def reduce_rows(rows: DataFrame, init: float, main: Fn, merge: Fn, final: Fn = lambda x: x) -> DataFrame:
@@ -95,16 +103,18 @@ def map_reduce(df: DataFrame, f: Column, how: Callable[[Column], Column], neutra
     return df.agg(F.coalesce(how(f), F.lit(neutral)).alias("v"))
 
 
-def reduce_rows_by_key(cells: DataFrame, keys: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def reduce_rows_by_key(cells: DataFrame, keys: DataFrame, weights: DataFrame | None = None, old: DataFrame | None = None) -> DataFrame:
     """(key, col, sum of weight * val) for ``keys`` ``(row, key)`` and ``weights`` ``(row, w)``.
 
-    Keys without rows are absent; see :func:`dense_grid` to fill them with 0.
+    Keys without rows are absent; see :func:`dense_grid` to fill them with 0. The sums are added to
+    ``old`` ones ``(key, col, val)``, if given.
     """
     w = F.lit(1.0)
     joined = cells.join(keys, "row")
     if weights is not None:
         joined, w = joined.join(weights, "row"), F.col("w")
-    return joined.groupBy("key", "col").agg(F.sum(w * F.col("val")).alias("val"))
+    out = joined.groupBy("key", "col").agg(F.sum(w * F.col("val")).alias("val"))
+    return out if old is None else out.unionByName(old.select("key", "col", "val")).groupBy("key", "col").agg(F.sum("val").alias("val"))
 
 
 def reduce_cols_by_key(cells: DataFrame, keys: DataFrame) -> DataFrame:
@@ -217,21 +227,37 @@ def reverse_rows(cells: DataFrame, n_rows: int) -> DataFrame:
     return cells.select((F.lit(n_rows - 1) - F.col("row")).alias("row"), "col", "val")
 
 
-def shift_cols(rows: DataFrame, k: int, value: float | None = None, to_end: bool = True) -> DataFrame:
-    """Columns move by k; vacated cells get ``value``, or the row's number where it is None."""
-    empty = F.lit(value) if value is not None else F.col("row").cast("double")
-    pad = F.array_repeat(empty, k)
+def top_left(cells: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
+    """The first rows and columns, with their indices."""
+    return cells.where((F.col("row") < n_rows) & (F.col("col") < n_cols))
+
+
+def shift_cols(rows: DataFrame, k: int, value: float | DataFrame | None = None, to_end: bool = True) -> DataFrame:
+    """Columns move by k; vacated cells get ``value``, or the row's number where it is None.
+
+    A DataFrame ``(row, vec)`` of k values a row fills the vacated cells in their order.
+    """
+    if isinstance(value, DataFrame):
+        rows, pad = rows.join(value.select("row", F.col("vec").alias("__fill")), "row"), F.col("__fill")
+    else:
+        pad = F.array_repeat(F.lit(value) if value is not None else F.col("row").cast("double"), k)
     n = F.size("vec")
     kept = F.slice("vec", F.lit(1), n - k) if to_end else F.slice("vec", F.lit(k + 1), n - k)
     return rows.select("row", (F.concat(pad, kept) if to_end else F.concat(kept, pad)).alias("vec"))
 
 
-def shift_rows(rows: DataFrame, n_rows: int, k: int, value: float, to_end: bool = True) -> DataFrame:
-    """Rows move by k; vacated rows are filled with ``value``."""
+def shift_rows(rows: DataFrame, n_rows: int, k: int, value: float | DataFrame | None = None, to_end: bool = True) -> DataFrame:
+    """Rows move by k; vacated rows are filled with ``value``, or with their own number where it is None.
+
+    A DataFrame ``(row, vec)`` of k rows fills them in its order.
+    """
     target = F.col("row") + (k if to_end else -k)
     moved = rows.select(target.alias("row"), "vec").where((F.col("row") >= 0) & (F.col("row") < n_rows))
     vacated = (F.col("row") < k) if to_end else (F.col("row") >= n_rows - k)
-    return moved.unionByName(rows.where(vacated).select("row", F.transform("vec", lambda _: F.lit(value)).alias("vec")))
+    if isinstance(value, DataFrame):
+        return moved.unionByName(value.where(F.col("row") < k).select((F.col("row") + (0 if to_end else n_rows - k)).alias("row"), "vec"))
+    empty = F.col("row").cast("double") if value is None else F.lit(value)
+    return moved.unionByName(rows.where(vacated).select("row", F.transform("vec", lambda _: empty).alias("vec")))
 
 
 def upper_triangle(cells: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
@@ -274,11 +300,12 @@ def sort_rows(rows: DataFrame) -> DataFrame:
     return packed.select("row", F.transform("__p", lambda p: p["i"].cast("long")).alias("order"), F.transform("__p", lambda p: p["v"]).alias("vec"))
 
 
-def select_k(rows: DataFrame, k: int, smallest: bool = True) -> DataFrame:
+def select_k(rows: DataFrame, k: int, smallest: bool = True, payload: str | None = None) -> DataFrame:
     """Per row the k smallest or largest values with their indices, best first.
 
     NaN counts as largest; the lower index comes first among equals. Works inside each row: no
-    shuffle, and no more than one row in memory.
+    shuffle, and no more than one row in memory. ``payload`` names an array column as long as
+    ``vec``; its entries take the place of the indices.
     """
     pairs = F.transform("vec", lambda x, i: F.struct(x.alias("v"), i.alias("i")))
     if smallest:
@@ -286,7 +313,8 @@ def select_k(rows: DataFrame, k: int, smallest: bool = True) -> DataFrame:
     else:
         best = F.array_sort(pairs, lambda a, b: F.when(a["v"] > b["v"], -1).when(a["v"] < b["v"], 1).when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0))
     packed = rows.withColumn("__p", F.slice(best, 1, k))
-    return packed.select("row", F.transform("__p", lambda p: p["v"]).alias("vals"), F.transform("__p", lambda p: p["i"].cast("long")).alias("idx"))
+    found = (lambda i: i.cast("long")) if payload is None else (lambda i: F.element_at(F.col(payload), i + 1))
+    return packed.select("row", F.transform("__p", lambda p: p["v"]).alias("vals"), F.transform("__p", lambda p: found(p["i"])).alias("idx"))
 
 
 def select_k_cells(cells: DataFrame, k: int, smallest: bool = True) -> DataFrame:

@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 MOST = 8192
 
 
-def gemm(x: DataFrame, y: DataFrame, alpha: float = 1.0, z: DataFrame | None = None, beta: float = 0.0) -> DataFrame:
-    """alpha * X * Y + beta * Z of cells."""
-    from tessera.operators.sparse import spmm
+def gemm(x: DataFrame, y: DataFrame, alpha: float = 1.0, z: DataFrame | None = None, beta: float = 0.0, trans_x: bool = False, trans_y: bool = False) -> DataFrame:
+    """alpha * X * Y + beta * Z of cells; ``trans_x`` and ``trans_y`` use the transposed matrices."""
+    from tessera.operators.sparse import spmm, transpose
 
-    return spmm(x, y, alpha, z, beta)
+    return spmm(transpose(x) if trans_x else x, transpose(y) if trans_y else y, alpha, z, beta)
 
 
 def gemv(a: DataFrame, x: DataFrame, alpha: float = 1.0, y: DataFrame | None = None, beta: float = 0.0, trans: bool = False) -> DataFrame:
@@ -71,6 +71,47 @@ def _sums(rows: DataFrame, extra: str | None = None) -> tuple[int, np.ndarray, n
     return n, s, g.reshape(len(s), len(s))
 
 
+def _triangle(rows: DataFrame, extra: str | None = None) -> np.ndarray:
+    """R of the QR factors of all rows, with ``extra`` appended to each, by a tree of small factorisations.
+
+    A task stacks its rows below the R it has and factorises again, so it holds one D x D array; no
+    products of columns are formed, so no digits are lost to them.
+    """
+    columns = ["vec"] + ([extra] if extra else [])
+
+    def more(r, x):
+        return np.linalg.qr(x if r is None else np.vstack([r, x]), mode="r")
+
+    def run(batches):
+        r = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, -1)
+                r = more(r, np.column_stack([x, np.asarray(batch.column(1))]) if extra else x)
+        if r is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([r.shape[1]]), pa.array([r.tobytes()], pa.binary())], ["d", "r"])
+
+    def merge(batches):
+        r, d = None, 0
+        for batch in batches:
+            for d, raw in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                r = more(r, np.frombuffer(raw).reshape(-1, d))
+        if r is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([d]), pa.array([r.tobytes()], pa.binary())], ["d", "r"])
+
+    kind = "d long, r binary"
+    r = None
+    for x in rows.select(*columns).mapInArrow(run, kind).coalesce(16).mapInArrow(merge, kind).toLocalIterator():
+        if x.d > MOST:
+            raise ValueError(f"{x.d} columns; a factor of more than {MOST} isn't built")
+        r = more(r, np.frombuffer(bytes(x.r)).reshape(-1, x.d))
+    if r is None:
+        return np.zeros((0, 0))
+    d = r.shape[1]
+    r = np.vstack([r, np.zeros((max(0, d - len(r)), d))])
+    return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
+
+
 def gram_cells(rows: DataFrame, centred: bool, divisor: Callable[[int], float] = lambda n: 1) -> DataFrame:
     n, s, g = _sums(rows)
     out = (g - np.outer(s, s) / n if centred else g) / divisor(n)
@@ -118,30 +159,45 @@ def to_matrix(cells: DataFrame, n_rows: int, n_cols: int) -> np.ndarray:
 
 
 def svd(rows: DataFrame, k: int | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """``(U rows, singular values descending, V)`` of a tall matrix from the eigenvalues of its Gram matrix."""
-    _, _, g = _sums(rows)
-    w, v = eig(g)
-    order = np.argsort(-w)[: k or len(w)]
-    s, v = np.sqrt(np.maximum(w[order], 0)), _fixed_sign(v[:, order])
-    inverse = np.where(s > 1e-12 * max(s.max(initial=0), 1e-300), 1 / np.where(s > 0, s, 1), 0)
+    """``(U rows, singular values descending, V)`` of a tall matrix, from those of the R of its QR factors.
+
+    Columns of U that belong to a singular value of 0 are 0.
+    """
+    _, s, vt = np.linalg.svd(_triangle(rows))
+    s, v = s[: k or len(s)], _fixed_sign(vt.T[:, : k or len(s)])
+    inverse = _inverse(s, 1e-14)
     return project(rows, v * inverse), s, v
 
 
 def qr(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Thin QR of a tall matrix by two rounds of Cholesky on the Gram matrix; R has a positive diagonal."""
+    """Thin QR of a tall matrix by a tree of factorisations; R has no negative diagonal.
+
+    Q is the rows times the inverse of R, done twice, so that it is orthonormal to the last digits.
+    Where columns depend on each other the inverse is a pseudo-inverse: Q R still gives the rows, and
+    Q has orthonormal rows of a lower rank.
+    """
     r_all = None
     q = rows
     for _ in range(2):
-        _, _, g = _sums(q)
-        r = np.linalg.cholesky(g).T
-        q = project(q, np.linalg.inv(r))
+        r = _triangle(q)
+        u, s, vt = np.linalg.svd(r)
+        q = project(q, (vt.T * _inverse(s, 1e-12)) @ u.T)
         r_all = r if r_all is None else r @ r_all
     return q, r_all
 
 
+def _inverse(s: np.ndarray, eps: float) -> np.ndarray:
+    """1 / s, and 0 where s is at most ``eps`` times the largest."""
+    some = s > eps * max(s.max(initial=0), 1e-300)
+    return np.where(some, 1 / np.where(some, s, 1), 0)
+
+
 def rsvd(rows: DataFrame, k: int, oversample: int = 10, power: int = 2, seed: int = 5) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Randomised SVD of rank k: a random range is refined by passes over the rows, then solved small."""
-    d = len(rows.select("vec").first()["vec"])
+    first = rows.select("vec").first()
+    if first is None:
+        return rows.select("row", "vec"), np.zeros(0), np.zeros((0, 0))
+    d = len(first["vec"])
     width = min(d, k + oversample)
     v = np.random.default_rng(seed).standard_normal((d, width))
     for _ in range(power + 1):
@@ -187,8 +243,26 @@ def cholesky_update(lower: np.ndarray, column: np.ndarray, eps: float = -1.0) ->
     return out
 
 
-def lstsq(rows: DataFrame, target: str = "y", eps: float = 1e-10) -> np.ndarray:
-    """Least-squares weights of ``(vec, y)`` by the normal equations; small eigenvalues count as 0."""
+def lstsq(rows: DataFrame, target: str = "y", eps: float = 1e-10, method: str = "svd") -> np.ndarray:
+    """Least-squares weights of ``(vec, y)``.
+
+    ``method``: svd or qr, both from the R of the rows with their targets (qr solves the triangle and
+    needs independent columns), or eig for the normal equations. Small singular values, and
+    eigenvalues, count as 0; no rows give no weights.
+    """
+    if method in ("svd", "qr"):
+        r = _triangle(rows, target)
+        if not len(r):
+            return np.zeros(0)
+        a, y = r[:-1, :-1], r[:-1, -1]
+        if method == "qr":
+            if np.abs(np.diag(a)).min() <= 1e-14 * np.abs(np.diag(a)).max():
+                raise ValueError("columns depend on each other; use svd")
+            return np.linalg.solve(a, y)
+        u, s, vt = np.linalg.svd(a)
+        return vt.T @ (_inverse(s, eps) * (u.T @ y))
+    if method != "eig":
+        raise ValueError("method is svd, qr or eig")
     _, _, g = _sums(rows, target)
     w, v = eig(g[:-1, :-1])
     return v @ (np.where(w > eps * max(w.max(), 1e-300), 1 / np.where(w > 0, w, 1), 0) * (v.T @ g[:-1, -1]))
@@ -228,12 +302,12 @@ def tsvd(rows: DataFrame, k: int) -> dict:
 class SparseOperator:
     """Products of sparse cells ``(row, col, val)`` with blocks of vectors.
 
-    A matrix of up to ``local_cells`` cells, which are counted first, is fetched once, as an
-    iteration in numpy then beats a job for each product. For a larger one each product is one pass
-    over the cells: the block goes to all tasks and each sends one sum; ``most`` bounds both sides.
+    Each product is one pass over the cells: the block goes to all tasks and each sends one sum;
+    ``most`` bounds both sides. Only who asks for it with ``local_cells`` has a matrix of up to so many
+    cells, which are counted first, fetched once, for iterations in numpy.
     """
 
-    def __init__(self, cells: DataFrame, n_rows: int, n_cols: int, most: int = 5_000_000, local_cells: int = 2_000_000):
+    def __init__(self, cells: DataFrame, n_rows: int, n_cols: int, most: int = 5_000_000, local_cells: int = 0):
         if max(n_rows, n_cols) > most:
             raise ValueError(f"vectors of more than {most} entries aren't kept on the driver")
         self.cells, self.shape, self.local = cells.select("row", "col", "val"), (n_rows, n_cols), None
@@ -272,7 +346,7 @@ class SparseOperator:
         return out
 
 
-def eigsh(cells: DataFrame, n: int, k: int = 6, which: str = "LM", v0: np.ndarray | None = None, ncv: int | None = None, maxiter: int | None = None, tol: float = 0.0, seed: int = 0, local_cells: int = 2_000_000):
+def eigsh(cells: DataFrame, n: int, k: int = 6, which: str = "LM", v0: np.ndarray | None = None, ncv: int | None = None, maxiter: int | None = None, tol: float = 0.0, seed: int = 0, local_cells: int = 0):
     """k eigenpairs of a symmetric sparse matrix by Lanczos with full re-orthogonalisation and thick restarts.
 
     ``which``: LA, SA, LM or SM. Values come in ascending order, vectors as columns.
@@ -319,7 +393,7 @@ def eigsh(cells: DataFrame, n: int, k: int = 6, which: str = "LM", v0: np.ndarra
     return theta[best][up], _fixed_sign(vectors[:, up])
 
 
-def svds(cells: DataFrame, n_rows: int, n_cols: int, k: int = 6, n_oversamples: int = 10, n_power_iters: int = 2, seed: int = 0, return_singular_vectors: bool | str = True, local_cells: int = 2_000_000):
+def svds(cells: DataFrame, n_rows: int, n_cols: int, k: int = 6, n_oversamples: int = 10, n_power_iters: int = 2, seed: int = 0, return_singular_vectors: bool | str = True, local_cells: int = 0):
     """Randomised SVD of a sparse matrix: ``(U, s descending, V^T)``, or what is asked for of it."""
     if not 1 <= k < min(n_rows, n_cols):
         raise ValueError("1 <= k < min(shape)")

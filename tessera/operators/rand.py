@@ -122,24 +122,51 @@ def group_sample(items: DataFrame, group: str, ident: str, weight: str, seed: in
     return items.withColumn("__key", key).groupBy(group).agg(F.min_by(ident, F.struct("__key", ident)).alias(ident))
 
 
-def make_blobs(spark: SparkSession, n_rows: int, n_cols: int, n_clusters: int, seed: int, std: float = 1.0, centres: list[list[float]] | None = None, box: tuple[float, float] = (-10.0, 10.0), shuffle: bool = True) -> DataFrame:
-    """``(row, vec, label)`` of isotropic clusters."""
+def make_blobs(spark: SparkSession, n_rows: int, n_cols: int, n_clusters: int, seed: int, std: float | list[float] = 1.0, centres: list[list[float]] | None = None, box: tuple[float, float] = (-10.0, 10.0), shuffle: bool = True) -> DataFrame:
+    """``(row, vec, label)`` of isotropic clusters; ``std`` is one deviation for all or one for each cluster."""
     c = np.array(centres) if centres is not None else np.random.default_rng(seed).uniform(*box, (n_clusters, n_cols))
     label = (F.floor(uniform01(F.col("id"), seed, 9_999) * n_clusters) if shuffle else F.col("id") % n_clusters).cast("int")
     table = F.array(*[F.array(*map(F.lit, r)) for r in c.tolist()])
     out = spark.range(n_rows).select(F.col("id").alias("row"), label.alias("label"))
-    out = out.withColumn("__c", F.element_at(table, F.col("label") + 1))
-    return out.select("row", F.transform("__c", lambda x, j: x + std * normal01(F.col("row"), seed, j)).alias("vec"), "label")
-
-
-def make_regression(spark: SparkSession, n_rows: int, n_cols: int, n_informative: int, seed: int, bias: float = 0.0, noise: float = 0.0) -> tuple[DataFrame, np.ndarray]:
-    """``(row, vec, y)`` with Gaussian features, and the coefficients: n_informative of them are not 0."""
-    coef = np.zeros(n_cols)
-    coef[:n_informative] = 100 * np.random.default_rng(seed).uniform(size=n_informative)
+    each = list(std) if isinstance(std, (list, tuple)) else [std] * len(c)
+    if len(each) != len(c):
+        raise ValueError("one deviation for each cluster")
+    out = out.withColumns({"__c": F.element_at(table, F.col("label") + 1), "__s": F.element_at(F.array(*map(F.lit, map(float, each))), F.col("label") + 1)})
+    return out.select("row", F.transform("__c", lambda x, j: x + F.col("__s") * normal01(F.col("row"), seed, j)).alias("vec"), "label")
+
+
+def make_regression(
+    spark: SparkSession, n_rows: int, n_cols: int, n_informative: int, seed: int, bias: float = 0.0, noise: float = 0.0, n_targets: int = 1, effective_rank: int | None = None, tail_strength: float = 0.5, shuffle: bool = False
+) -> tuple[DataFrame, np.ndarray]:
+    """``(row, vec, y)`` with Gaussian features, and the coefficients: n_informative features have some that are not 0.
+
+    With several targets ``y`` is an array and the coefficients are a matrix, one column a target.
+    ``effective_rank`` gives the features singular values that fall off like a bell around that rank
+    with a tail of the given strength, scaled to the number of rows. ``shuffle`` moves the rows and the
+    columns to other places, each by an affine permutation.
+    """
+    rng = np.random.default_rng(seed)
+    coef = np.zeros((n_cols, n_targets))
+    coef[:n_informative] = 100 * rng.uniform(size=(n_informative, n_targets))
     vec = F.array(*[normal01(F.col("id"), seed, j) for j in range(n_cols)])
     rows = spark.range(n_rows).select(F.col("id").alias("row"), vec.alias("vec"))
-    dot = F.aggregate(F.zip_with("vec", F.array(*map(F.lit, coef.tolist())), lambda x, y: x * y), F.lit(float(bias)), lambda a, x: a + x)
-    return rows.select("row", "vec", (dot + noise * normal01(F.col("row"), seed, n_cols)).alias("y")), coef
+    if effective_rank is not None:
+        from tessera.operators.linalg import project
+
+        at = np.arange(n_cols) / effective_rank
+        values = (1 - tail_strength) * np.exp(-(at**2)) + tail_strength * np.exp(-0.1 * at)
+        basis, _ = np.linalg.qr(rng.standard_normal((n_cols, n_cols)))
+        rows = project(rows, (np.eye(n_cols) * values) @ basis.T)  # Gaussian rows are nearly orthogonal columns of length sqrt(n)
+    if shuffle:
+        a, b = affine_params(n_cols, seed)
+        order = [(a * j + b) % n_cols for j in range(n_cols)]
+        coef = coef[order]
+        rows = rows.withColumn("vec", F.array(*[F.col("vec")[j] for j in order]))
+        a, b = affine_params(n_rows, seed + 1)
+        rows = rows.withColumn("row", ((F.col("row").cast("decimal(38,0)") * a + b) % n_rows).cast("long"))
+    dot = lambda t: F.aggregate(F.zip_with("vec", F.array(*map(F.lit, coef[:, t].tolist())), lambda x, y: x * y), F.lit(float(bias)), lambda a, x: a + x) + noise * normal01(F.col("row"), seed, n_cols + t)
+    y = dot(0) if n_targets == 1 else F.array(*[dot(t) for t in range(n_targets)])
+    return rows.select("row", "vec", y.alias("y")), coef[:, 0] if n_targets == 1 else coef
 
 
 def multivariate_normal(spark: SparkSession, n_rows: int, mean: np.ndarray, cov: np.ndarray, seed: int, how: str = "cholesky") -> DataFrame:

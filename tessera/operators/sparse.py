@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.dense import norm_of
+from tessera.plans.scratch import spill
 
 
 def coo(cells: DataFrame, how: Callable[[Column], Column] = F.sum) -> DataFrame:
@@ -48,11 +49,21 @@ def bits_to_index(words: Column, n_bits: int, width: int = 32) -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit(n_bits - 1)), lambda i: F.getbit(F.element_at(words, F.floor(i / width).cast("int") + 1), i % width) == 1)
 
 
+def bitmap_cells(bitmap: DataFrame, n_rows: int, n_cols: int, width: int = 32) -> DataFrame:
+    """``(row, col)`` of the set bits of a 2-D bitmap in row-major order.
+
+    The bitmap is one table row of packed ``words``, or rows ``(at, word)``, of which a large one has
+    many in many tasks. Only one word's bits are in memory at a time.
+    """
+    words = bitmap.select("at", "word") if "word" in bitmap.columns else bitmap.select(F.posexplode("words").alias("at", "word"))
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.getbit(F.col("word"), i) == 1))
+    at = words.select("at", "word", bit.alias("bit")).select((F.col("at").cast("long") * width + F.col("bit")).alias("i")).where(F.col("i") < n_rows * n_cols)
+    return at.select(F.floor(F.col("i") / n_cols).alias("row"), (F.col("i") % n_cols).cast("long").alias("col"))
+
+
 def bitmap_to_csr(bitmap: DataFrame, n_rows: int, n_cols: int, width: int = 32) -> DataFrame:
-    """A 2-D bitmap, one table row of packed row-major ``words``, to ``(row, cols)``."""
-    at = bitmap.select(F.explode(bits_to_index(F.col("words"), n_rows * n_cols, width)).alias("i"))
-    cells = at.select(F.floor(F.col("i") / n_cols).alias("row"), (F.col("i") % n_cols).cast("long").alias("col"))
-    return cells.groupBy("row").agg(F.sort_array(F.collect_list("col")).alias("cols"))
+    """A 2-D bitmap, see :func:`bitmap_cells`, to ``(row, cols)``."""
+    return bitmap_cells(bitmap, n_rows, n_cols, width).groupBy("row").agg(F.sort_array(F.collect_list("col")).alias("cols"))
 
 
 def bitset_to_csr(spark: SparkSession, bitset: DataFrame, n_rows: int, n_bits: int, width: int = 32) -> DataFrame:
@@ -133,7 +144,11 @@ def set_diagonal(cells: DataFrame, value: float) -> DataFrame:
 
 
 def tfidf(cells: DataFrame, n_rows: int | None = None) -> DataFrame:
-    """ln(v) * ln(n_rows / df + 1), where df counts the cells of the column: a count of 1 weighs 0."""
+    """ln(v) * ln(n_rows / df + 1), where df counts the cells of the column: a count of 1 weighs 0.
+
+    The cells are written once and read for the counts and the weights.
+    """
+    cells = spill(cells.select("row", "col", "val"), "cells")
     n = _rows(cells, n_rows)
     df = cells.groupBy("col").agg(F.count("*").alias("df"))
     out = cells.join(df, "col").join(F.broadcast(n))
@@ -141,10 +156,16 @@ def tfidf(cells: DataFrame, n_rows: int | None = None) -> DataFrame:
 
 
 def bm25(cells: DataFrame, n_rows: int | None = None, k: float = 1.6, b: float = 0.75) -> DataFrame:
-    """BM25 of ln(v) with row sums against their mean, idf = ln(n_rows / df + 1)."""
-    n = _rows(cells, n_rows).join(cells.agg(F.sum("val").alias("total"))).withColumn("mean", F.col("total") / F.col("n"))
+    """BM25 of ln(v) with row sums against their mean, idf = ln(n_rows / df + 1).
+
+    The cells are written once and read for the counts and the weights; the row sums give the number
+    of rows and the mean too.
+    """
+    cells = spill(cells.select("row", "col", "val"), "cells")
     df = cells.groupBy("col").agg(F.count("*").alias("df"))
-    length = cells.groupBy("row").agg(F.sum("val").alias("len"))
+    length = spill(cells.groupBy("row").agg(F.sum("val").alias("len")), "lengths")
+    n = F.count("*") if n_rows is None else F.lit(n_rows).cast("long")
+    n = length.agg(n.alias("n"), F.sum("len").alias("total")).withColumn("mean", F.col("total") / F.col("n"))
     tf = F.ln("val")
     idf = F.ln(F.col("n") / F.col("df") + 1)
     out = cells.join(df, "col").join(length, "row").join(F.broadcast(n))
@@ -153,7 +174,7 @@ def bm25(cells: DataFrame, n_rows: int | None = None, k: float = 1.6, b: float =
 
 def _rows(cells: DataFrame, n_rows: int | None) -> DataFrame:
     if n_rows is None:
-        return cells.agg(F.count_distinct("row").alias("n"))
+        return cells.select("row").distinct().agg(F.count("*").alias("n"))
     return cells.sparkSession.range(1).select(F.lit(n_rows).cast("long").alias("n"))
 
 
@@ -177,8 +198,16 @@ def sddmm(pattern: DataFrame, a: DataFrame, b: DataFrame, alpha: float = 1.0, be
     return out.select("row", "col", (F.lit(alpha) * dot + F.lit(beta) * F.col("val")).alias("val"))
 
 
-def masked_matmul(mask: DataFrame, a: DataFrame, b: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """(A * B^T) at the places ``(row, col)`` of the mask; both matrices as rows."""
+def masked_matmul(mask: DataFrame, a: DataFrame, b: DataFrame, alpha: float = 1.0, shape: tuple[int, int] | None = None, width: int = 32) -> DataFrame:
+    """(A * B^T) at the places of the mask; both matrices as rows.
+
+    The mask has rows ``(row, col)``. With ``shape`` it is packed: a bitmap of that shape, or a bitset
+    of its columns alone (``n_bits`` in place of rows, as ``(0, n)``), which holds for every row of A.
+    """
+    if shape is not None and shape[0]:
+        mask = bitmap_cells(mask, *shape, width)
+    elif shape is not None:
+        mask = bitmap_cells(mask, 1, shape[1], width).select("col").crossJoin(a.select("row"))
     return sddmm(mask.withColumn("val", F.lit(0.0)), a, b.withColumnRenamed("row", "col"), alpha)
 
 

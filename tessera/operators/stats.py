@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.elementwise import divide_check_zero
+from tessera.plans.scratch import spill
 
 # summary
 
@@ -53,8 +54,12 @@ def mean_center(cells: DataFrame, add: bool = False) -> DataFrame:
     return cells.join(mu, "col").select("row", "col", (F.col("val") + F.col("__mu") if add else F.col("val") - F.col("__mu")).alias("val"))
 
 
-def min_max(cells: DataFrame) -> DataFrame:
-    """Least and greatest value per column, NaN skipped."""
+def min_max(cells: DataFrame, rows: DataFrame | None = None, cols: DataFrame | None = None) -> DataFrame:
+    """Least and greatest value per column, NaN skipped; of the given ``rows`` ``(row)`` and ``cols`` ``(col)`` only, if there are any."""
+    if rows is not None:
+        cells = cells.join(rows.select("row").distinct(), "row", "left_semi")
+    if cols is not None:
+        cells = cells.join(cols.select("col").distinct(), "col", "left_semi")
     v = F.when(~F.isnan("val"), F.col("val"))
     return cells.groupBy(F.col("col").alias("i")).agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
 
@@ -89,7 +94,50 @@ def r2_score(df: DataFrame) -> DataFrame:
 
 def regression_metrics(df: DataFrame) -> DataFrame:
     e = F.col("y") - F.col("y_hat")
-    return df.agg(F.avg(F.abs(e)).alias("mean_abs"), F.avg(e * e).alias("mean_sq"), F.percentile(F.abs(e), F.lit(0.5)).alias("median_abs"))
+    median = exact_median(df.select(F.abs(e).alias("v")))
+    return df.agg(F.avg(F.abs(e)).alias("mean_abs"), F.avg(e * e).alias("mean_sq")).select("mean_abs", "mean_sq", F.lit(median).alias("median_abs"))
+
+
+def exact_median(values: DataFrame, most: int = 100_000) -> float | None:
+    """Median of ``v``, the mean of the middle two of an even number; null and NaN are skipped, of none it is None.
+
+    A bracket around the middle ranks is narrowed by approximate quantiles and exact counts until at
+    most ``most`` values, or a single one many times over, lie in it; only those are sorted.
+    """
+    values = values.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    n = values.count()
+    if not n:
+        return None
+    low, high = (float(x) for x in values.agg(F.min("v"), F.max("v")).first())
+    ranks = ((n - 1) // 2, n // 2)
+
+    def at(rank: int, low: float, high: float) -> float:
+        below = 0
+        while True:
+            inside = values.where((F.col("v") >= low) & (F.col("v") <= high))
+            m = inside.count()
+            below = values.where(F.col("v") < low).count()
+            if low == high:
+                return low
+            if m <= most:
+                return float(inside.orderBy("v").limit(rank - below + 1).agg(F.max("v")).first()[0])
+            share = (rank - below) / m
+            a, b = inside.agg(F.percentile_approx("v", [max(0.0, share - 0.001), min(1.0, share + 0.001)], 10_000)).first()[0]
+            a, b = float(a), float(b)
+            if values.where(F.col("v") < a).count() > rank:
+                a, b = low, a
+            elif values.where(F.col("v") <= b).count() <= rank:
+                a, b = b, high
+            if (a, b) == (low, high):  # a few values fill the bracket: take the middle one or step past it
+                a = b = float(inside.agg(F.percentile_approx("v", share, 10_000)).first()[0])
+                if values.where(F.col("v") < a).count() > rank:
+                    a, b = low, float(values.where(F.col("v") < a).agg(F.max("v")).first()[0])
+                elif values.where(F.col("v") <= b).count() <= rank:
+                    a, b = float(values.where(F.col("v") > b).agg(F.min("v")).first()[0]), high
+            low, high = a, b
+
+    first = at(ranks[0], low, high)
+    return first if ranks[0] == ranks[1] else (first + at(ranks[1], first, high)) / 2
 
 
 def information_criterion(df: DataFrame, kind: str, n_params: int, n_samples: int) -> DataFrame:
@@ -179,21 +227,36 @@ def _l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def silhouette_samples(points: DataFrame) -> DataFrame:
-    """``(row, v)``: silhouette by squared Euclidean distance, exact, without comparing pairs of points.
+def silhouette_samples(points: DataFrame, metric: str = "sqeuclidean", most_clusters: int = 10_000) -> DataFrame:
+    """``(row, v)``: silhouette, exact.
 
-    The mean squared distance to a cluster is |x|^2 - 2 x.mean + mean |y|^2, so one row of sums per
-    cluster is enough; the clusters are joined to the points, which costs points times clusters.
+    ``sqeuclidean`` and ``cosine`` need no pairs of points: the mean squared distance to a cluster is
+    |x|^2 - 2 x.mean + mean |y|^2, so one row of sums per cluster is enough, and a cosine distance is
+    half the squared one of unit vectors. The clusters are joined to the points, which costs points
+    times clusters; up to ``most_clusters`` of them, which are counted, are broadcast. ``euclidean``,
+    ``l1`` and ``linf`` compare all points in blocks.
     """
+    if metric in ("euclidean", "l1", "linf"):
+        return _silhouette_of_sums(points, _distance_sums(points, metric))
+    if metric == "cosine":
+        size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+        points = points.withColumn("__size", size).withColumn("vec", F.transform("vec", lambda x: x / F.col("__size"))).drop("__size")
+    elif metric != "sqeuclidean":
+        raise ValueError(metric)
     dims = points.select("label", F.posexplode("vec").alias("i", "x"))
     sums = dims.groupBy("label", "i").agg(F.sum("x").alias("s")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("sum"))
     sq = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
     sizes = points.groupBy("label").agg(F.count("*").alias("n"), F.sum(sq(F.col("vec"))).alias("ss"))
     clusters = sums.join(sizes, "label").withColumnRenamed("label", "c")
     dot = F.aggregate(F.zip_with("vec", "sum", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    all_clusters = F.broadcast(clusters.agg(F.collect_list(F.struct("c", "n", "ss", "sum")).alias("cs")))  # as many as labels
-    total = points.withColumn("xx", sq(F.col("vec"))).join(all_clusters).select("row", "label", "vec", "xx", F.explode("cs").alias("k")).select("row", "label", "vec", "xx", "k.*")
-    total = total.withColumn("d", F.col("n") * F.col("xx") - 2 * dot + F.col("ss"))
+    clusters = spill(clusters, "clusters")
+    few = clusters.count() <= most_clusters
+    total = points.withColumn("xx", sq(F.col("vec"))).crossJoin(F.broadcast(clusters) if few else clusters)  # points times clusters, as stated
+    return _silhouette_of_sums(points, total.select("row", "label", "c", "n", (F.col("n") * F.col("xx") - 2 * dot + F.col("ss")).alias("d")))
+
+
+def _silhouette_of_sums(points: DataFrame, total: DataFrame) -> DataFrame:
+    """From ``(row, label, c, n, d)``: the sum d of distances from a point to the n points of each cluster c."""
     own = F.col("c") == F.col("label")
     per = total.groupBy("row").agg(
         F.max(F.when(own, F.col("n"))).alias("n"),
@@ -204,19 +267,59 @@ def silhouette_samples(points: DataFrame) -> DataFrame:
     return per.select("row", F.when((F.col("n") == 1) | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / top).alias("v"))
 
 
-def silhouette(points: DataFrame) -> DataFrame:
-    return silhouette_samples(points).agg(F.avg("v").alias("v"))
+def _distance_sums(points: DataFrame, metric: str) -> DataFrame:
+    """``(row, label, c, n, d)`` by comparing all points, block by block."""
+    import numpy as np
+    import pandas as pd
+
+    blocks = blocks_for(points)
+    b = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    q = points.select("row", "vec", F.col("label").cast("long").alias("label"), b.alias("b"))
+    seq = F.sequence(F.lit(0), F.lit(blocks - 1))
+    left = q.select("row", "vec", "label", F.lit(0).alias("side"), F.explode(F.transform(seq, lambda j: F.struct(F.col("b").alias("i"), j.alias("j")))).alias("t"))
+    right = q.select("row", "vec", "label", F.lit(1).alias("side"), F.explode(F.transform(seq, lambda i: F.struct(i.alias("i"), F.col("b").alias("j")))).alias("t"))
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, c = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        if not len(a) or not len(c):
+            return pd.DataFrame({"row": [], "label": [], "c": [], "n": [], "d": []}).astype({"row": "int64", "label": "int64", "c": "int64", "n": "int64", "d": "float64"})
+        x, y = np.stack(a.vec), np.stack(c.vec)
+        labels, at = np.unique(c.label.to_numpy(), return_inverse=True)
+        member = np.zeros((len(c), len(labels)))
+        member[np.arange(len(c)), at] = 1
+        total = np.zeros((len(a), len(labels)))
+        step = max(1, 4_000_000 // (len(y) * x.shape[1]))
+        for k in range(0, len(x), step):
+            gap = np.abs(x[k : k + step, None, :] - y[None, :, :])
+            d = np.sqrt((gap**2).sum(axis=2)) if metric == "euclidean" else gap.sum(axis=2) if metric == "l1" else gap.max(axis=2)
+            total[k : k + step] = d @ member
+        m = len(labels)
+        return pd.DataFrame({"row": np.repeat(a.row.to_numpy(), m), "label": np.repeat(a.label.to_numpy(), m), "c": np.tile(labels, len(a)), "n": np.tile(member.sum(axis=0).astype("int64"), len(a)), "d": total.ravel()})
+
+    parts = left.unionByName(right).groupBy("t.i", "t.j").applyInPandas(lambda pdf: sums(pdf), "row long, label long, c long, n long, d double")
+    return parts.groupBy("row", "label", "c").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+
+
+def silhouette(points: DataFrame, metric: str = "sqeuclidean") -> DataFrame:
+    return silhouette_samples(points, metric).agg(F.avg("v").alias("v"))
+
+
+def blocks_for(points: DataFrame, rows_a_block: int = 4096) -> int:
+    """Number of blocks for comparisons of all points, so that a pair of blocks fits into a task whatever the number of points."""
+    return max(1, -(-points.count() // rows_a_block))
 
 
-def nearest(points: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+def nearest(points: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
     """``(row, other, rank)`` of the k nearest others by Euclidean distance, in blocks of matrix products.
 
     Every point is in one query block and one reference block; each pair of blocks keeps the k best
-    of its queries, so that blocks * k candidates a point are shuffled, not all points.
+    of its queries, so that blocks * k candidates a point are shuffled, not all points. A block has
+    some thousands of points, so their number grows with the data.
     """
     import numpy as np
     import pandas as pd
 
+    blocks = blocks or blocks_for(points)
     q = points.select("row", "vec", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("b"))
     left = q.select("row", "vec", F.lit(0).alias("side"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.col("b").cast("int").alias("i"), j.alias("j")))).alias("t"))
     right = q.select("row", "vec", F.lit(1).alias("side"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.struct(i.alias("i"), F.col("b").cast("int").alias("j")))).alias("t"))
@@ -257,11 +360,12 @@ def trustworthiness(original: DataFrame, embedded: DataFrame, k: int) -> DataFra
     return over.select((1 - F.lit(2.0) / (F.col("n") * k * (2 * F.col("n") - 3 * k - 1)) * F.col("s")).alias("v"))
 
 
-def _ranks(queries: DataFrame, points: DataFrame, blocks: int = 8) -> DataFrame:
+def _ranks(queries: DataFrame, points: DataFrame, blocks: int | None = None) -> DataFrame:
     """(row, other, rank): rank of each listed neighbour among all points, counted block by block."""
     import numpy as np
     import pandas as pd
 
+    blocks = blocks or blocks_for(points)
     q = queries.select("row", "x", "near", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("b"))
     p = points.select("row", "vec", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("b"))
     seq = F.sequence(F.lit(0), F.lit(blocks - 1))
@@ -275,13 +379,15 @@ def _ranks(queries: DataFrame, points: DataFrame, blocks: int = 8) -> DataFrame:
             y, ids = np.stack(right.vec), right.row.to_numpy()
             for r, x, near in zip(left.row, left.vec, left.near, strict=True):
                 d = ((y - np.asarray(x)) ** 2).sum(axis=1)
-                ok = ids != r
-                for item in near:
-                    o, dist = item["other"], item["d"]
-                    rows.append(r)
-                    others.append(o)
-                    n.append(int((ok & (ids != o) & ((d < dist) | ((d == dist) & (ids < o)))).sum()))
-        return pd.DataFrame({"row": rows, "other": others, "n": n}).astype({"row": "int64", "other": "int64", "n": "int64"})
+                keep = ids != r
+                d, at = d[keep], ids[keep]
+                o, dist = np.array([item["other"] for item in near], np.int64), np.array([item["d"] for item in near])
+                nearer = (d[None, :] < dist[:, None]) | ((d[None, :] == dist[:, None]) & (at[None, :] < o[:, None]))
+                rows.append(np.full(len(o), r))
+                others.append(o)
+                n.append((nearer & (at[None, :] != o[:, None])).sum(axis=1))
+        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, others, n)]
+        return pd.DataFrame(dict(zip(("row", "other", "n"), flat, strict=True))).astype({"row": "int64", "other": "int64", "n": "int64"})
 
     counted = a.unionByName(b).groupBy("t.i", "t.j").applyInPandas(lambda pdf: count(pdf), "row long, other long, n long")
     return counted.groupBy("row", "other").agg((F.sum("n") + 1).alias("rank"))

@@ -76,6 +76,12 @@ def _(spark, d):
     return op.reduce_cells(emb_cells(spark, d), "col", lambda x: x * x, F.sum, F.sqrt).withColumn("v", F.round("v", 6))
 
 
+@register("reduce_onto", f'WITH {E} SELECT "row" AS i, round(sqrt(sum(val * val) + any_value(label)), 6) AS v FROM e JOIN embeddings ON vec_id = "row" GROUP BY 1')
+def _(spark, d):
+    old = emb_keys(spark, d).select(F.col("row").alias("i"), F.col("key").cast("double").alias("v"))
+    return op.reduce_cells(emb_cells(spark, d), "row", lambda x: x * x, F.sum, F.sqrt, old).withColumn("v", F.round("v", 6))
+
+
 @register("coalesced_reduction", f"WITH {E} SELECT \"row\" AS i, round(sum(val), 6) AS v FROM e GROUP BY 1")
 def _(spark, d):
     return emb_rows(spark, d).select(F.col("row").alias("i"), F.round(op.compensated_sum(F.col("vec")), 6).alias("v"))
@@ -102,6 +108,13 @@ def _(spark, d):
     return op.reduce_rows_by_key(emb_cells(spark, d), keys, keys.select("row", (F.col("row") % 3).cast("double").alias("w"))).withColumn("val", F.round("val", 6))
 
 
+@register("reduce_rows_by_key_onto", f'WITH {E} SELECT label::BIGINT AS key, "col", round(sum(val) + any_value(label * 100 + "col"), 6) AS val FROM e JOIN embeddings ON vec_id = "row" GROUP BY 1, 2')
+def _(spark, d):
+    keys = emb_keys(spark, d)
+    old = keys.select("key").distinct().crossJoin(spark.range(64).select(F.col("id").alias("col"))).select("key", "col", (F.col("key") * 100 + F.col("col")).cast("double").alias("val"))
+    return op.reduce_rows_by_key(emb_cells(spark, d), keys, old=old).withColumn("val", F.round("val", 6))
+
+
 @register("reduce_cols_by_key", f"WITH {E} SELECT \"row\", \"col\" % 5 AS key, round(sum(val), 6) AS val FROM e GROUP BY 1, 2")
 def _(spark, d):
     keys = spark.range(64).select(F.col("id").alias("col"), (F.col("id") % 5).alias("key"))
@@ -181,7 +194,7 @@ def _(spark, d):
 _ROWS = f"SELECT \"row\", list(val ORDER BY \"col\") AS vec"
 
 
-@register("copy_rows", f"WITH {E} SELECT i AS \"row\", \"col\", val FROM (SELECT range AS i, (range * 7) % 100 AS src FROM range(200)) JOIN e ON src = \"row\"")
+@register("copy_rows", f"WITH {E}, n AS (SELECT count(*) AS n FROM embeddings) SELECT s.vec_id AS \"row\", \"col\", val FROM embeddings s, n JOIN e ON (s.vec_id * 7) % n = \"row\"")
 def _(spark, d):
     ids = emb_keys(spark, d)
     n = F.broadcast(ids.agg(F.count("*").alias("n")))
@@ -218,7 +231,7 @@ def _(spark, d):
     return op.to_long(op.reverse_cols(emb_rows(spark, d)))
 
 
-@register("reverse_rows", f"WITH {E} SELECT 99 - \"row\" AS \"row\", \"col\", val FROM e WHERE \"row\" < 100")
+@register("reverse_rows", f"WITH {E}, n AS (SELECT count(*) AS n FROM embeddings) SELECT n - 1 - \"row\" AS \"row\", \"col\", val FROM e, n")
 def _(spark, d):
     return op.reverse_rows(emb_cells(spark, d), table(spark, d, "embeddings").count())
 
@@ -228,11 +241,38 @@ def _(spark, d):
     return op.to_long(op.shift_cols(emb_rows(spark, d), 3, 100.0))
 
 
-@register("shift_rows", f"WITH {E} SELECT \"row\" + 2 AS \"row\", \"col\", val FROM e WHERE \"row\" < 98 UNION ALL SELECT \"row\", \"col\", 7 FROM e WHERE \"row\" < 2")
+@register("shift_rows", f"WITH {E}, n AS (SELECT count(*) AS n FROM embeddings) SELECT \"row\" + 2 AS \"row\", \"col\", val FROM e, n WHERE \"row\" < n - 2 UNION ALL SELECT \"row\", \"col\", 7 FROM e WHERE \"row\" < 2")
 def _(spark, d):
     return op.to_long(op.shift_rows(emb_rows(spark, d), table(spark, d, "embeddings").count(), 2, 7.0))
 
 
+@register("copy_top_left", f'WITH {E}, n AS (SELECT count(*) AS n FROM embeddings) SELECT "row", "col", val FROM e, n WHERE "row" < n // 2 AND "col" < 32')
+def _(spark, d):
+    return op.top_left(emb_cells(spark, d), table(spark, d, "embeddings").count() // 2, 32)
+
+
+@register("shift_cols_own_row", f'WITH {E} SELECT "row", "col" - 3 AS "col", val FROM e WHERE "col" >= 3 UNION ALL SELECT vec_id, 61 + range, vec_id::DOUBLE FROM embeddings, range(3)')
+def _(spark, d):
+    return op.to_long(op.shift_cols(emb_rows(spark, d), 3, to_end=False))
+
+
+@register("shift_cols_matrix", f'WITH {E} SELECT "row", "col" + 2 AS "col", val FROM e WHERE "col" < 62 UNION ALL SELECT vec_id, range, (vec_id + range)::DOUBLE FROM embeddings, range(2)')
+def _(spark, d):
+    filling = emb_keys(spark, d).select("row", F.array(F.col("row").cast("double"), (F.col("row") + 1).cast("double")).alias("vec"))
+    return op.to_long(op.shift_cols(emb_rows(spark, d), 2, filling))
+
+
+@register("shift_rows_own_row", f'WITH {E}, n AS (SELECT count(*) AS n FROM embeddings) SELECT "row" - 2 AS "row", "col", val FROM e WHERE "row" >= 2 UNION ALL SELECT "row", "col", "row"::DOUBLE FROM e, n WHERE "row" >= n - 2')
+def _(spark, d):
+    return op.to_long(op.shift_rows(emb_rows(spark, d), table(spark, d, "embeddings").count(), 2, to_end=False))
+
+
+@register("shift_rows_matrix", f'WITH {E}, n AS (SELECT count(*) AS n FROM embeddings) SELECT "row" + 2 AS "row", "col", val FROM e, n WHERE "row" < n - 2 UNION ALL SELECT range, "col", range + 0.5 FROM range(2), (SELECT DISTINCT "col" FROM e)')
+def _(spark, d):
+    filling = spark.range(2).select(F.col("id").alias("row"), F.array_repeat(F.col("id") + F.lit(0.5), 64).alias("vec"))
+    return op.to_long(op.shift_rows(emb_rows(spark, d), table(spark, d, "embeddings").count(), 2, filling))
+
+
 @register("triangular", f"WITH {E} SELECT * FROM e WHERE \"row\" < 64 AND \"col\" >= \"row\"")
 def _(spark, d):
     return op.upper_triangle(emb_cells(spark, d), 100, 64)
@@ -280,6 +320,12 @@ for _name, _small, _dir in (("select_k", True, "ASC"), ("select_k_largest", Fals
         return op.select_k(emb_rows(spark, d), 8, small)
 
 
+@register("select_k_payload", f'WITH {E}, r AS (SELECT *, row_number() OVER (PARTITION BY "row" ORDER BY val, "col") AS k FROM e) SELECT "row", list(val ORDER BY k) AS vals, list("row" * 100 + "col" ORDER BY k) AS idx FROM r WHERE k <= 8 GROUP BY 1')
+def _(spark, d):
+    rows = emb_rows(spark, d).withColumn("names", F.transform("vec", lambda x, i: F.col("row") * 100 + i))
+    return op.select_k(rows, 8, payload="names")
+
+
 @register("nearest_to_centroid", f"""WITH {E}, l AS (SELECT e.*, label FROM e JOIN embeddings ON vec_id = "row"),
 m AS (SELECT label, "col", avg(val) AS mu FROM l GROUP BY 1, 2),
 s AS (SELECT label, "row", sum((val - mu) * (val - mu)) AS d2 FROM l JOIN m USING (label, "col") GROUP BY 1, 2),

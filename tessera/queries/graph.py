@@ -49,6 +49,17 @@ def _(spark, d):
     return op.minimum_spanning_forest(user_edges(spark, d))
 
 
+@register("mst_weight", """WITH RECURSIVE n AS (SELECT c_nationkey AS n, round(abs(c_acctbal) + 1, 2) AS w, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer),
+r AS (SELECT n, i, 0::DOUBLE AS total, 0::DOUBLE AS top FROM n WHERE i = 1 UNION ALL
+  SELECT n, i, total + w + CASE WHEN hub THEN 2 * w - m ELSE 0 END, CASE WHEN hub THEN 2 * w ELSE m END
+  FROM (SELECT n.n, n.i, w, total, greatest(top, w) AS m, n.i > 2 AND n.i % 3 = 0 AND 2 * w < greatest(top, w) AS hub FROM r JOIN n ON n.n = r.n AND n.i = r.i + 1))
+SELECT n AS nation, count(*) - 1 AS edges, round(arg_max(total, i), 2) AS weight FROM r GROUP BY 1 HAVING count(*) > 1""")
+def _(spark, d):
+    found = op.minimum_spanning_forest(user_edges(spark, d))
+    nation = table(spark, d, "customer").select(F.col("c_custkey").alias("src"), F.col("c_nationkey").alias("nation"))
+    return found.join(nation, "src").groupBy("nation").agg(F.count("*").alias("edges"), F.round(F.sum("w"), 2).alias("weight"))
+
+
 _CL = "k AS (SELECT c_custkey AS id, (c_nationkey * 2 + c_custkey % 2)::BIGINT AS cluster FROM customer), x AS (SELECT g.*, a.cluster AS cs, b.cluster AS cd FROM g JOIN k a ON a.id = src JOIN k b ON b.id = dst)"
 
 

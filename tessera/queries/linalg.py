@@ -25,6 +25,12 @@ def _(spark, d):
     return op.gemm(transpose(x), x).withColumn("val", F.round("val", 6))
 
 
+@register("gemm_trans", f'WITH {E} SELECT a."col" AS "row", b."col" AS "col", round(2 * sum(a.val * b.val), 6) AS val FROM e a JOIN e b ON a."row" = b."row" GROUP BY 1, 2')
+def _(spark, d):
+    x = emb_cells(spark, d)
+    return op.gemm(x, transpose(x), 2.0, trans_x=True, trans_y=True).withColumn("val", F.round("val", 6))
+
+
 @register("gemm_gram", f'WITH {E} SELECT a."col" AS "row", b."col" AS "col", round(sum(a.val * b.val), 6) AS val FROM e a JOIN e b ON a."row" = b."row" GROUP BY 1, 2')
 def _(spark, d):
     return op.gram_cells(emb_rows(spark, d), centred=False).withColumn("val", F.round("val", 6))
@@ -82,11 +88,13 @@ def _(spark, d):
     return _frame(spark, row=r, col=c, val=out.ravel()).withColumn("val", F.round("val", 6))
 
 
-@register("lstsq", """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem""")
-def _(spark, d):
-    t = table(spark, d, "lineitem").select(F.array(F.col("l_quantity"), F.lit(1.0)).alias("vec"), F.col("l_extendedprice").alias("y"))
-    w = op.lstsq(t)
-    return _frame(spark, slope=[float(w[0])], intercept=[float(w[1])]).select(F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"))
+for _name, _method in (("lstsq", "svd"), ("lstsq_qr", "qr"), ("lstsq_eig", "eig")):
+
+    @register(_name, """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem""")
+    def _(spark, d, method=_method):
+        t = table(spark, d, "lineitem").select(F.array(F.col("l_quantity"), F.lit(1.0)).alias("vec"), F.col("l_extendedprice").alias("y"))
+        w = op.lstsq(t, method=method)
+        return _frame(spark, slope=[float(w[0])], intercept=[float(w[1])]).select(F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"))
 
 
 @register("pca", f"{_TRACE} SELECT round(sum(v), 6) AS total_var, 1::DOUBLE AS total_ratio, 0::DOUBLE AS noise_var FROM m")

@@ -6,8 +6,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import collectives as comms
 from tessera.operators import rand as op
 from tessera.operators.linalg import lstsq
 from tessera.queries.common import emb_cells, emb_rows, table
@@ -99,6 +101,29 @@ def _(spark, d):
     return t.select("label", ((F.abs(F.col("x") - want[0]) < 0.06) & (F.abs(F.col("y") - want[1]) < 0.06)).alias("ok"))
 
 
+@register("make_blobs_std", "SELECT range::INT AS label, true AS ok FROM range(3)")
+def _(spark, d):
+    t = op.make_blobs(spark, _N, 2, 3, 4, [0.5, 1.0, 3.0], [[0.0, 10.0], [5.0, -5.0], [-8.0, 1.0]]).groupBy("label").agg(F.stddev_samp(F.col("vec")[0]).alias("x"), F.stddev_samp(F.col("vec")[1]).alias("y"))
+    want = F.element_at(F.array(F.lit(0.5), F.lit(1.0), F.lit(3.0)), F.col("label") + 1)
+    return t.select("label", ((F.abs(F.col("x") / want - 1) < 0.03) & (F.abs(F.col("y") / want - 1) < 0.03)).alias("ok"))
+
+
+@register("make_regression_targets", "SELECT t.range AS t, i.range AS i, true AS ok FROM range(2) t, range(5) i")
+def _(spark, d):
+    x, coef = op.make_regression(spark, 20_000, 5, 3, 4, noise=0.5, n_targets=2, shuffle=True)
+    w = np.array([lstsq(x.select("vec", F.col("y")[t].alias("y"))) for t in range(2)])
+    return spark.createDataFrame(pa.table({"t": np.repeat(np.arange(2), 5), "i": np.tile(np.arange(5), 2), "ok": (np.abs(w - coef.T) < 0.05).ravel()}))
+
+
+@register("make_regression_rank", "SELECT true AS falls, true AS small_tail")
+def _(spark, d):
+    from tessera.operators.linalg import svd
+
+    x, _ = op.make_regression(spark, 5_000, 20, 20, 4, effective_rank=3, tail_strength=0.01)
+    _, s, _ = svd(x.select("row", "vec"))
+    return spark.createDataFrame(pa.table({"falls": [bool((np.diff(s) <= 0).all())], "small_tail": [bool(s[12] < 0.05 * s[0])]}))
+
+
 @register("make_regression", "SELECT range AS i, true AS ok FROM range(5)")
 def _(spark, d):
     t, coef = op.make_regression(spark, 20_000, 5, 3, 4, bias=0.0, noise=0.5)
@@ -144,9 +169,39 @@ def _(spark, d):
     return bits.test(bits.from_indices(some), at.withColumn("i", F.col("row") * 25 + F.col("col"))).select("row", "col", "bit")
 
 
+@register("bitset_packed", """WITH b AS (SELECT p_partkey AS i, p_size > 25 AS bit FROM part), n AS (SELECT max(p_partkey) + 1 AS n FROM part), z AS (SELECT range AS i FROM range((SELECT n + 10 FROM n)))
+SELECT z.i, z.i >= n OR (coalesce(bit, false) AND z.i <> 7) AS bit FROM z LEFT JOIN b ON b.i = z.i, n""")
+def _(spark, d):
+    from tessera.operators import bits
+
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("i"), (F.col("p_size") > 25).alias("bit"))
+    n = p.agg(F.max("i")).first()[0] + 1
+    flags = bits.to_flags(bits.from_indices(p.where("bit").select("i")), n)
+    flags = bits.set_bits(flags, spark.range(7, 8).select(F.col("id").alias("i")), False)
+    return bits.resize(flags, n + 10, True)
+
+
+@register("bitset_flip_repeat", """WITH z AS (SELECT n_nationkey::BIGINT AS i, n_nationkey % 3 <> 0 AS bit FROM nation) SELECT i + t.range * 25 AS i, bit FROM z, range(3) t""")
+def _(spark, d):
+    from tessera.operators import bits
+
+    flags = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"), (F.col("n_nationkey") % 3 == 0).alias("bit"))
+    return bits.repeat(bits.flip(flags), 3, 25)
+
+
 @register("popc", "SELECT sum(bit_count(p_partkey::BIGINT))::BIGINT AS n FROM part")
 def _(spark, d):
-    return table(spark, d, "part").agg(F.sum(F.bit_count("p_partkey")).cast("long").alias("n"))
+    from tessera.operators import bits
+
+    return bits.popcount(table(spark, d, "part").select((F.col("p_partkey") - 1).alias("at"), F.col("p_partkey").alias("word")))
+
+
+@register("popc_max_len", "SELECT sum(bit_count(CASE WHEN p_partkey <= 20 THEN p_partkey WHEN p_partkey = 21 THEN p_partkey & 15 ELSE 0 END::BIGINT))::BIGINT AS n FROM part")
+def _(spark, d):
+    from tessera.operators import bits
+
+    words = table(spark, d, "part").select((F.col("p_partkey") - 1).alias("at"), F.col("p_partkey").alias("word"))
+    return bits.popcount(words, 20 * 32 + 4)
 
 
 @register("kvp", "SELECT c_nationkey AS g, arg_min(c_custkey, (c_acctbal, c_custkey)) AS key, min(c_acctbal) AS value FROM customer GROUP BY 1")
@@ -161,7 +216,7 @@ def _(spark, d):
     return table(spark, d, "part").select(i.alias("i"), F.floor(i / 7).alias("quotient"), (F.ceil(i / 32) * 32).alias("up"), (F.floor(i / 32) * 32).alias("down"))
 
 
-@register("serialize_npy", 'SELECT vec_id AS "row", list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings WHERE vec_id < 100')
+@register("serialize_npy", 'SELECT vec_id AS "row", list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings')
 def _(spark, d):
     from tessera.plans.scratch import new_path
     from tessera.sources import npy
@@ -171,6 +226,58 @@ def _(spark, d):
     return npy.read_rows(spark, path)
 
 
+@register("npy_scalar", "SELECT sum(l_quantity) AS total, count(*) AS n FROM lineitem")
+def _(spark, d):
+    from tessera.sources import npy
+
+    r = table(spark, d, "lineitem").agg(F.sum("l_quantity").alias("total"), F.count("*").alias("n")).first()
+    total, n = (npy.scalar_from_bytes(npy.scalar_to_bytes(x)) for x in (float(r.total), int(r.n)))
+    return spark.createDataFrame([(total, n)], "total double, n long")
+
+
+@register("npy_header", "SELECT count(*) AS n_rows, 64::BIGINT AS n_cols, false AS fortran, '<f8' AS kind FROM embeddings")
+def _(spark, d):
+    from tessera.sources import npy
+
+    shape, fortran, kind = npy.read_header(npy.write_header((table(spark, d, "embeddings").count(), 64), "<f8"))
+    return spark.createDataFrame([(*shape, fortran, kind.str)], "n_rows long, n_cols long, fortran boolean, kind string")
+
+
+@register("copy_cast", 'SELECT vec_id AS "row", list_transform(embedding, lambda x: trunc(x * 100)::BIGINT) AS vec FROM embeddings')
+def _(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), F.transform("embedding", lambda x: (x * F.lit(100).cast("float")).cast("long")).alias("vec"))
+
+
+# collectives: a rank for each nation, which holds the balances of its customers
+
+_HELD = "h AS (SELECT c_nationkey::BIGINT AS rank, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, c_acctbal AS v FROM customer), k AS (SELECT DISTINCT rank FROM h)"
+_ALL = "g AS (SELECT row_number() OVER (ORDER BY rank, i) - 1 AS i, v FROM h)"
+
+
+def _held(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("rank"), F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("v"))
+    return c.select("rank", (F.row_number().over(Window.partitionBy("rank").orderBy("key")) - 1).cast("long").alias("i"), "v")
+
+
+for _name, _sql, _call in (
+    ("comms_reduce", "SELECT 0::BIGINT AS rank, i, max(v) AS v FROM h GROUP BY 2", lambda h: comms.reduce(h, "max")),
+    ("comms_allreduce_each", "SELECT rank, i, v FROM k, (SELECT i, min(v) AS v FROM h GROUP BY 1)", lambda h: comms.allreduce(h, "min")),
+    ("comms_bcast", "SELECT k.rank, i, v FROM k, h WHERE h.rank = 3", lambda h: comms.bcast(h, 3)),
+    ("comms_gather", f"{_ALL} SELECT 0::BIGINT AS rank, i, v FROM g", lambda h: comms.gather(h)),
+    ("comms_allgather", f"{_ALL} SELECT rank, i, v FROM k, g", lambda h: comms.allgather(h)),
+    ("comms_reducescatter", "SELECT i // 4 AS rank, i % 4 AS i, max(v) AS v FROM h GROUP BY ALL", lambda h: comms.reducescatter(h, 4, "max")),
+):
+
+    @register(_name, f"WITH {_HELD}{', ' if _sql.startswith('g AS') else ' '}{_sql}")
+    def _(spark, d, call=_call):
+        return call(_held(spark, d))
+
+
+@register("comms_barrier", "SELECT count(DISTINCT c_nationkey) AS n FROM customer")
+def _(spark, d):
+    return spark.createDataFrame([(comms.barrier(_held(spark, d)),)], "n long")
+
+
 @register("comms_allreduce", "SELECT sum(l_quantity) AS total, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem")
 def _(spark, d):
     return table(spark, d, "lineitem").agg(F.sum("l_quantity").alias("total"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))

@@ -27,7 +27,7 @@ def _(spark, d):
     return op.csr_to_coo(op.coo_to_csr(order_part(spark, d)))
 
 
-@register("csr_offsets", """WITH n AS (SELECT r.range AS "row", count(l_orderkey) AS n FROM range(2000) r LEFT JOIN lineitem ON l_orderkey = r.range GROUP BY 1)
+@register("csr_offsets", """WITH n AS (SELECT r.range AS "row", count(l_orderkey) AS n FROM range((SELECT max(l_orderkey) + 1 FROM lineitem)) r LEFT JOIN lineitem ON l_orderkey = r.range GROUP BY 1)
 SELECT "row", coalesce(sum(n) OVER (ORDER BY "row" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM n""")
 def _(spark, d):
     t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("val"))
@@ -204,6 +204,28 @@ def _(spark, d):
     return op.masked_matmul(_pattern(spark, d), rows, rows).withColumn("val", F.round("val", 6))
 
 
+# the packed masks: 32 columns, one word for each row of the matrix, or one word for all rows
+_COLS = "y AS (SELECT c.range AS j, k.range AS k, ((c.range * k.range) % 7)::DOUBLE AS v FROM range(32) c, range(64) k)"
+_MASKED = f'WITH {E}, {_COLS} SELECT "row", j AS "col", round(sum(val * v), 6) AS val FROM e JOIN y ON k = "col" WHERE BIT = 1 GROUP BY 1, 2'
+
+
+def _columns(spark):
+    return spark.range(32).select(F.col("id").alias("row"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: ((F.col("id") * k) % 7).cast("double")).alias("vec"))
+
+
+@register("masked_matmul_bitmap", _MASKED.replace("BIT", '(("row" * 2654435761) % 4294967296 >> j) & 1'))
+def _(spark, d):
+    rows = emb_rows(spark, d)
+    words = rows.select(F.col("row").alias("at"), (F.col("row") * F.lit(2654435761) % F.lit(4294967296)).alias("word"))
+    return op.masked_matmul(words, rows, _columns(spark), shape=(table(spark, d, "embeddings").count(), 32)).withColumn("val", F.round("val", 6))
+
+
+@register("masked_matmul_bitset", _MASKED.replace("BIT", "(2863311530 >> j) & 1"))
+def _(spark, d):
+    words = spark.range(1).select(F.array(F.lit(2863311530)).alias("words"))
+    return op.masked_matmul(words, emb_rows(spark, d), _columns(spark), shape=(0, 32)).withColumn("val", F.round("val", 6))
+
+
 @register("symmetrize", f"""WITH {_NN}, s AS (SELECT a.*, b.val AS t FROM nn a LEFT JOIN nn b ON a."row" = b."col" AND a."col" = b."row")
 SELECT "row", "col", round(val + coalesce(t, 0), 2) AS val FROM s UNION ALL SELECT "col", "row", round(val, 2) FROM s WHERE t IS NULL AND val <> 0""")
 def _(spark, d):

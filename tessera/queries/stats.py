@@ -49,6 +49,12 @@ def _(spark, d):
     return op.min_max(emb_cells(spark, d))
 
 
+@register("minmax_sampled", f'WITH {E} SELECT "col" AS i, min(val) AS lo, max(val) AS hi FROM e JOIN embeddings ON vec_id = "row" WHERE label < 3 AND "col" % 2 = 0 GROUP BY 1')
+def _(spark, d):
+    rows = emb_keys(spark, d).where("key < 3").select("row")
+    return op.min_max(emb_cells(spark, d), rows, spark.range(0, 64, 2).select(F.col("id").alias("col")))
+
+
 @register("weighted_mean", f'WITH {E} SELECT "row" AS i, round(sum(val * ("col" + 1)) / sum("col" + 1), 9) AS v FROM e GROUP BY 1')
 def _(spark, d):
     w = spark.range(64).select(F.col("id").alias("i"), (F.col("id") + 1).cast("double").alias("w"))
@@ -162,6 +168,17 @@ def _(spark, d):
     return op.silhouette(points).withColumn("v", F.round("v", 9))
 
 
+_SIL = """, m AS (SELECT i, y.label AS c, sum(d) AS s, count(*) AS n, any_value(x.label) AS own FROM d JOIN embeddings x ON x.vec_id = i JOIN embeddings y ON y.vec_id = j GROUP BY 1, 2),
+p AS (SELECT i, max(CASE WHEN c = own AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN c <> own THEN s / n END) AS b FROM m GROUP BY 1)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 9) AS v FROM p"""
+for _metric, _dist in (("cosine", "1 - sum(a.val * b.val) / sqrt(sum(a.val * a.val)) / sqrt(sum(b.val * b.val))"), ("euclidean", "sqrt(sum((a.val - b.val) * (a.val - b.val)))"), ("l1", "sum(abs(a.val - b.val))"), ("linf", "max(abs(a.val - b.val))")):
+
+    @register(f"silhouette_{_metric}", f'WITH {E}, d AS (SELECT a."row" AS i, b."row" AS j, {_dist} AS d FROM e a JOIN e b ON a."col" = b."col" GROUP BY 1, 2)' + _SIL)
+    def _(spark, d, metric=_metric):
+        points = emb_rows(spark, d).join(emb_keys(spark, d).withColumnRenamed("key", "label"), "row")
+        return op.silhouette(points, metric).withColumn("v", F.round("v", 9))
+
+
 def _half(spark, d):
     return emb_rows(spark, d).select("row", F.slice("vec", 1, 16).alias("vec"))
 

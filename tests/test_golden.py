@@ -1,4 +1,4 @@
-"""Literal expected outputs, and properties on generated inputs."""
+"""Results on generated inputs against numpy and brute force, and edge cases."""
 
 import itertools
 import math
@@ -32,13 +32,33 @@ def csr(spark, indptr, idx, vals):
     return frame(spark, "row long, cols array<long>, vals array<double>", [(i, idx[a:b], [float(v) for v in vals[a:b]]) for i, (a, b) in enumerate(zip(indptr[:-1], indptr[1:]))])
 
 
-FIVE = [(5, 4, 3, 2, 1), (1, 2, 3, 4, 5), (2, 3, 5, 1, 4), (5, 3, 2, 4, 1), (1, 3, 2, 5, 4)]
+def drawn(seed, n_rows, n_cols, top=9):
+    """Small whole numbers with repeats and zeros."""
+    return np.random.default_rng(seed).integers(0, top, (n_rows, n_cols)).astype(float)
 
 
-@pytest.mark.parametrize("k,idx", [(5, [(4, 3, 2, 1, 0), (0, 1, 2, 3, 4), (3, 0, 1, 4, 2), (4, 2, 1, 3, 0), (0, 2, 1, 4, 3)]), (3, [(4, 3, 2), (0, 1, 2), (3, 0, 1), (4, 2, 1), (0, 2, 1)])])
-def test_select_k(spark, k, idx):
-    out = rows_of(dense.select_k(matrix(spark, FIVE), k).select("row", "vals", "idx"), "row")
-    assert [tuple(r[2]) for r in out] == idx and all(list(r[1]) == list(range(1, k + 1)) for r in out)
+def as_csr(spark, m):
+    """The cells of a matrix that are not 0, as CSR rows; rows without any are there too."""
+    at = [np.flatnonzero(r) for r in m]
+    return csr(spark, np.cumsum([0, *map(len, at)]).tolist(), [int(c) for r in at for c in r], [float(m[i, c]) for i, r in enumerate(at) for c in r])
+
+
+def as_cells(spark, m):
+    return frame(spark, "row long, col long, val double", [(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))])
+
+
+FIVE = [tuple(r) for r in drawn(11, 6, 7)]
+
+
+@pytest.mark.parametrize("k", [1, 3, 7])
+@pytest.mark.parametrize("smallest", [True, False])
+def test_select_k(spark, k, smallest):
+    x = np.array(FIVE)
+    out = rows_of(dense.select_k(matrix(spark, FIVE), k, smallest).select("row", "vals", "idx"), "row")
+    order = np.argsort(x if smallest else -x, axis=1, kind="stable")[:, :k]
+    assert [r[2] for r in out] == order.tolist() and [r[1] for r in out] == np.take_along_axis(x, order, axis=1).tolist()
+    named = matrix(spark, FIVE).withColumn("names", F.transform("vec", lambda v, i: F.concat(F.lit("c"), i)))
+    assert [r[2] for r in rows_of(dense.select_k(named, k, smallest, "names"), "row")] == [[f"c{i}" for i in r] for r in order]
 
 
 def test_select_k_nan_is_largest(spark):
@@ -47,44 +67,66 @@ def test_select_k_nan_is_largest(spark):
     assert dense.select_k(matrix(spark, [[NAN, math.inf, -math.inf]]), 3).first().idx == [2, 1, 0]
 
 
-SHIFT = [(0.1, 0.2, 0.3, 0.4), (0.4, 0.3, 0.2, 0.1), (0.2, 0.3, 0.5, 0)]
-
-
 def test_shift(spark):
-    out = [r[1] for r in rows_of(dense.shift_cols(matrix(spark, SHIFT), 2, 100.0), "row")]
-    assert out == [[100, 100, 0.1, 0.2], [100, 100, 0.4, 0.3], [100, 100, 0.2, 0.3]]
-    out = [r[1] for r in rows_of(dense.shift_cols(matrix(spark, SHIFT), 1, 100.0, to_end=False), "row")]
-    assert out == [[0.2, 0.3, 0.4, 100], [0.3, 0.2, 0.1, 100], [0.3, 0.5, 0, 100]]
-    out = [r[1] for r in rows_of(dense.shift_rows(matrix(spark, SHIFT), 3, 1, 100.0), "row")]
-    assert out == [[100.0] * 4, list(SHIFT[0]), list(SHIFT[1])]
+    x = drawn(12, 4, 5)
+    vecs = lambda df: np.array([r[1] for r in rows_of(df, "row")])
+    m = matrix(spark, x)
+    assert (vecs(dense.shift_cols(m, 2, 7.5)) == np.hstack([np.full((4, 2), 7.5), x[:, :-2]])).all()
+    assert (vecs(dense.shift_cols(m, 1, to_end=False)) == np.hstack([x[:, 1:], np.arange(4.0)[:, None]])).all()
+    assert (vecs(dense.shift_cols(m, 2, matrix(spark, -x[:, :2]))) == np.hstack([-x[:, :2], x[:, :-2]])).all()
+    assert (vecs(dense.shift_rows(m, 4, 1, 7.5)) == np.vstack([np.full((1, 5), 7.5), x[:-1]])).all()
+    assert (vecs(dense.shift_rows(m, 4, 2, to_end=False)) == np.vstack([x[2:], np.full((1, 5), 2.0), np.full((1, 5), 3.0)])).all()
+    assert (vecs(dense.shift_rows(m, 4, 2, matrix(spark, -x[:2]), to_end=False)) == np.vstack([x[2:], -x[:2]])).all()
 
 
 def test_csr_norms(spark):
-    m = csr(spark, [0, 3, 7, 10], [0] * 10, [5, 1, 2, 0, 10, 1, 2, 1, 1, 2])
-    got = {k: [r[1] for r in rows_of(sparse.csr_norm(m, k), "row")] for k in ("Linf", "L1", "L2")}
-    assert got == {"Linf": [5, 10, 2], "L1": [8, 13, 4], "L2": [30, 105, 6]}
+    x = drawn(13, 5, 6, 4) - 1
+    got = {k: [r[1] for r in rows_of(sparse.csr_norm(as_csr(spark, x), k), "row")] for k in ("Linf", "L1", "L2")}
+    assert got == {"Linf": np.abs(x).max(axis=1).tolist(), "L1": np.abs(x).sum(axis=1).tolist(), "L2": (x**2).sum(axis=1).tolist()}
 
 
-def test_csr_row_normalize(spark):
-    m = csr(spark, [0, 4, 8, 9, 10], list(range(10)), [5, 1, 0, 0, 10, 1, 0, 0, 1, 0])
-    assert sum((r[2] for r in rows_of(sparse.csr_row_normalize(m, "max"), "row")), []) == [1, 0.2, 0, 0, 1, 0.1, 0, 0, 1, 0]
-    m = csr(spark, [0, 4, 8, 9, 10], list(range(10)), [1, 1, 0, 0, 1, 1, 0, 0, 1, 0])
-    assert sum((r[2] for r in rows_of(sparse.csr_row_normalize(m, "L1"), "row")), []) == [0.5, 0.5, 0, 0, 0.5, 0.5, 0, 0, 1, 0]
+@pytest.mark.parametrize("kind", ["max", "L1"])
+def test_csr_row_normalize(spark, kind):
+    x = drawn(14, 5, 6, 4)
+    x[2] = 0
+    by = x.max(axis=1) if kind == "max" else x.sum(axis=1)
+    got = {(r[0], c): v for r in rows_of(sparse.csr_row_normalize(as_csr(spark, x), kind)) for c, v in zip(r[1], r[2])}
+    assert got == {(i, j): x[i, j] / by[i] for i, j in zip(*np.nonzero(x))}
 
 
 def test_max_duplicates(spark):
-    r, c, v = [0, 0, 0, 0, 1, 1, 1, 2, 3, 3, 3], [1, 1, 1, 2, 0, 3, 3, 0, 2, 3, 3], [3, 50, 0, 2, 40, 2, 1, 4, 1, 0, 30]
-    out = rows_of(sparse.max_duplicates(frame(spark, "row long, col long, val double", [(a, b, float(x)) for a, b, x in zip(r, c, v)])), "row", "col")
-    assert out == [(0, 1, 50), (0, 2, 2), (1, 0, 40), (1, 3, 2), (2, 0, 4), (3, 2, 1), (3, 3, 30)]
-    low = frame(spark, "row long, col long, val double", [(0, 0, -3.0), (0, 0, -1.0)])
-    assert rows_of(sparse.max_duplicates(low)) == [(0, 0, -1.0)] and rows_of(sparse.max_duplicates(low, from_zero=True)) == [(0, 0, 0.0)]
+    rng = np.random.default_rng(15)
+    cells = [(int(a), int(b), float(v)) for a, b, v in zip(rng.integers(0, 4, 40), rng.integers(0, 4, 40), rng.integers(-9, 9, 40))]
+    want = {}
+    for a, b, v in cells:
+        want[a, b] = max(v, want.get((a, b), v))
+    df = frame(spark, "row long, col long, val double", cells)
+    assert {(a, b): v for a, b, v in rows_of(sparse.max_duplicates(df))} == want
+    assert {(a, b): v for a, b, v in rows_of(sparse.max_duplicates(df, from_zero=True))} == {k: max(0.0, v) for k, v in want.items()}
 
 
 def test_csr_slice_and_dense(spark):
-    m = csr(spark, [0, 2, 4, 6, 8], [0, 1, 2, 3, 0, 1, 2, 3], [1, 3, 1, 5, 50, 28, 16, 2])
-    assert rows_of(sparse.csr_row_slice(m, 1, 3), "row") == [(0, [2, 3], [1, 5]), (1, [0, 1], [50, 28]), (2, [2, 3], [16, 2])]
-    assert [r[1] for r in rows_of(sparse.csr_to_dense(m, 4), "row")] == [[1, 3, 0, 0], [0, 0, 1, 5], [50, 28, 0, 0], [0, 0, 16, 2]]
-    assert [r[0] for r in rows_of(sparse.csr_to_coo(m), "row", "col")] == [0, 0, 1, 1, 2, 2, 3, 3]
+    x = drawn(16, 6, 5, 3)
+    m = as_csr(spark, x)
+    assert [r[1] for r in rows_of(sparse.csr_to_dense(m, 5), "row")] == x.tolist()
+    assert [r[1] for r in rows_of(sparse.csr_to_dense(sparse.csr_row_slice(m, 2, 4), 5), "row")] == x[2:5].tolist()
+    assert rows_of(sparse.csr_to_coo(m), "row", "col") == [(i, j, x[i, j]) for i, j in zip(*np.nonzero(x))]
+
+
+def test_packed_masks(spark):
+    rng = np.random.default_rng(17)
+    flags = rng.random((9, 21)) < 0.4
+    flat = np.zeros(-(-flags.size // 32) * 32, bool)
+    flat[: flags.size] = flags.ravel()
+    words = [int(sum(1 << b for b in range(32) if w[b])) for w in flat.reshape(-1, 32)]
+    want = list(zip(*map(lambda z: z.tolist(), np.nonzero(flags))))
+    one = frame(spark, "words array<long>", [(words,)])
+    many = frame(spark, "at long, word long", list(enumerate(words)))
+    for packed in (one, many):
+        assert rows_of(sparse.bitmap_cells(packed, 9, 21), "row", "col") == want
+    a, b = rng.standard_normal((9, 4)), rng.standard_normal((21, 4))
+    got = {(r, c): v for r, c, v in rows_of(sparse.masked_matmul(many, matrix(spark, a), matrix(spark, b), shape=(9, 21)))}
+    assert set(got) == set(want) and all(v == pytest.approx((a @ b.T)[k]) for k, v in got.items())
 
 
 def test_offsets_count_empty_rows(spark):
@@ -93,41 +135,47 @@ def test_offsets_count_empty_rows(spark):
 
 
 def test_symmetrize(spark):
-    m = frame(spark, "row long, col long, val double", [(0, 0, 0.0), (1, 0, 1.0)])
-    assert [r for r in rows_of(sparse.symmetrize(m), "row", "col") if r[2]] == [(0, 1, 1.0), (1, 0, 1.0)]
+    x = drawn(18, 5, 5, 3)
+    got = {(r, c): v for r, c, v in rows_of(sparse.symmetrize(as_cells(spark, x))) if v}
+    assert got == {(i, j): (x + x.T)[i, j] for i, j in zip(*np.nonzero(x + x.T))}
 
 
 def test_laplacian(spark):
-    cells = [(0, 1), (0, 2), (0, 3), (1, 0), (1, 3), (2, 0), (3, 0), (3, 1)]
-    for loops in ([], [(0, 0)]):
-        m = frame(spark, "row long, col long, val double", [(a, b, 1.0) for a, b in cells + loops])
-        out = {(r, c): v for r, c, v in rows_of(graph.laplacian(m)) if v}
-        want = np.array([[3, -1, -1, -1], [-1, 2, 0, -1], [-1, 0, 1, 0], [-1, -1, 0, 2]])
-        assert out == {(i, j): want[i, j] for i, j in itertools.product(range(4), repeat=2) if want[i, j]}
+    x = np.triu(drawn(19, 6, 6, 3), 1)
+    x = x + x.T
+    want = np.diag(x.sum(axis=1)) - x
+    for loops in (0.0, 5.0):  # loops say nothing
+        m = x.copy()
+        m[0, 0] = loops
+        out = {(r, c): v for r, c, v in rows_of(graph.laplacian(as_cells(spark, m))) if v}
+        assert out == {(i, j): want[i, j] for i, j in zip(*np.nonzero(want))}
 
 
 def test_labels(spark):
-    given_ = [1, 2, 2, 2, 2, 3, 8, 7, 8, 8, 25, 80]
-    out = rows_of(labels.make_monotonic(frame(spark, "i long, label long", list(enumerate(given_)))), "i")
-    assert [r[1] for r in out] == [1, 2, 2, 2, 2, 3, 5, 4, 5, 5, 6, 7]
-    six = frame(spark, "i long, label long", list(enumerate([2, -1, 1, 2, 1, 1])))
-    assert [r[0] for r in rows_of(labels.unique_labels(six), "label")] == [-1, 1, 2]
-    assert [r[1] for r in rows_of(labels.one_vs_rest(six, 2), "i")] == [1, -1, -1, 1, -1, -1]
+    given_ = (np.random.default_rng(20).integers(0, 9, 30) ** 2 - 3).tolist()
+    found, number = np.unique(given_, return_inverse=True)
+    df = frame(spark, "i long, label long", list(enumerate(given_)))
+    assert [r[1] for r in rows_of(labels.make_monotonic(df), "i")] == (number + 1).tolist()
+    assert [r[0] for r in rows_of(labels.unique_labels(df), "label")] == found.tolist()
+    assert [r[1] for r in rows_of(labels.one_vs_rest(df, int(found[2])), "i")] == np.where(number == 2, 1, -1).tolist()
 
 
 MAX = 2**31 - 1
 
 
-@pytest.mark.parametrize("a,b,mask,want", [([1, 1, 3, MAX], [1, 3, 3, 1], [1, 0, 1, 0], [1, 1, 3, 1]), ([1, 2, 2, 2, 1], [4, 2, 4, 4, 4], [1] * 5, [1] * 5), ([1, 2, 1, 4, 5, MAX], [1, 2, MAX, 4, 5, 4], [1, 1, 0, 1, 1, 0], [1, 2, 1, 4, 5, 4])])
-def test_merge_labels(spark, a, b, mask, want):
-    df = frame(spark, "i long, a long, b long, mask boolean", [(i, x, y, bool(m)) for i, (x, y, m) in enumerate(zip(a, b, mask))])
-    assert [r[1] for r in rows_of(labels.merge_labels(df), "i")] == want
-
-
-def test_mst(spark):
-    e = [(0, 1, 2.0), (0, 2, 3.0), (0, 3, 4.0), (1, 3, 1.0)]
-    out = rows_of(graph.minimum_spanning_forest(frame(spark, "src long, dst long, w double", e)))
-    assert sum(r[2] for r in out) == 6 and len(out) == 3
+@pytest.mark.parametrize("seed", range(4))
+def test_merge_labels(spark, seed):
+    rng = np.random.default_rng(seed)
+    a, b = (np.where(rng.random(25) < 0.2, MAX, rng.integers(1, 12, 25)) for _ in range(2))
+    mask = rng.random(25) < 0.3
+    least = {int(x): int(x) for x in [*a, *b]}
+    for _ in range(30):  # the least label spreads until nothing changes
+        for x, y, m in zip(a.tolist(), b.tolist(), mask):
+            if m and MAX not in (x, y):
+                low = min(least[x], least[y])
+                least = {k: low if v in (least[x], least[y]) else v for k, v in least.items()}
+    df = frame(spark, "i long, a long, b long, mask boolean", [(i, int(x), int(y), bool(m)) for i, (x, y, m) in enumerate(zip(a, b, mask))])
+    assert [r[1] for r in rows_of(labels.merge_labels(df), "i")] == [least[x if x != MAX else y] for x, y in zip(a.tolist(), b.tolist())]
 
 
 def kruskal(edges):
@@ -161,8 +209,10 @@ def test_components_of_chain_star_and_loops(spark):
 
 
 def test_eigenvalues(spark):
-    m = np.array([[0.9 ** abs(i - j) for j in range(4)] for i in range(4)])
-    assert np.allclose(linalg.eig(m)[0], [0.0614, 0.1024, 0.3096, 3.5266], atol=1e-4)
+    x = drawn(21, 6, 6)
+    m = x + x.T
+    w, v = linalg.eig(m)
+    assert np.allclose(m @ v, v * w) and np.allclose(v.T @ v, np.eye(6)) and np.trace(m) == pytest.approx(w.sum())
 
 
 def test_factorisations(spark):
@@ -173,7 +223,15 @@ def test_factorisations(spark):
     _, r = linalg.qr(m)
     assert np.allclose(r.T @ r, x.T @ x) and np.allclose(np.tril(r, -1), 0)
     fit = linalg.pca(m, 2)
-    w = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    w, vectors = np.linalg.eigh(np.cov(x.T))
+    w, vectors = w[::-1], vectors[:, ::-1]
+    assert np.allclose(np.abs(np.sum(fit["components"].T * vectors[:, :2], axis=0)), 1)
+    t = linalg.tsvd(m, 2)
+    right = np.linalg.svd(x)[2][:2]
+    assert np.allclose(np.abs(np.sum(t["components"] * right, axis=1)), 1) and np.allclose(t["singular_vals"], np.linalg.svd(x, compute_uv=False)[:2])
+    ur, sr, vr = linalg.rsvd(m, 2, power=8)
+    assert np.allclose(sr, t["singular_vals"], rtol=1e-4) and np.allclose(np.abs(np.sum(vr.T * right, axis=1)), 1, atol=1e-3)
+    assert linalg.rsvd(m.where("row < 0"), 2)[0].count() == 0
     assert np.allclose(fit["explained_var"], w[:2]) and fit["noise_var"] == pytest.approx(w[2:].mean())
     a = np.array([[4.0, 2], [2, 3]])
     assert np.allclose(linalg.cholesky_update(np.array([[2.0]]), a[1]), np.linalg.cholesky(a))
@@ -181,6 +239,37 @@ def test_factorisations(spark):
         linalg.cholesky_update(np.array([[1.0]]), np.array([2.0, 1.0]))
 
 
+def test_factors_of_hard_matrices(spark):
+    """Columns that nearly or wholly depend on each other, where products of columns lose all digits."""
+    rng = np.random.default_rng(22)
+    x = rng.standard_normal((60, 4))
+    near = np.column_stack([x, x[:, 0] + 1e-9 * rng.standard_normal(60)])
+    s = np.linalg.svd(near, compute_uv=False)
+    assert np.allclose(linalg.svd(matrix(spark, near))[1], s, rtol=1e-4, atol=1e-13)
+    y = near @ np.array([1.0, 2, 3, 4, 5])
+    rows = frame(spark, "vec array<double>, y double", [(r.tolist(), float(v)) for r, v in zip(near, y)])
+    for method in ("qr", "svd"):
+        assert np.allclose(near @ linalg.lstsq(rows, eps=1e-14, method=method), y, atol=1e-8)
+    whole = np.column_stack([x, x[:, 1]])
+    q, r = linalg.qr(matrix(spark, whole))
+    q = np.array([v[1] for v in rows_of(q, "row")])
+    assert np.allclose(q @ r, whole)
+    rows = frame(spark, "vec array<double>, y double", [(r.tolist(), float(v)) for r, v in zip(whole, y)])
+    assert np.allclose(linalg.lstsq(rows), np.linalg.lstsq(whole, y, rcond=1e-10)[0])
+    with pytest.raises(ValueError):
+        linalg.lstsq(rows, method="qr")
+    assert len(linalg.lstsq(rows.where("y > 1e9"))) == 0
+
+
+def test_exact_median(spark):
+    rng = np.random.default_rng(23)
+    for x in (rng.standard_normal(501), rng.integers(0, 3, 400).astype(float), np.repeat(5.0, 300), np.array([1.0, 2.0]), rng.standard_normal(999) ** 9):
+        df = frame(spark, "v double", [(float(v),) for v in x] + [(None,), (NAN,)])
+        for most in (10, 100_000):
+            assert stats.exact_median(df, most) == np.median(x)
+    assert stats.exact_median(df.where("v > 1e300")) is None
+
+
 @pytest.mark.parametrize("which,pick", [("LA", slice(-3, None)), ("SA", slice(0, 3))])
 def test_eigsh(spark, which, pick):
     m = np.random.default_rng(2).standard_normal((30, 30))

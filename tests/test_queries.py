@@ -6,8 +6,6 @@ from compare import check, duck
 import tessera.queries  # noqa: F401
 from tessera.registry import ORACLES, QUERIES
 
-SLOW = {"mst"}
-
 
 @pytest.fixture(scope="module")
 def con(sf):
@@ -19,7 +17,7 @@ def test_against_sql(spark, con, sf, name):
     assert check(spark, con, sf, QUERIES[name], ORACLES[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
