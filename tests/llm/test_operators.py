@@ -354,6 +354,35 @@ def test_substring(docs, small, empty, block):
     assert substring_dedup.dedup_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 16 << 20])
+def test_factors(docs, small, block):
+    """Factors are matches in the least document, as long as its reference goes on, and cover what is removed."""
+    for df in (docs, small):
+        rows = [(i, words_of(t)) for i, t in pairs(df) if i is not None]
+        texts, least = collections.defaultdict(list), {}
+        for i, w in rows:
+            texts[i].append(w)
+        for i in sorted(texts):
+            for nth, w in enumerate(texts[i]):
+                for a in range(len(w) - 12):
+                    least.setdefault(tuple(w[a : a + 13]), i)
+        found = 0
+        for r in substring_dedup.dedup_passages(df, block_bytes=block, with_factors=True).collect():
+            if r.doc_id is None:
+                continue
+            covered = set()
+            for f in r.factors:
+                whole = [w for w in texts[r.doc_id] if len(w) == r.n_words]
+                mine = [w[f.start : f.start + f.words] for w in whole]
+                theirs = [w[f.reference_start : f.reference_start + f.words] for w in texts[f.reference]]
+                assert f.words >= 13 and f.reference < r.doc_id and any(m == t for m in mine for t in theirs)
+                assert any(least[tuple(m[a : a + 13])] == f.reference for m in mine for a in range(f.words - 12))
+                covered.update(range(f.start, f.start + f.words))
+                found += 1
+            assert len(covered) == r.n_removed and [f.start for f in r.factors] == sorted(f.start for f in r.factors)
+        assert found
+
+
 # jaccard
 
 
