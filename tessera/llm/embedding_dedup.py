@@ -139,42 +139,38 @@ def near_duplicate_vectors(
     tables = tables or 3 + 3 * (axes - 1)
     per = 1 + probes
 
-    def place(batches):
+    def locate(batches):
         for batch in batches:
             blobs = batch.column(2).to_pylist()
             width = np.array([len(b) for b in blobs])
             for w in np.unique(width):
                 some = np.flatnonzero(width == w)
                 x = np.frombuffer(b"".join(blobs[i] for i in some), kind).reshape(len(some), -1)
-                b = buckets(unit(x), tables, axes, probes, seed)
-                flat = [r.astype("<i8").tobytes() for r in b.reshape(len(some), -1)]
-                cls, mult = batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some))
-                for t in range(tables):
-                    for p in range(per):
-                        fresh = np.ones(len(some), bool) if p == 0 else ~(b[:, t, p : p + 1] == b[:, t, :p]).any(axis=1)
-                        k = pa.array(np.flatnonzero(fresh))
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(len(k), w, np.int32)),
-                                pa.array(np.full(len(k), t, np.int32)),
-                                pa.array(b[fresh, t, p]),
-                                pa.array(np.full(len(k), p == 0)),
-                                cls.take(k),
-                                mult.take(k),
-                                pa.array(blobs_at(blobs, some, fresh), pa.binary()),
-                                pa.array([flat[i] for i in np.flatnonzero(fresh)], pa.binary()),
-                            ],
-                            ["width", "tbl", "bucket", "own", "cls", "mult", "vec", "places"],
-                        )
-
-    def blobs_at(blobs, some, fresh):
-        return [blobs[i] for i in some[fresh]]
-
-    placed = classes.select("cls", "mult", "vec").mapInArrow(place, "width int, tbl int, bucket long, own boolean, cls binary, mult long, vec binary, places binary")
+                flat = [r.astype("<i8").tobytes() for r in buckets(unit(x), tables, axes, probes, seed).reshape(len(some), -1)]
+                kept = [batch.column(i).take(pa.array(some)) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), w, np.int32)), *kept, pa.array(flat, pa.binary())], ["width", "cls", "mult", "vec", "places"])
+
+    located = spill(classes.select("cls", "mult", "vec").mapInArrow(locate, "width int, cls binary, mult long, vec binary, places binary"), "places")
     key = ["width", "tbl", "bucket"]
-    crowded = classes.select("cls", "mult", "vec").mapInArrow(place, placed.schema).groupBy(*key).agg(F.count("*").alias("n"), F.count_if("own").alias("stored"))
-    crowded = spill(crowded.where("n > 1 and stored > 0").select(*key, F.ceil(F.col("n") / most).cast("int").alias("tiles")), "buckets")
-    placed = skew_join(placed, crowded, key)
+
+    def spread(batches):
+        """Each row in all of its places; ``places`` is the last column."""
+        for batch in batches:
+            b = np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), "<i8").reshape(batch.num_rows, tables, per)
+            for t in range(tables):
+                for p in range(per):
+                    fresh = np.ones(len(b), bool) if p == 0 else ~(b[:, t, p : p + 1] == b[:, t, :p]).any(axis=1)
+                    k = pa.array(np.flatnonzero(fresh))
+                    n = len(k)
+                    rest = [batch.column(i).take(k) for i in range(1, batch.num_columns)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(k), pa.array(np.full(n, t, np.int32)), pa.array(b[fresh, t, p]), pa.array(np.full(n, p == 0)), *rest], [*key, "own", *batch.schema.names[1:]])
+
+    place = "width int, tbl int, bucket long, own boolean"
+    counted = located.select("width", "places").mapInArrow(spread, f"{place}, places binary").groupBy(*key).agg(F.count("*").alias("n"))
+    # few buckets are over the bound, so that the join needs no exchange of the vectors unless they are many
+    large = spill(counted.where(F.col("n") > most).select(*key, F.ceil(F.col("n") / most).cast("int").alias("tiles")), "buckets")
+    placed = located.select("width", "cls", "mult", "vec", "places").mapInArrow(spread, f"{place}, cls binary, mult long, vec binary, places binary")
+    placed = placed.join(large, key, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     tile = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least(j, F.col("tile")).alias("i"), F.greatest(j, F.col("tile")).alias("j")))
     placed = placed.withColumn("tile", tile).withColumn("at", F.explode(pairs)).withColumns({"i": F.col("at.i"), "j": F.col("at.j")}).drop("at", "tiles")
