@@ -251,7 +251,8 @@ def write_token_files(
     """Write the ids of all texts of ``docs`` under ``path`` and return ``(shard, file, n_docs, n_ids)``.
 
     Documents stand in ascending identifier order, null identifiers first, rows with the same
-    identifier by their ids. Each document ends with ``end_id``; a null text is empty and gives
+    identifier by a hash of their ids. Shards are ranges of that order with about ``shard_docs``
+    documents each, however many rows share an identifier. Each document ends with ``end_id``; a null text is empty and gives
     that id alone. An empty table gives no shard.
     """
     from tokenizers import Tokenizer
@@ -271,34 +272,21 @@ def write_token_files(
     rank_of[id_of] = np.arange(vocab, dtype=np.uint32)
     _put(f"{path}/ranks.ids", id_of.tobytes())
     shards = max(1, -(-tokens.count() // shard_docs))
-    cuts = sorted(set(tokens.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.2 / shards))) if shards > 1 else []
     ranks = spark.sparkContext.broadcast(rank_of)
-    edges = spark.sparkContext.broadcast(np.array(cuts, np.int64))
-
-    def encode(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            at = np.searchsorted(edges.value, np.asarray(ids.fill_null(0)), side="right").astype(np.int32)
-            at[~np.asarray(ids.is_valid())] = 0
-            made = []
-            for blob in batch.column(1):
-                r = ranks.value[np.frombuffer(blob.as_buffer(), kind)]
-                control, data = pack_ranks(r, bits)
-                made.append(struct.pack("<II", len(r), len(data)) + control + data)
-            yield pa.RecordBatch.from_arrays([pa.array(at), ids, pa.array(made, pa.binary())], ["shard", "doc_id", "record"])
+    order = ["doc_id", F.xxhash64("ids")]  # nulls first
+    dealt = tokens.repartitionByRange(shards, *order).withColumn("shard", F.spark_partition_id()).sortWithinPartitions(*order)
 
     def save(batches):
         out = _Shards(path)
         for batch in batches:
-            for shard, ident, record in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if (done := out.add(shard, ident, record)) is not None:
+            for shard, ident, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                r = ranks.value[np.frombuffer(blob.as_buffer(), kind)]
+                if (done := out.add(shard, ident, len(r), *pack_ranks(r, bits))) is not None:
                     yield done
         if (done := out.close()) is not None:
             yield done
 
-    coded = tokens.mapInArrow(encode, "shard int, doc_id long, record binary")
-    dealt = coded.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "record")
-    listed = dealt.mapInArrow(save, "shard int, file string, n_docs long, n_ids long")
+    listed = dealt.select("shard", "doc_id", "ids").mapInArrow(save, "shard int, file string, n_docs long, n_ids long")
     table = new_path(spark, "shards")
     listed.write.parquet(table)
     return spark.read.schema("shard int, file string, n_docs long, n_ids long").parquet(table)
@@ -310,7 +298,7 @@ class _Shards:
     def __init__(self, path: str):
         self.path, self.shard, self.out = path, None, None
 
-    def add(self, shard: int, ident: int | None, record: bytes):
+    def add(self, shard: int, ident: int | None, n: int, control: bytes, data: bytes):
         done = None
         if shard != self.shard:
             done = self.close()
@@ -319,9 +307,9 @@ class _Shards:
             self.temp = f"{self.file}.{uuid.uuid4().hex}"
             self.out = self.fs.open_output_stream(self.temp)
             self.out.write(MAGIC)
-        n, data = struct.unpack_from("<II", record)
-        self.out.write(_HEAD.pack(ident is not None, ident or 0, n, data))
-        self.out.write(record[8:])
+        self.out.write(_HEAD.pack(ident is not None, ident or 0, n, len(data)))
+        self.out.write(control)
+        self.out.write(data)
         self.docs += 1
         self.ids += n
         return done

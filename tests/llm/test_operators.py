@@ -120,6 +120,41 @@ def test_secrets(spark, docs, small, empty):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+def brute_secrets(rows, example_owners, example_repos):
+    """(doc_id, spans, n_live, n_example) of rows (doc_id, text, owner, repository) by the definitions alone."""
+    bare = re.compile(secret_scan.BARE)
+    kinds = ((ASSIGN, lambda m: len(m[2]) >= 12), (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16), (bare, lambda m: all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))))
+    found = [[(m.start(), nth, m.end(), m[2] if nth == 0 else m[0]) for nth, (p, ok) in enumerate(kinds) for m in p.finditer(t or "") if ok(m)] for _, t, _, _ in rows]
+    owners, repos = collections.defaultdict(set), collections.defaultdict(set)
+    for (_, _, o, r), spans in zip(rows, found):
+        for *_, value in spans:
+            owners[value].add(o)
+            repos[value].add((o, r))
+    out = []
+    for (i, *_), spans in zip(rows, found):
+        kept, live, examples = [], 0, 0
+        for start, nth, end, value in sorted(spans):
+            example = len(owners[value]) >= example_owners or len(repos[value]) >= example_repos
+            alive = len(owners[value]) == 1 and not example and bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value))
+            if nth < 3 or alive and all(e <= start or s >= end for s, k, e, _ in spans if k < 3):
+                kept.append(f"{secret_scan.KINDS[nth]}:{start}:{end}")
+                live, examples = live + alive, examples + example
+        out.append((i, ",".join(kept), live, examples))
+    return sorted(out, key=repr)
+
+
+def test_secrets_added_spans_and_ownership(spark, docs, small):
+    import random
+
+    r = random.Random(8)
+    values = ["".join(r.choice("aBcD3fG7hJkL9mNpQ2rS") for _ in range(r.randint(20, 40))) for _ in range(25)]
+    made = [(i, f"{r.choice(['see', 'token=', 'é 👍', 'x/'])} {r.choice(values)} {r.choice(values[:3])}{r.choice(['', ' ', '.', 'deadbeefdeadbeef '])}{r.choice(values)}", "en", f"o{r.randint(0, 4)}", r.randint(0, 3)) for i in range(120)]
+    for df in (spark.createDataFrame(made, DOC), docs, small):
+        rows = [(x.doc_id, x.text, x.source, x.n_chars) for x in df.collect()]
+        out = secret_scan.scan_secrets(df, repository=F.col("n_chars"), example_owners=3, example_repositories=5).collect()
+        assert sorted(((x.doc_id, x.spans, x.n_live, x.n_example) for x in out), key=repr) == brute_secrets(rows, 3, 5)
+
+
 def test_secrets_copied_inside_one_owner(spark, tmp_path):
     from tessera.llm.queries import op1_secret_scan
 
