@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.embedding_dedup import _runs
-from tessera.llm.words import LOWER, buffer_of, mix64, ragged, slices, window_hashes, word_edges, word_hashes
+from tessera.llm.words import LOWER, buffer_of, give_back, mix64, ragged, slices, window_hashes, word_edges, word_hashes
 from tessera.operators.components import connected_components
 from tessera.plans.names import fresh
 from tessera.plans.scratch import release, spill
@@ -419,6 +419,7 @@ def _cells(docs: DataFrame, k: int, percent: int, often: np.ndarray, pivots: Piv
             r, c, kind = r[many], c[many], kind[many]
             for at in range(0, len(r), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(r[at : at + 100_000]), pa.array(c[at : at + 100_000]), pa.array(kind[at : at + 100_000].astype(np.int32))], ["cell", "cls", "kind"])
+        give_back()
 
     return packs.mapInArrow(meet, "cell long, cls long, kind int")
 
@@ -447,6 +448,7 @@ def _groups(batches, most_rows: int, most_grams: int) -> Iterator[pa.Table]:
             held, n, grams = [], 0, 0
     if held:
         yield pa.concat_tables(held)
+    give_back()
 
 
 def _partnered(several: DataFrame, classes: DataFrame, percent: int, most: int = 4096) -> DataFrame:

@@ -8,6 +8,7 @@ input. All ASCII separators are single bytes in UTF-8, so bytes suffice.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -44,6 +45,14 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the machine; a worker that waits for its next task else keeps what its largest one took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows with about ``limit`` bytes of text, one row at least."""
     col = batch.column(batch.schema.get_field_index(text))
@@ -53,6 +62,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[p
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    give_back()
 
 
 def word_edges(buf: np.ndarray, offs: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
