@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.plans.batches import bound_batches
+
 # HTML's elements by their part in a page, and usual names of what is no article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas".split())
@@ -436,6 +438,7 @@ def extract_pages(pages: DataFrame, weights: PageWeights, id_col: str = "page_id
     also one that repeats another's identifier; an empty table gives no rows, and further columns,
     whatever their names, are not read.
     """
+    bound_batches(pages.sparkSession)
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     schema = T.StructType([source.schema["page_id"], source.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from tessera.llm.embedding_dedup import _runs
 from tessera.llm.words import LOWER, buffer_of, give_back, mix64, ragged, slices, window_hashes, word_edges, word_hashes
 from tessera.operators.components import connected_components
+from tessera.plans.batches import bound_batches
 from tessera.plans.names import fresh
 from tessera.plans.scratch import release, spill
 from tessera.plans.skew import skew_join
@@ -298,6 +299,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are their own component, also among each other. An empty table gives no rows. ``docs`` is read
     several times and has to keep its rows, as a table does.
     """
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = spill(_described(source, k), "described")
     rows = made.where("gram is null").select("doc_id", "n", "cls")

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.words import buffer_of, mix64, ragged, slices, word_hashes
+from tessera.plans.batches import bound_batches
 
 MARK = 0x2581
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -439,6 +440,7 @@ def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     that clash with them get a leading underscore. A null or empty text has no pieces. Each row is
     encoded for itself, also one that repeats another's identifier or text; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     made = [("n_pieces", "long"), ("piece_ids", "array<int>"), ("ids_crc32", "long"), ("n_byte_pieces", "long"), ("round_trip", "boolean")]
     if keep_columns:
         source = docs

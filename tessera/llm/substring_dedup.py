@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import buffer_of, ragged, slices, window_hashes, word_edges, word_hashes
+from tessera.plans.batches import bound_batches
 
 _LAST = np.iinfo(np.int64).max  # stands for a null identifier: no document is larger
 _PACK = struct.Struct("<qIIBBBxq")
@@ -119,6 +120,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``docs`` is read twice and has to give the same rows in the same order, as a table does; a
     block that differs raises ``ValueError``.
     """
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().alias("part"))
     ranges = max(4, 2 * source.rdd.getNumPartitions())
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.words import buffer_of, ragged, same_bytes, slices, word_edges, word_hashes
+from tessera.plans.batches import bound_batches
 from tessera.plans.scratch import new_path
 
 MAGIC = b"TSRIDS01"
@@ -258,6 +259,7 @@ def write_token_files(
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
+    bound_batches(spark)
     vocab = max(Tokenizer.from_file(tokenizer_file).get_vocab_size(with_added_tokens=True), end_id + 1)
     wide = vocab > 1 << 16
     bits = 2 if wide else 1

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.words import LOWER, buffer_of, slices, word_edges, word_hashes
+from tessera.plans.batches import bound_batches
 
 GRADES = 3
 _APART = np.ones(256, bool)  # everything in ASCII but letters and digits parts words
@@ -82,6 +83,7 @@ def fit_severity(
     Rows with a null identifier or label are left out; several labels of one text count as toxic if
     one is, and of several texts with one identifier the one with the least hash is read. An empty table of either kind counts as one without toxic labels. Without toxic labels, or without clean ones, the model gives every text grade 0.
     """
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     taken = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(taken), "id")
@@ -168,6 +170,7 @@ def score_severity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id"
     empty texts have no words and the score 0. Each row is scored for itself, also one that repeats
     another's identifier; an empty table gives no rows, and further columns are not read.
     """
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([source.schema["doc_id"], *[T.StructField(a, b) for a, b in _MADE]])
 
@@ -193,6 +196,7 @@ def drop_toxic(docs: DataFrame, model: SeverityModel, text_col: str = "text", re
     Null and empty texts have no words and stay, as their score is 0, unless the model rejects every
     text. Each row is judged for itself; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches):
