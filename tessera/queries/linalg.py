@@ -126,19 +126,19 @@ def _path(spark, n):
 
 @register("lanczos", "SELECT round(2 - 2 * cos(pi() * k.range / 60), 6) AS v FROM range(56, 60) k")
 def _(spark, d):
-    w, _ = op.eigsh(_path(spark, 60), 60, 4, "LA")
+    w, _ = op.eigsh(_path(spark, 60), 60, 4, "LA", local_cells=1000)
     return _frame(spark, v=w).withColumn("v", F.round("v", 6))
 
 
 @register("eigsh", "SELECT round(2 - 2 * cos(pi() * k.range / 40), 6) AS v FROM range(37, 40) k")
 def _(spark, d):
-    w, _ = op.eigsh(_path(spark, 40), 40, 3, "LM")
+    w, _ = op.eigsh(_path(spark, 40), 40, 3, "LM", local_cells=1000)
     return _frame(spark, v=w).withColumn("v", F.round("v", 6))
 
 
 @register("randomized_svds", "SELECT round(2 - 2 * cos(pi() * k.range / 30), 4) AS v FROM range(27, 30) k")
 def _(spark, d):
-    s = op.svds(_path(spark, 30), 30, 30, 3, n_oversamples=20, n_power_iters=8, return_singular_vectors=False)
+    s = op.svds(_path(spark, 30), 30, 30, 3, n_oversamples=20, n_power_iters=8, return_singular_vectors=False, local_cells=1000)
     return _frame(spark, v=s).withColumn("v", F.round("v", 4))
 
 

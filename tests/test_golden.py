@@ -275,7 +275,7 @@ def test_eigsh(spark, which, pick):
     m = np.random.default_rng(2).standard_normal((30, 30))
     m = m + m.T
     cells = frame(spark, "row long, col long, val double", [(i, j, float(m[i, j])) for i in range(30) for j in range(30)])
-    w, v = linalg.eigsh(cells, 30, 3, which)
+    w, v = linalg.eigsh(cells, 30, 3, which, local_cells=1000)
     assert np.allclose(w, np.linalg.eigvalsh(m)[pick], atol=1e-6) and np.allclose(m @ v, v * w, atol=1e-4)
     op = linalg.SparseOperator(cells, 30, 30, local_cells=10)  # the distributed product
     assert np.allclose(op.times(v), m @ v) and np.allclose(op.times(v, trans=True), m.T @ v)
