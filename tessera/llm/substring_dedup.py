@@ -39,6 +39,7 @@ from tessera.plans.batches import bound_batches
 
 _LAST = np.iinfo(np.int64).max  # stands for a null identifier: no document is larger
 _PACK = struct.Struct("<qIIBBBxq")
+_AT_ONCE = 1 << 21  # windows that meet at a time
 
 
 def pack_index(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
@@ -141,7 +142,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if b > a:
                     yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([block]), pa.array([pack_index(h[a:b], d[a:b], p[a:b])], pa.binary())], ["hash_range", "block", "pack"])
 
-    packs = source.mapInArrow(send, "hash_range int, block long, pack binary").repartition(ranges, "hash_range").sortWithinPartitions("hash_range", "block")
+    packs = source.mapInArrow(send, "hash_range int, block long, pack binary").repartitionById(ranges, "hash_range").sortWithinPartitions("hash_range", "block")
 
     def meet(batches):
         last, held = None, []
@@ -167,8 +168,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([nth + 1], pa.int32()), pa.array([squeeze.compress(sink.getvalue())], pa.binary())], ["block", "nth", "payload"])
 
     both = answers.unionByName(source.mapInArrow(texts, answers.schema))
-    # many more tasks than blocks, so that few get two; a task without any costs next to nothing
-    dealt = both.repartition(4 * ranges, "block").sortWithinPartitions("block", "nth")
+    # eight tasks a partition, each with a block of its own unless there are more; one without any costs next to nothing
+    dealt = both.repartitionById(4 * ranges, F.expr("cast(8 * shiftright(block, 24) + (block & 16777215) as int)")).sortWithinPartitions("block", "nth")
 
     def parse(batches):
         last, known, held = None, [], []
@@ -190,15 +191,26 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _answers(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """Per block the hashes of one range that start in a smaller document of another block, with their references.
+    """Replies to the blocks that sent windows of one hash range, some two million windows at a time."""
+    parts = [unpack_index(p) for _, p in held]
+    count = 1 + sum(len(x[0]) for x in parts) // _AT_ONCE
+    low, high = min(int(x[0][0]) for x in parts), max(int(x[0][-1]) for x in parts)
+    inner = np.array([low + (high - low) * k // count for k in range(1, count)], np.uint64)
+    marks = [[0, *np.searchsorted(x[0], inner).tolist(), len(x[0])] for x in parts]
+    for k in range(count):
+        some = [(block, [c[m[k] : m[k + 1]] for c in x]) for (block, _), x, m in zip(held, parts, marks, strict=True) if m[k + 1] > m[k]]
+        if some:
+            yield from _replies([block for block, _ in some], [x for _, x in some])
+
 
-    The reply begins with the number of hashes the block sent, by which its reader checks the block.
+def _replies(blocks: list[int], parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Per block those of its hashes that start in a smaller document of another block, with their references.
+
+    A reply begins with the number of hashes the block sent, by which its reader checks the block.
     """
-    parts = [unpack_index(p) for _, p in held]
     sizes = np.array([len(x[0]) for x in parts])
     h, d, pos = (np.concatenate([x[i] for x in parts]) for i in range(3))
     owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
-    del parts
     order = np.argsort(h)
     new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
     starts, group = np.flatnonzero(new), np.cumsum(new) - 1
@@ -209,8 +221,8 @@ def _answers(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     beaten, source = order[some], source[group[some]]
     arranged = np.lexsort((h[beaten], owner[beaten]))
     beaten, source = beaten[arranged], source[arranged]
-    marks = np.searchsorted(owner[beaten], np.arange(len(held) + 1))
-    for i, (block, _) in enumerate(held):
+    marks = np.searchsorted(owner[beaten], np.arange(len(blocks) + 1))
+    for i, block in enumerate(blocks):
         mine, to = beaten[marks[i] : marks[i + 1]], source[marks[i] : marks[i + 1]]
         body = pack_index(h[mine], d[to], pos[to]) if len(mine) else b""
         yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([0], pa.int32()), pa.array([struct.pack("<q", int(sizes[i])) + body], pa.binary())], ["block", "nth", "payload"])

@@ -389,6 +389,33 @@ def test_substring(docs, small, empty, block):
     assert substring_dedup.dedup_passages(empty).count() == 0
 
 
+def test_answers_in_parts(monkeypatch):
+    """Packs come back as they were, and ranges that meet in parts give the replies of ranges that meet whole."""
+    rng = np.random.default_rng(5)
+    held, sent = [], {}
+    for block, n in ((3, 400), (9, 1), (1 << 24, 250)):
+        h = np.unique(rng.integers(0, 300, n).astype(np.uint64) * np.uint64(61489146912365172))
+        d, p = rng.integers(-5, 2**40, len(h)), rng.integers(0, 70000, len(h)).astype(np.int32)
+        sent[block] = (h, d, p)
+        held.append((block, substring_dedup.pack_index(h, d, p)))
+        assert all((a == b).all() for a, b in zip(substring_dedup.unpack_index(held[-1][1]), sent[block], strict=True))
+    expected = {}
+    for block, (h, d, _) in sent.items():
+        for x, mine in zip(h.tolist(), d.tolist()):
+            first = min((int(e[i]), b, int(q[i])) for b, (g, e, q) in sent.items() for i in np.flatnonzero(g == np.uint64(x)))
+            if first[0] < mine:
+                expected[block, x] = first[0], first[2]
+    for at_once in (1 << 21, 50, 1):
+        monkeypatch.setattr(substring_dedup, "_AT_ONCE", at_once)
+        found, counts = {}, collections.Counter()
+        for reply in substring_dedup._answers(held):
+            block, raw = reply.column(0)[0].as_py(), reply.column(2)[0].as_py()
+            counts[block] += int.from_bytes(raw[:8], "little")
+            if len(raw) > 8:
+                found.update({(block, int(x)): (int(d), int(p)) for x, d, p in zip(*substring_dedup.unpack_index(raw[8:]), strict=True)})
+        assert found == expected and counts == {b: len(x[0]) for b, x in sent.items()}
+
+
 @pytest.mark.parametrize("block", [1, 16 << 20])
 def test_factors(docs, small, block):
     """Factors are matches in the least document, as long as its reference goes on, and cover what is removed."""
