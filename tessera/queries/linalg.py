@@ -116,6 +116,42 @@ def _(spark, d):
     return _frame(spark, energy=[float((fit["singular_vals"] ** 2).sum())], total_ratio=[float(fit["explained_var_ratio"].sum())]).select(F.round("energy", 6).alias("energy"), F.round("total_ratio", 9).alias("total_ratio"))
 
 
+# each factorisation put together again, cell by cell: a wrong vector shows, as it does not in a trace
+
+
+def _cells_of(spark, x):
+    r, c = np.divmod(np.arange(x.size), x.shape[1])
+    return _frame(spark, row=r, col=c, val=np.asarray(x, float).ravel()).withColumn("val", F.round("val", 6))
+
+
+_COV = f"""WITH {E} SELECT a."col" AS "row", b."col" AS "col", round(covar_samp(a.val, b.val), 6) AS val FROM e a JOIN e b ON a."row" = b."row" GROUP BY 1, 2"""
+_GRAM = f"""WITH {E} SELECT a."col" AS "row", b."col" AS "col", round(sum(a.val * b.val), 6) AS val FROM e a JOIN e b ON a."row" = b."row" GROUP BY 1, 2"""
+
+
+@register("eig_covariance", _COV)
+def _(spark, d):
+    w, v = op.eig(op.to_matrix(op.gram_cells(emb_rows(spark, d), True, lambda n: n - 1), 64, 64))
+    return _cells_of(spark, (v * w) @ v.T)
+
+
+@register("pca_covariance", _COV)
+def _(spark, d):
+    fit = op.pca(emb_rows(spark, d), 64)
+    return _cells_of(spark, (fit["components"].T * fit["explained_var"]) @ fit["components"])
+
+
+@register("tsvd_gram", _GRAM)
+def _(spark, d):
+    fit = op.tsvd(emb_rows(spark, d), 64)
+    return _cells_of(spark, (fit["components"].T * fit["singular_vals"] ** 2) @ fit["components"])
+
+
+@register("rsvd_gram", _GRAM)
+def _(spark, d):
+    _, s, v = op.rsvd(emb_rows(spark, d), 64)
+    return _cells_of(spark, (v * s**2) @ v.T)
+
+
 def _path(spark, n):
     """Laplacian of a path, whose eigenvalues are 2 - 2 cos(pi k / n)."""
     e = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
