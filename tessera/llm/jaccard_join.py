@@ -14,8 +14,9 @@ of which is exact, and in none is a group of similar documents ever expanded to
    between them. Links to a pivot itself are known by now and unite what lies around it.
 2. Every region, the outer one included, splits into one cell for each n-gram: a class enters the
    cells of its first n - ceil(t n) + 1 n-grams in one fixed order, one of which it shares with each
-   partner. Frequent n-grams come last in that order. Cells whose classes are all of one component are
-   done. In the first cells of each class, the members are compared with one of them (a star).
+   partner. Frequent n-grams come last in that order. Cells with the same classes, as those of a
+   passage's n-grams, become one. Cells whose classes are all of one component are done. In the first
+   cells of each class, the members are compared with one of them (a star).
 3. Cells that still hold several components are joined inside a task, again by pivots: exact
    distances to a few members give windows that a linked pair cannot leave, sketches that bound the
    symmetric difference from below thin out what is left, and the rest is compared set by set, unless
@@ -310,7 +311,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = spill(_cells(source, k, percent, often, _pivots(source, classes, k, percent)), "cells")
     links = members.where(F.col("kind") == _LINK).select(F.col("cell").alias("a"), F.col("cls").alias("b"))
     parts = spill(connected_components(links, "a", "b"), "components")
-    cells = members.where(F.col("kind") != _LINK)
+    cells = spill(members.where(F.col("kind") != _LINK).groupBy("cell", "cls").agg(F.max("kind").alias("kind")), "cells")
 
     # stars in the first cells of each class
     named = _with_components(cells.where(F.col("kind") == _EARLY).select("cell", "cls"), parts)
@@ -335,7 +336,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = links.unionByName(spill(_joined(mixed, sets, percent), "links"))
         before, parts = parts, spill(connected_components(links, "a", "b"), "components")
         release(before, mixed, sets)
-    release(members)
+    release(members, cells)
 
     parts = parts.withColumnRenamed("id", "cls")
     marks = classes.select("cls", "least", "size").join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -351,7 +352,9 @@ def _cells(docs: DataFrame, k: int, percent: int, often: np.ndarray, pivots: Piv
     A cell is an n-gram in a region. Its kind is early if it is among the class's first ``EARLY``, or its
     first frequent ones; a link has the pivot's class in place of the cell. A task sends its
     entries as packed arrays by hash range, about 17 bytes each and each class once a slice; cells of
-    one class end where a range's entries meet.
+    one class end where a range's entries meet. There a cell gets its number from its classes, so that
+    cells of the same classes are one; should different ones get the same number, their classes come
+    together and no pair is lost. Rows repeat as far as such cells lie in several ranges.
     """
     spark = docs.sparkSession
     last, index = spark.sparkContext.broadcast(often), spark.sparkContext.broadcast(pivots)
@@ -417,8 +420,14 @@ def _cells(docs: DataFrame, k: int, percent: int, often: np.ndarray, pivots: Piv
             r, c, kind = r[new], c[new], kind[new]
             start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
             size = np.diff(np.append(start, len(r)))
+            number = np.add.reduceat(mix64(c.view(np.uint64)), start) if len(c) else start
+            r = np.where(kind == _LINK, r, np.repeat(number.view(np.int64), size))
             many = np.repeat(size > 1, size) | (kind == _LINK)
             r, c, kind = r[many], c[many], kind[many]
+            order = np.lexsort((-kind, c, r))
+            r, c, kind = r[order], c[order], kind[order]
+            new = np.concatenate([_FIRST, (r[1:] != r[:-1]) | (c[1:] != c[:-1])])[: len(r)]
+            r, c, kind = r[new], c[new], kind[new]
             for at in range(0, len(r), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(r[at : at + 100_000]), pa.array(c[at : at + 100_000]), pa.array(kind[at : at + 100_000].astype(np.int32))], ["cell", "cls", "kind"])
         give_back()

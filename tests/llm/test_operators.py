@@ -534,6 +534,28 @@ def test_jaccard_of_crowded_groups(spark, percent, seed):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr) == brute_jaccard(pairs(df), k=2, percent=percent)
 
 
+def test_cells_of_the_same_classes_are_one(spark):
+    """The n-grams of a passage make one cell for each set of classes that they meet in, and no cell is lost."""
+    texts = [" ".join([f"u{g}q{i}o{j}" for j in range(200 + 10 * i)] + [f"p{g}w{j}" for j in range(150)]) for g in range(6) for i in range(4)]
+    path = new_path(spark, "passages")
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOC).repartition(3).write.parquet(path)
+    rows = jaccard_join._cells(spark.read.parquet(path).select("doc_id", "text"), 5, 80, np.zeros(0, np.uint64), jaccard_join.Pivots([], [], 80)).collect()
+    got = collections.defaultdict(dict)
+    for r in rows:
+        got[r.cell][r.cls] = max(r.kind, got[r.cell].get(r.cls, 0))
+    h, edges = jaccard_join.ngram_sets(pa.array(texts), 5)
+    of_gram = collections.defaultdict(dict)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        for nth, gram in enumerate(h[a:b][: b - a - -(-80 * (b - a) // 100) + 1].tolist()):
+            of_gram[gram][jaccard_join._class(h[a:b])] = int(nth < jaccard_join.EARLY)
+    want, shared = collections.defaultdict(dict), [m for m in of_gram.values() if len(m) > 1]
+    for members in shared:
+        for c, early in members.items():
+            want[frozenset(members)][c] = max(early, want[frozenset(members)].get(c, 0))
+    assert sorted(sorted(m.items()) for m in got.values()) == sorted(sorted(m.items()) for m in want.values())
+    assert len(shared) > 5 * len(want)
+
+
 # pages
 
 
