@@ -3,9 +3,12 @@
 import duckdb
 import numpy as np
 import pytest
+import numpy as np
+import pytest
 from compare import check
 
 import tessera.queries  # noqa: F401
+from tessera.operators import stats
 from tessera.registry import ORACLES, QUERIES
 
 NAN = float("nan")
@@ -18,3 +21,39 @@ def test_divide_nulls_and_nans_over_zero(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     assert check(spark, con, str(tmp_path), QUERIES["divide"], ORACLES["divide"]) == ""
+
+
+def _brute(x, labels, metric):
+    gap = np.abs(x[:, None] - x[None])
+    d = np.sqrt((gap**2).sum(axis=2)) if metric == "euclidean" else gap.sum(axis=2) if metric == "l1" else gap.max(axis=2)
+    out = []
+    for i, c in enumerate(labels):
+        same = labels == c
+        a = d[i, same].sum() / max(1, same.sum() - 1)
+        b = min(d[i, labels == k].mean() for k in set(labels.tolist()) - {c})
+        out.append(0.0 if same.sum() == 1 or max(a, b) == 0 else (b - a) / max(a, b))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "l1", "linf"])
+def test_silhouettes_by_blocks(spark, metric):
+    """More than one block, copies, a far cluster and one of a single point; each block moves once a pair."""
+    rng = np.random.default_rng(31)
+    x = rng.standard_normal((1300, 5)) + 1e3
+    labels = np.sort(rng.integers(0, 4, len(x)))
+    x[100:160], labels[-1] = x[100], 77
+    points = spark.createDataFrame([(i, v, int(c)) for i, (v, c) in enumerate(zip(x.tolist(), labels))], "row long, vec array<double>, label long")
+    got = np.array([r.v for r in stats.silhouette_samples(points, metric).orderBy("row").collect()])
+    assert np.allclose(got, _brute(x, labels, metric), rtol=1e-9, atol=1e-11)
+    one = stats.silhouette_samples(points.where("label = 1"), metric)
+    assert {r.v for r in one.collect()} == {None}
+
+
+def test_pairs_move_in_blocks(spark):
+    """A point is in one row of a block and is not repeated by itself for every other block."""
+    from tessera.plans import grid
+
+    points = spark.range(1300).selectExpr("id row", "array(double(id)) vec", "id % 3 label")
+    p = grid.packed(points, 4, "label")
+    assert p.count() == 4 and sum(r.n for r in p.select("n").collect()) == 1300
+    assert grid.block_count(600_000, 32_768) == 19 and grid.block_count(100_000, 32_768) == 10 and grid.block_count(3, 32_768) == 1
