@@ -57,3 +57,32 @@ def test_pairs_move_in_blocks(spark):
     p = grid.packed(points, 4, "label")
     assert p.count() == 4 and sum(r.n for r in p.select("n").collect()) == 1300
     assert grid.block_count(600_000, 32_768) == 19 and grid.block_count(100_000, 32_768) == 10 and grid.block_count(3, 32_768) == 1
+
+
+def _order(x, i):
+    d = ((x - x[i]) ** 2).sum(axis=1)
+    d[i] = np.inf
+    return np.lexsort((np.arange(len(x)), d))
+
+
+def test_neighbours_by_blocks(spark, monkeypatch):
+    """Three blocks and copies: nearest and trustworthiness against brute force, equal distances by row."""
+    rng = np.random.default_rng(32)
+    x = np.round(rng.standard_normal((700, 6)), 1) + 100
+    x[20:60], x[300:340] = x[20], x[500:540]
+    monkeypatch.setattr(stats, "BLOCK", 256)
+    frame = lambda m: spark.createDataFrame(list(enumerate(m.tolist())), "row long, vec array<double>")
+    k, n, low = 5, len(x), x[:, :2].copy()
+    got = stats.nearest(frame(low), k).orderBy("row", "rank").collect()
+    near = np.array([_order(low, i)[:k] for i in range(n)])
+    assert [r.other for r in got] == near.ravel().tolist()
+    place = [np.argsort(_order(x, i)) for i in range(n)]
+    ranks = np.array([place[i][near[i]] + 1 for i in range(n)])
+    want = 1 - 2 / (n * k * (2 * n - 3 * k - 1)) * np.maximum(0, ranks - k).sum()
+    assert stats.trustworthiness(frame(x), frame(low), k).first().v == pytest.approx(want, abs=1e-14)
+
+
+def test_nearest_of_few_far_and_unknown(spark):
+    rows = [(0, [1e9, 0.0]), (1, [1e9, 1.0]), (2, [1e9, 3.0]), (3, [float("nan"), 0.0])]
+    df = spark.createDataFrame(rows, "row long, vec array<double>")
+    assert [tuple(r) for r in stats.nearest(df, 5).orderBy("row", "rank").collect()] == [(0, 1, 1), (0, 2, 2), (1, 0, 1), (1, 2, 2), (2, 1, 1), (2, 0, 2)]
