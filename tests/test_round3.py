@@ -8,7 +8,7 @@ import pytest
 from compare import check
 
 import tessera.queries  # noqa: F401
-from tessera.operators import stats
+from tessera.operators import linalg, panels, stats
 from tessera.registry import ORACLES, QUERIES
 
 NAN = float("nan")
@@ -86,3 +86,31 @@ def test_nearest_of_few_far_and_unknown(spark):
     rows = [(0, [1e9, 0.0]), (1, [1e9, 1.0]), (2, [1e9, 3.0]), (3, [float("nan"), 0.0])]
     df = spark.createDataFrame(rows, "row long, vec array<double>")
     assert [tuple(r) for r in stats.nearest(df, 5).orderBy("row", "rank").collect()] == [(0, 1, 1), (0, 2, 2), (1, 0, 1), (1, 2, 2), (2, 1, 1), (2, 0, 2)]
+
+
+def _spiked(spark, n, spikes):
+    """Small diagonal with a few large cells in the first, a middle and the last block."""
+    small = spark.range(n).selectExpr("id row", "id col", "(id % 7) / 10D val")
+    return small.unionByName(spark.createDataFrame(spikes, "row long, col long, val double")).groupBy("row", "col").agg({"val": "sum"}).toDF("row", "col", "val")
+
+
+def test_solvers_keep_vectors_off_the_driver(spark, monkeypatch):
+    """Three blocks of rows; no array as long as the matrix goes to tasks or comes back."""
+    n = 2 * panels.BLOCK + 5000
+    cells = _spiked(spark, n, [(5, 5, 100.0), (40_000, 40_000, -90.0), (n - 1, n - 1, 80.0), (7, n - 2, 30.0), (n - 2, 7, 30.0)])
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *a: pytest.fail("a broadcast"))
+    w, v = linalg.eigsh_frame(cells, n, 3, "LM")
+    assert np.allclose(w, [-90.0 + 40_000 % 7 / 10, 80.0 + (n - 1) % 7 / 10, 100.5], rtol=1e-9)
+    x = v.toPandas().sort_values(["k", "i"])["x"].to_numpy().reshape(3, n)
+    assert np.allclose(x @ x.T, np.eye(3), atol=1e-9) and x[0, 40_000] == pytest.approx(1) and x[1, n - 1] == pytest.approx(1) and x[2, 5] == pytest.approx(1)
+    s = linalg.svds(cells, n, n, 3, n_oversamples=5, n_power_iters=4, return_singular_vectors=False)
+    assert np.allclose(s, [100.5, abs(w[0]), w[1]], rtol=1e-6)
+
+
+def test_lanczos_of_small_and_split_matrices(spark):
+    """Fewer rows than columns of the basis, invariant subspaces, and no cells."""
+    cells = spark.createDataFrame([(0, 0, 2.0), (1, 1, 2.0), (2, 2, 5.0), (3, 4, 1.0), (4, 3, 1.0)], "row long, col long, val double")
+    w, v = linalg.eigsh_frame(cells, 5, 3, "LA", v0=np.array([0.0, 0, 1, 0, 0]))
+    assert np.allclose(w, [2, 2, 5]) and v.count() == 15
+    assert np.allclose(linalg.eigsh_frame(cells, 5, 2, "SA")[0], [-1, 1])
+    assert np.allclose(linalg.eigsh_frame(cells.where("row > 9"), 4, 2, "LM")[0], 0)
