@@ -45,22 +45,58 @@ def weak_components(edges: DataFrame, vertices: DataFrame | None = None) -> Data
     return all_.select("id", (F.col("component") + 1).alias("label"))
 
 
+#: Edges up to which one task finishes a forest.
+FEW_EDGES = 500_000
+
+
+def _kruskal(batches):
+    """The forest of few edges ``(src, dst, w, a, b)``, in the order that the rounds use."""
+    import pyarrow as pa
+
+    held = list(batches)
+    if not held:
+        return
+    edges = pa.Table.from_batches(held)
+    rows = list(zip(*(edges[c].to_pylist() for c in ("w", "src", "dst", "a", "b"))))
+    root, keep = {}, []
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    def place(i):  # null comes first and NaN last, as in Spark
+        w = rows[i][0]
+        return (w is not None, w != w, 0.0 if w is None or w != w else w, rows[i][1], rows[i][2])
+
+    for i in sorted(range(len(rows)), key=place):
+        a, b = find(rows[i][3]), find(rows[i][4])
+        if a != b:
+            root[a] = b
+            keep.append(i)
+    yield from edges.take(pa.array(keep, pa.int64())).combine_chunks().to_batches()
+
+
 def minimum_spanning_forest(edges: DataFrame, symmetric: bool = False, max_rounds: int = 64) -> DataFrame:
     """Edges of a minimum spanning forest by Boruvka's rounds.
 
     Each component takes its lightest edge out, equal weights by the ends' order, so that no round
     closes a cycle; the number of components at least halves. A round is a grouped minimum and the
-    components of the chosen edges. ``symmetric`` gives each edge in both directions.
+    components of the chosen edges; once at most ``FEW_EDGES`` are left, one task finishes, as further
+    rounds would cost jobs and no work. ``symmetric`` gives each edge in both directions.
     """
     e = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("w").alias("w"))
     e = spill(e.select("src", "dst", "w", F.col("src").alias("a"), F.col("dst").alias("b")), "edges")
     chosen = None
     for _ in range(max_rounds):
+        if e.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+            rest = spill(e.coalesce(1).mapInArrow(_kruskal, e.schema), "chosen")
+            chosen = rest if chosen is None else chosen.unionByName(rest)
+            break
         ends = e.select(F.explode(F.array("a", "b")).alias("c"), F.struct("w", "src", "dst", "a", "b").alias("edge"))
         best = ends.groupBy("c").agg(F.min("edge").alias("edge")).select("edge.*").distinct()
         best = spill(best, "chosen")
-        if best.isEmpty():
-            break
         chosen = best if chosen is None else chosen.unionByName(best)
         comp = spill(connected_components(best, "a", "b"), "merged")
         moved = skew_join(e, comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), ["a"])
@@ -68,7 +104,7 @@ def minimum_spanning_forest(edges: DataFrame, symmetric: bool = False, max_round
         e = spill(moved.select("src", "dst", "w", F.col("ca").alias("a"), F.col("cb").alias("b")), "edges")
     else:
         raise RuntimeError(f"no forest after {max_rounds} rounds")
-    out = (best if chosen is None else chosen).select("src", "dst", "w")
+    out = chosen.select("src", "dst", "w")
     return out.unionByName(out.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")) if symmetric else out
 
 

@@ -8,7 +8,7 @@ import pytest
 from compare import check
 
 import tessera.queries  # noqa: F401
-from tessera.operators import linalg, panels, stats
+from tessera.operators import graph, linalg, panels, sparse, stats
 from tessera.registry import ORACLES, QUERIES
 
 NAN = float("nan")
@@ -114,3 +114,36 @@ def test_lanczos_of_small_and_split_matrices(spark):
     assert np.allclose(w, [2, 2, 5]) and v.count() == 15
     assert np.allclose(linalg.eigsh_frame(cells, 5, 2, "SA")[0], [-1, 1])
     assert np.allclose(linalg.eigsh_frame(cells.where("row > 9"), 4, 2, "LM")[0], 0)
+
+
+def test_weights_move_no_cells(spark):
+    """Counts of columns go to all tasks whatever the session's own limit of broadcasts; null rows stay out of bm25, as before."""
+    rows = [(i % 40, f"w{i * 7 % 11}", float(1 + i % 5)) for i in range(300)]
+    cells = spark.createDataFrame([(r, c, v) for (r, c), v in {(r, c): v for r, c, v in rows}.items()], "row long, col string, val double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for f in (sparse.tfidf, sparse.bm25):
+            plan = f(cells)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    one = spark.createDataFrame([(None, "w", 2.0), (1, "w", 3.0)], "row long, col string, val double")
+    assert [r.row for r in sparse.bm25(one).collect()] == [1]
+
+
+@pytest.mark.parametrize("few", [0, 30, 10_000])
+def test_forest_ends_in_one_task(spark, monkeypatch, few):
+    """The same forest by rounds, by rounds with one task at the end, and by one task alone, which takes few jobs."""
+    rng = np.random.default_rng(33)
+    e = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 60, 150), rng.integers(0, 60, 150), rng.integers(-3, 4, 150))]
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
+    calls, components = [], graph.connected_components
+    monkeypatch.setattr(graph, "connected_components", lambda *a: calls.append(1) or components(*a))
+    got = sorted(tuple(r) for r in graph.minimum_spanning_forest(spark.createDataFrame(e, "src long, dst long, w double")).collect())
+    root, want = list(range(60)), []
+    for w, a, b in sorted({(w, min(a, b), max(a, b)) for a, b, w in e}):
+        if root[a] != root[b]:
+            want.append((a, b, w))
+            root = [root[b] if r == root[a] else r for r in root]
+    assert got == sorted(want) and bool(calls) == (few < 100)
